@@ -136,16 +136,16 @@ def prototype_scores(vectors: DataFrame, vector: str, means: DataFrame) -> DataF
         m["prototype"].alias("v"),
         F.sqrt(_dot(m["prototype"], m["prototype"])).alias("norm"),
     ))
-    table = means.agg(unit.alias("table")).scalar()
+    listing = vectors.withColumn("_means", means.agg(unit.alias("means")).scalar())
 
     def compare(norm: Column) -> Column:
-        return F.transform(table, lambda m, i: F.struct(
+        return F.transform("_means", lambda m, i: F.struct(
             i.alias("idx"),
             m["label"].alias("label"),
             (_dot(F.col(vector), m["v"]) / (norm * m["norm"])).alias("score"),
         ))
 
     norm = F.sqrt(_dot(F.col(vector), F.col(vector)))
-    return vectors.withColumn("scores", bind(norm, compare))
+    return listing.withColumn("scores", bind(norm, compare)).drop("_means")
 
 
