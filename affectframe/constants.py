@@ -124,5 +124,7 @@ MISSING_TOKENS = (
 BROADCAST_ROWS = 1_000_000
 # Label sets are the only thing read back to the driver; more than this is an error.
 MAX_CLASSES = 1_000
-# Slices of a hot group.
+# A key is hot with at least this part of all rows: there are at most HOT_PARTS such keys.
+HOT_PARTS = 10_000
+# Slices of a group that is ranked.
 SALTS = 32

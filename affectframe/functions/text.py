@@ -39,7 +39,14 @@ _HASHTAG = r"#([A-Za-z0-9_]++)"
 
 
 def _char_class(ranges: Iterable[tuple[int, int]]) -> str:
-    return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in ranges)
+    """Body of a class for inclusive ranges, touching and overlapping ones merged."""
+    merged: list[tuple[int, int]] = []
+    for low, high in sorted(ranges):
+        if merged and low <= merged[-1][1] + 1:
+            low, previous = merged.pop()
+            high = max(high, previous)
+        merged.append((low, high))
+    return "".join(rf"\x{{{low:X}}}-\x{{{high:X}}}" for low, high in merged)
 
 
 PICTOGRAPHS = _char_class(PICTOGRAPH_RANGES)
@@ -105,7 +112,8 @@ def clean_text(text: Column, strict_emoji: bool = False) -> Column:
     splitting at the end takes care of white space and trimming.
     """
     pictographs = STRICT_PICTOGRAPHS if strict_emoji else PICTOGRAPHS
-    dropped = f"[[^{_KEPT}][{pictographs}]]+"
+    # Most characters are plain ones: sorting them out first makes the scan much faster.
+    dropped = f"(?![a-zA-Z0-9 .,])[[^{_KEPT}][{pictographs}]]+"
     text = strip_mentions(strip_urls(strip_repost_marks(text)))
     return F.coalesce(drop_short_words(F.regexp_replace(text, dropped, "")), F.lit(""))
 

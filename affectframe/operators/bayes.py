@@ -153,8 +153,10 @@ def score(
     """
     keys = [id, *carry, "_blank"]
     marked = posts.withColumn("_blank", is_blank(F.col(text)))
-    found = F.filter(tokens(F.col(text)), lambda t: t != "")
-    rows = marked.select(*keys, F.explode_outer(found).alias("token"))
+    # One row per word, and at least one per post; empty strings become null tokens.
+    rows = marked.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).withColumn(
+        "token", F.nullif("token", F.lit(""))
+    )
     sums = _word_sums(rows, model, keys, max_bytes=max_bytes, head=head)
     values = [
         (F.col(f"s{i}") + F.lit(prior)) / UNIT for i, prior in enumerate(model.priors)

@@ -38,6 +38,12 @@ def count_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.na.drop(subset=keys).groupBy(*keys).count()
 
 
+def roll_up(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Counts by some of the keys of a finer count table, without null keys."""
+    keys = list(keys)
+    return counts.na.drop(subset=keys).groupBy(*keys).agg(F.sum("count").alias("count"))
+
+
 def party_emotions(long: DataFrame) -> DataFrame:
     return count_by(long, ["party", LABEL])
 

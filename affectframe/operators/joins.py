@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affectframe.constants import BROADCAST_ROWS, SALTS
+from affectframe.constants import BROADCAST_ROWS, HOT_PARTS
 
 
 def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
@@ -15,36 +13,63 @@ def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
     return df.count() <= max_rows
 
 
-def dimension_join(
+def join_on_key(
     facts: DataFrame,
-    dimension: DataFrame,
+    other: DataFrame,
     key: str,
+    how: str,
     *,
     null_keys_match: bool = False,
     max_rows: int = BROADCAST_ROWS,
-    salts: int = SALTS,
+    hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
-    """Left join of facts with a dimension; facts without a partner keep null attributes.
+    """Left, left semi or left anti join of facts with another table on one key.
 
-    The dimension is counted first. Up to ``max_rows`` it is broadcast, and the
-    facts stay where they are, however skewed their key. Beyond that both sides are
-    shuffled with every key split into ``salts`` slices, so that a key with a large
-    part of all facts is worked on by many tasks.
+    The other table is counted first. Up to ``max_rows`` it is broadcast, and the
+    facts stay where they are, however skewed their key.
+
+    Beyond that, keys with at least 1/``hot_parts`` of all facts are treated apart.
+    There are at most ``hot_parts`` of them by that definition, so their partners can
+    be broadcast, and facts with such keys stay where they are. The others are joined
+    by a shuffle in which no key is large.
     """
-    right = dimension.withColumnRenamed(key, "_key")
-    same_key = facts[key].eqNullSafe(right["_key"]) if null_keys_match else (
-        facts[key] == right["_key"]
-    )
-    if is_bounded(dimension, max_rows):
-        return facts.join(F.broadcast(right), same_key, "left").drop("_key")
-    # Facts are sliced by their content: a retried task must cut the same slices.
-    facts = facts.withColumn("_slice", F.pmod(F.xxhash64(*facts.columns), F.lit(salts)))
-    right = right.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    same_key = facts[key].eqNullSafe(right["_key"]) if null_keys_match else (
-        facts[key] == right["_key"]
+    right = other.withColumnRenamed(key, "_key")
+
+    def joined(left: DataFrame, partners: DataFrame, kind: str) -> DataFrame:
+        same = left[key].eqNullSafe(partners["_key"]) if null_keys_match else (
+            left[key] == partners["_key"]
+        )
+        result = left.join(partners, same, kind)
+        return result.drop("_key") if kind == "left" else result
+
+    if is_bounded(other, max_rows):
+        return joined(facts, F.broadcast(right), how)
+
+    rows = facts.select(F.count("*").alias("rows")).scalar()
+    hot = (
+        facts.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
+        .filter(F.col("_rows") * hot_parts >= rows)
+        .select("_hot")
     )
-    joined = facts.join(right, same_key & (F.col("_slice") == F.col("_copy")), "left")
-    return joined.drop("_key", "_copy", "_slice")
+    hot_partners = right.join(F.broadcast(hot), right["_key"].eqNullSafe(hot["_hot"]), "left_semi")
+    if how != "left":
+        hot_partners = hot_partners.select("_key").distinct()
+    # A key may be listed many times in the other table; only a counted list is broadcast.
+    if how != "left" or is_bounded(hot_partners, max(max_rows, hot_parts)):
+        hot_partners = F.broadcast(hot_partners)
+    is_hot = facts[key].eqNullSafe(hot["_hot"])
+    hot_facts = facts.join(F.broadcast(hot), is_hot, "left_semi")
+    cold_facts = facts.join(F.broadcast(hot), is_hot, "left_anti")
+    return joined(hot_facts, hot_partners, how).unionByName(joined(cold_facts, right, how))
+
+
+def dimension_join(facts: DataFrame, dimension: DataFrame, key: str, **options) -> DataFrame:
+    """Left join of facts with a dimension; facts without a partner keep null attributes.
+
+    A key listed several times in the dimension repeats its facts. Options as for
+    :func:`join_on_key`.
+    """
+    return join_on_key(facts, dimension, key, "left", **options)
 
 
 def author_key(name: Column, ignore_case: bool = False) -> Column:
@@ -59,7 +84,7 @@ def join_authors(
     *,
     ignore_case: bool = False,
     null_keys_match: bool = True,
-    **limits: int,
+    **options,
 ) -> DataFrame:
     """Add the authors' groups to posts.
 
@@ -72,15 +97,15 @@ def join_authors(
         *[c for c in authors.columns if c != "Author"],
     )
     return dimension_join(
-        keyed, dimension, "_author", null_keys_match=null_keys_match, **limits
+        keyed, dimension, "_author", null_keys_match=null_keys_match, **options
     ).drop("_author")
 
 
-def keep_matching(df: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def keep_matching(df: DataFrame, members: DataFrame, key: str, **options) -> DataFrame:
     """Rows whose key occurs in another table."""
-    return df.join(members, on, "left_semi")
+    return join_on_key(df, members.select(key), key, "left_semi", **options)
 
 
-def drop_matching(df: DataFrame, members: DataFrame, on: str | Sequence[str]) -> DataFrame:
+def drop_matching(df: DataFrame, members: DataFrame, key: str, **options) -> DataFrame:
     """Rows whose key does not occur in another table; null keys stay."""
-    return df.join(members, on, "left_anti")
+    return join_on_key(df, members.select(key), key, "left_anti", **options)

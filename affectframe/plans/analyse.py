@@ -16,20 +16,17 @@ from affectframe.constants import (
 )
 from affectframe.operators.counts import (
     LABEL,
-    busiest_topics,
-    count_by,
     explode_labels,
     focus_topics,
     fold_small_shares,
-    party_emotions,
-    side_emotions,
-    topic_party_emotions,
+    roll_up,
     with_percentage,
 )
 from affectframe.operators.filters import drop_values
 from affectframe.operators.ranking import top_counts, top_line
 from affectframe.operators.series import adaptive_series, event_series, pivot_series
 from affectframe.schemas import require_columns
+from affectframe.session import new_dir
 
 
 def topic_tops(counts: DataFrame, topics: DataFrame) -> DataFrame:
@@ -38,14 +35,10 @@ def topic_tops(counts: DataFrame, topics: DataFrame) -> DataFrame:
     return top_counts(chosen, ["topic", "party"], n=1)
 
 
-def topic_shares(long: DataFrame, topics: DataFrame | None = None, max_topics: int = 4, **options) -> DataFrame:
-    """Label shares within topics, small shares folded: the listed topics or the busiest.
-
-    Both kinds of list are short by construction.
-    """
-    topics = busiest_topics(long, max_topics) if topics is None else topics
-    counts = count_by(long, ["topic", LABEL]).join(F.broadcast(topics.select("topic")), "topic")
-    return fold_small_shares(counts, "topic", **options)
+def topic_shares(counts: DataFrame, topics: DataFrame, **options) -> DataFrame:
+    """Label shares within the listed topics, small shares folded."""
+    chosen = counts.join(F.broadcast(topics.select("topic")), "topic")
+    return fold_small_shares(roll_up(chosen, ["topic", LABEL]), "topic", **options)
 
 
 def analyse(
@@ -59,11 +52,24 @@ def analyse(
     event_parties: Sequence[str] = EVENT_PARTIES,
     event_emotions: Sequence[str] = SERIES_EMOTIONS,
     missing_label: str | None = None,
+    path: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Result tables by name. Tables whose columns the posts lack are left out."""
+    """Result tables by name. Tables whose columns the posts lack are left out.
+
+    The posts are counted once, by party, side, topic and label together; that small
+    table is written to ``path`` (or to a new folder in the shared one), and all counts
+    and shares are rolled up from it. Only the two time series read the posts again.
+    """
     require_columns(posts, ["Author", "party", LABEL])
+    spark = posts.sparkSession
     long = explode_labels(posts, missing_label=missing_label)
-    counts = party_emotions(long)
+    path = path or new_dir(spark, "counts")
+    # Null keys stay in here: which rows a null excludes depends on the table asked for.
+    keys = [c for c in ("party", "political_side", "topic", LABEL) if c in posts.columns]
+    long.groupBy(*keys).count().write.mode("overwrite").parquet(path)
+    cells = spark.read.parquet(path)
+
+    counts = roll_up(cells, ["party", LABEL])
     top = top_counts(counts, "party")
     tables = {
         "party_counts": counts,
@@ -71,9 +77,9 @@ def analyse(
         "party_top3_lines": top_line(top, "party"),
         "party_shares": with_percentage(counts, "party"),
     }
-    if "topic" in posts.columns:
-        rest = party_emotions(drop_values(long, "topic", excluded_topics))
-        by_topic = topic_party_emotions(long)
+    if "topic" in keys:
+        rest = roll_up(drop_values(cells, "topic", excluded_topics), ["party", LABEL])
+        by_topic = roll_up(cells, ["topic", "party", LABEL])
         topics = focus_topics(by_topic, focus)
         tables |= {
             "party_shares_without_excluded": with_percentage(rest, "party"),
@@ -83,10 +89,10 @@ def analyse(
             "topic_party_shares": with_percentage(
                 by_topic.join(F.broadcast(topics.select("topic")), "topic"), ["topic", "party"]
             ),
-            "topic_shares": topic_shares(long, topics),
+            "topic_shares": topic_shares(cells, topics),
         }
-    if "political_side" in posts.columns:
-        sides = side_emotions(long)
+    if "political_side" in keys:
+        sides = roll_up(cells, ["political_side", LABEL])
         tables |= {
             "side_top3": top_counts(sides, "political_side"),
             "side_shares": with_percentage(sides, "political_side"),

@@ -13,7 +13,7 @@ from affectframe.operators.split import label_index as index_labels, stratified_
 from affectframe.operators.topics import prototype_scores, prototypes
 from affectframe.plans.label import emotions_of
 from affectframe.plans.train import Evaluation, train_and_evaluate
-from affectframe.queries.registry import query, table
+from affectframe.queries.registry import documents, query, table
 from affectframe.session import new_dir
 
 LABELS = ("de", "en", "es", "fr")
@@ -80,7 +80,7 @@ predicted AS (SELECT *, {pred} AS pred, greatest({every}) AS top FROM logs)"""
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return documents(spark, sf, "doc_id", "text", "lang")
 
 
 def _model(spark: SparkSession, sf: str) -> BayesModel:
@@ -242,7 +242,7 @@ _JUDGED = """judged AS (SELECT d.doc_id, text, CASE toxic WHEN 1 THEN 'toxic' EL
 
 @query(_report_sql("judged", "verdict", ("fine", "toxic")).replace("WITH ", f"WITH {_JUDGED}, ", 1))
 def eval_report_rare_class(spark: SparkSession, sf: str) -> DataFrame:
-    judged = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select(
+    judged = documents(spark, sf, "doc_id", "text").join(table(spark, sf, "labels"), "doc_id").select(
         "doc_id", "text", F.when(F.col("toxic") == 1, "toxic").otherwise("fine").alias("verdict")
     )
     return train_and_evaluate(judged, "text", "verdict", "doc_id").report
@@ -313,7 +313,7 @@ def _vowel_counts(texts: list[str]) -> list[list[float]]:
   (length(text) - length(replace(text, 'o', '')))::DOUBLE AS o, false AS failed
 FROM documents""")
 def external_scorer(spark: SparkSession, sf: str) -> DataFrame:
-    scored = score_externally(table(spark, sf, "documents"), "text", "doc_id", list("aeo"), _vowel_counts)
+    scored = score_externally(documents(spark, sf, "doc_id", "text"), "text", "doc_id", list("aeo"), _vowel_counts)
     return scored.select("doc_id", *[
         F.col("scores")[i]["score"].alias(v) for i, v in enumerate("aeo")
     ], F.col("error").isNotNull().alias("failed"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affectframe.operators.joins import dimension_join
+from affectframe.sources.readers import spread
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +39,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
+    """Documents for work on their texts, with the named columns (all if none are)."""
+    frame = table(spark, sf, "documents")
+    return spread(frame.select(*columns) if columns else frame, "doc_id")
+
+
 def authors(spark: SparkSession, sf: str) -> DataFrame:
     """Author dimension: ``Author, party, political_side``."""
     customer, nation, region = (table(spark, sf, t) for t in ("customer", "nation", "region"))

@@ -14,7 +14,7 @@ from affectframe.operators.filters import drop_ceremonial, drop_events, drop_sho
 from affectframe.operators.ranking import first_per_label, sample_per_group as sample, sample_report
 from affectframe.operators.split import rename
 from affectframe.plans.collect import eligible
-from affectframe.queries.registry import query, table
+from affectframe.queries.registry import documents, query, table
 from affectframe.functions.times import parse_post_date
 
 # What invented prose lacks: marks of reposts, addresses, names, signs and short words.
@@ -28,7 +28,7 @@ def _decorated(spark: SparkSession, sf: str) -> DataFrame:
         return [first] + [c for part in others for c in (F.col("doc_id").cast("string"), part)]
 
     text = F.concat(*filled(_BEFORE), F.col("text"), *filled(_AFTER))
-    return table(spark, sf, "documents").select("doc_id", text.alias("text"))
+    return documents(spark, sf, "doc_id", "text").select("doc_id", text.alias("text"))
 
 
 def _sql_text(template: str) -> str:
@@ -135,7 +135,9 @@ def _phrased(spark: SparkSession, sf: str) -> DataFrame:
     phrase = F.lit("iyi kiler")
     for lang, words in _PHRASES.items():
         phrase = F.when(F.col("lang") == lang, words).otherwise(phrase)
-    return table(spark, sf, "documents").withColumn("text", F.concat("text", F.lit(" "), phrase))
+    return documents(spark, sf, "doc_id", "text", "lang").withColumn(
+        "text", F.concat("text", F.lit(" "), phrase)
+    )
 
 
 PHRASED = "phrased AS (SELECT doc_id, lang, text || ' ' || CASE lang " + " ".join(
@@ -161,7 +163,7 @@ def ceremonial_filter(spark: SparkSession, sf: str) -> DataFrame:
 FROM documents""")
 def custom_word_lists(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    return table(spark, sf, "documents").select(
+    return documents(spark, sf, "doc_id", "text").select(
         "doc_id",
         mentions_any(text, ["tion the", "elle"]).alias("announces"),
         is_ceremonial(text, ["the", "une elle", "de[rn]"]).alias("ceremonial"),
@@ -171,7 +173,7 @@ def custom_word_lists(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""SELECT doc_id FROM documents
 WHERE len(list_filter(regexp_split_to_array(text, '[^{_W}]+'), lambda x: x <> '')) >= 40""")
 def short_text_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return drop_short(table(spark, sf, "documents"), "text", 40).select("doc_id")
+    return drop_short(documents(spark, sf, "doc_id", "text"), "text", 40).select("doc_id")
 
 
 @query(f"""WITH {DECORATED}, cleaned AS (SELECT doc_id, {_CLEAN_SQL} AS text FROM decorated)

@@ -9,7 +9,7 @@ from affectframe.constants import TOPICS
 from affectframe.functions.scores import label_or_uncertain, lookup
 from affectframe.operators.topics import label_topics, parse_topics
 from affectframe.queries.models import _VECTORS, _vector_scores
-from affectframe.queries.registry import query, table
+from affectframe.queries.registry import documents, query, table
 
 # Words of the invented prose, grouped as if they were topics.
 LEXICON = {
@@ -35,7 +35,7 @@ best AS (SELECT *, greatest(s0, s1, s2, s3) AS top FROM scores)"""
   WHEN s0 = top THEN 'economy' WHEN s1 = top THEN 'foreign_policy' WHEN s2 = top THEN 'sports' ELSE 'disaster' END AS topic
 FROM best""")
 def topic_lexicon(spark: SparkSession, sf: str) -> DataFrame:
-    return label_topics(table(spark, sf, "documents"), "text", lexicon=LEXICON).select("doc_id", "topic")
+    return label_topics(documents(spark, sf, "doc_id", "text"), "text", lexicon=LEXICON).select("doc_id", "topic")
 
 
 @query(f"""WITH {_VECTORS} SELECT vec_id, CASE WHEN score < 0.35 THEN 'uncertain' ELSE 'topic ' || label END AS topic,

@@ -76,6 +76,18 @@ def read_labelled(spark: SparkSession, path: str, format: str = "parquet") -> Da
     return require_columns(posts, ["Author", "party", "predicted_emotions"])
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a scan hashed over all cores, if the scan has fewer tasks than there are.
+
+    A file of one row group is read by one task, and costly work on its texts would
+    stay there. A scan of many files, as any large one is, is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def text_column(df: DataFrame) -> str:
     """``Text`` if there is one, else the first column."""
     return first_present(df, ["Text"]) or df.columns[0]
