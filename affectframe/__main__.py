@@ -104,11 +104,13 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         value_distribution(labelled, "topic").show(truncate=False)
         topic_samples(labelled).orderBy("heading", "ordinal").show(100, truncate=False)
     elif args.job == "train":
+        # The training file has no IDs. They are stored with the rows, so that every job
+        # that reads the rows again sees the same ones.
         training = read_training_set(spark, args.training)
-        # The training file has no IDs; equal rows may share one, they fall together.
-        keyed = training.withColumn("id", F.sha2(F.concat_ws("\x1f", "emotion", "text"), 256))
+        write_table(training.withColumn("id", F.monotonically_increasing_id()), f"{args.model}/training")
         result = train_and_evaluate(
-            keyed, fraction=args.fraction, seed=args.seed, path=args.model
+            spark.read.parquet(f"{args.model}/training"),
+            fraction=args.fraction, seed=args.seed, path=args.model,
         )
         write_label_map(spark, f"{args.model}/label_map", [str(x) for x in result.model.labels])
         for table in (result.accuracy, result.report.orderBy("section", "class"), result.confusion):

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from affectframe.constants import COLLECT_FROM
+from affectframe.functions.text import missing_to_null
 from affectframe.functions.times import parse_post_date
 from affectframe.plans.collect import eligible
 from affectframe.schemas import RAW_POSTS
@@ -84,7 +85,10 @@ def ingest(
 ) -> StreamingQuery:
     """Landed post files to the table of eligible posts, one of each ID, by author."""
     posts = stream_files(spark, landing, **source)
-    posts = posts.withColumn("ts", event_time(parse_post_date(F.col("Date"))))
+    posts = posts.withColumns({
+        "Author": missing_to_null(F.col("Author")),
+        "ts": event_time(parse_post_date(F.col("Date"))),
+    })
     kept = drop_repeated(eligible(posts, F.col("ts"), since=since, zone=zone))
     return append_to(kept, table, checkpoint, partition_by=["Author"])
 
