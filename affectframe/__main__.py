@@ -104,12 +104,11 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         value_distribution(labelled, "topic").show(truncate=False)
         topic_samples(labelled).orderBy("heading", "ordinal").show(100, truncate=False)
     elif args.job == "train":
-        # The training file has no IDs. They are stored with the rows, so that every job
-        # that reads the rows again sees the same ones.
+        # The training file has no IDs. The job stores the rows with the IDs given here,
+        # so that all its steps see the same ones.
         training = read_training_set(spark, args.training)
-        write_table(training.withColumn("id", F.monotonically_increasing_id()), f"{args.model}/training")
         result = train_and_evaluate(
-            spark.read.parquet(f"{args.model}/training"),
+            training.withColumn("id", F.monotonically_increasing_id()),
             fraction=args.fraction, seed=args.seed, path=args.model,
         )
         write_label_map(spark, f"{args.model}/label_map", [str(x) for x in result.model.labels])

@@ -120,8 +120,8 @@ MISSING_TOKENS = (
 
 # --- Limits of our own ------------------------------------------------------
 
-# A side of a join is broadcast only if counted to be at most this long.
-BROADCAST_ROWS = 1_000_000
+# A side of a join is broadcast only if measured to be at most this large.
+BROADCAST_BYTES = 128 * 1024 * 1024
 # Label sets are the only thing read back to the driver; more than this is an error.
 MAX_CLASSES = 1_000
 # A key is hot with at least this part of all rows: there are at most HOT_PARTS such keys.

@@ -14,16 +14,21 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from affectframe.constants import BROADCAST_BYTES
 from affectframe.functions.scores import best, score_vector, softmax
 from affectframe.functions.text import is_blank, tokens
 from affectframe.operators.ranking import top_n_per_group
 from affectframe.operators.split import class_counts
+from affectframe.session import new_dir
+from affectframe.tables import is_bounded
 
 UNIT = 1_000_000_000
-# A model is broadcast whole if its rows, counted, need at most this many bytes.
-BROADCAST_BYTES = 128 * 1024 * 1024
-# Otherwise words with at least 1/HEAD of all occurrences are: at most HEAD words.
+# A model too large to be broadcast is split by word frequency: words with at least
+# 1/HEAD of all occurrences are broadcast. There are at most HEAD of them, and together
+# they are no longer than HEAD words of average length.
 HEAD = 100_000
+# Stands for the post itself among the counted words.
+_POST = ""
 
 
 @dataclass(frozen=True)
@@ -43,24 +48,12 @@ class BayesModel:
         total = sum(self.docs)
         return tuple(round(math.log(n / total) * UNIT) for n in self.docs)
 
-    def save(self, path: str) -> BayesModel:
-        """Write the model below ``path`` and return it as read from there."""
-        spark = self.weights.sparkSession
-        classes = [(i, str(name), n) for i, (name, n) in enumerate(zip(self.labels, self.docs))]
-        self.weights.write.mode("overwrite").parquet(f"{path}/weights")
-        spark.createDataFrame(classes, "idx int, label string, docs bigint").coalesce(1).write.mode(
-            "overwrite"
-        ).parquet(f"{path}/classes")
-        return load(spark, path)
-
 
 def load(spark: SparkSession, path: str) -> BayesModel:
-    classes = spark.read.parquet(f"{path}/classes").orderBy("idx").collect()
-    return BayesModel(
-        tuple(row.label for row in classes),
-        tuple(row.docs for row in classes),
-        spark.read.parquet(f"{path}/weights"),
-    )
+    """A trained model from its folder."""
+    counts = spark.read.parquet(f"{path}/counts")
+    docs = class_counts(counts.filter(F.col("token") == _POST), "label", weight=F.col("count"))
+    return BayesModel(tuple(docs), tuple(docs.values()), spark.read.parquet(f"{path}/weights"))
 
 
 def words(posts: DataFrame, text: str, *carried: Column | str) -> DataFrame:
@@ -70,35 +63,47 @@ def words(posts: DataFrame, text: str, *carried: Column | str) -> DataFrame:
     )
 
 
-def train(posts: DataFrame, text: str, label: str, alpha: float = 1.0) -> BayesModel:
-    """Word weights per label with additive smoothing.
+def train(
+    posts: DataFrame, text: str, label: str, alpha: float = 1.0, path: str | None = None
+) -> BayesModel:
+    """Train with additive smoothing and store the model below ``path`` (or in a new
+    folder of the shared one).
 
-    The label column is counted at once; the rest is lazy. Counting adds up per word
-    and label in the map tasks, so a frequent word sends one row per task, not one per
-    occurrence.
+    The texts are read once, to count words per label. Counts are added up in the map
+    tasks, so a frequent word sends one row per task and label, not one per occurrence.
+    Everything else is worked out from the table of counts.
     """
-    posts = posts.na.drop(subset=[text, label])
-    classes = class_counts(posts, label)
-    here = [F.count_if(F.col("_label") == F.lit(name)).alias(f"n{i}") for i, name in enumerate(classes)]
-    counts = words(posts, text, F.col(label).alias("_label")).groupBy("token").agg(*here)
-    columns = [F.col(f"n{i}") for i in range(len(classes))]
-    totals = counts.agg(F.struct(
+    spark = posts.sparkSession
+    path = path or new_dir(spark, "model")
+    # An empty word at the end of every post counts the posts in the same pass.
+    found = F.filter(tokens(F.col(text)), lambda t: t != "")
+    listed = posts.na.drop(subset=[text, label]).select(
+        F.col(label).alias("label"), F.explode(F.array_append(found, F.lit(_POST))).alias("token")
+    )
+    listed.groupBy("label", "token").count().write.mode("overwrite").parquet(f"{path}/counts")
+    counts = spark.read.parquet(f"{path}/counts")
+    labels = list(class_counts(counts.filter(F.col("token") == _POST), "label"))
+
+    per_word = counts.filter(F.col("token") != _POST).groupBy("token").agg(*[
+        F.sum(F.when(F.col("label") == name, F.col("count")).otherwise(0)).alias(f"n{i}")
+        for i, name in enumerate(labels)
+    ])
+    columns = [F.col(f"n{i}") for i in range(len(labels))]
+    totals = per_word.agg(F.struct(
         F.count("*").alias("vocabulary"), *[F.sum(c).alias(f"t{i}") for i, c in enumerate(columns)]
     ).alias("totals")).scalar()
-    weights = counts.withColumn("_totals", totals).select(
+
+    def weight(i: int) -> Column:
+        whole = F.col(f"_totals.t{i}") + F.col("_totals.vocabulary") * alpha
+        return F.round(F.ln((columns[i] + alpha) / whole) * UNIT).cast("bigint")
+
+    weights = per_word.withColumn("_totals", totals).select(
         "token",
         sum(columns[1:], columns[0]).alias("n"),
-        F.array(*[
-            F.round(F.ln((c + alpha) / (F.col(f"_totals.t{i}") + F.col("_totals.vocabulary") * alpha)) * UNIT)
-            .cast("bigint")
-            for i, c in enumerate(columns)
-        ]).alias("w"),
+        F.array(*[weight(i) for i in range(len(labels))]).alias("w"),
     )
-    return BayesModel(tuple(classes), tuple(classes.values()), weights)
-
-
-def _fits_broadcast(model: BayesModel, max_bytes: int, token_bytes: int = 64) -> bool:
-    return model.weights.count() * (token_bytes + 8 * len(model.labels)) <= max_bytes
+    weights.write.mode("overwrite").parquet(f"{path}/weights")
+    return load(spark, path)
 
 
 def _word_sums(
@@ -113,7 +118,7 @@ def _word_sums(
     sums = [
         F.coalesce(F.sum(F.col("w")[i]), F.lit(0)).alias(f"s{i}") for i in range(len(model.labels))
     ]
-    if _fits_broadcast(model, max_bytes):
+    if is_bounded(model.weights, max_bytes):
         # A post's words are all in one task: its partial sum is one row in the shuffle.
         return rows.join(F.broadcast(weights), "token", "left").groupBy(*keys).agg(*sums)
 
@@ -149,7 +154,7 @@ def score(
     """Each post's ID, carried columns and ``scores``: log scores in label order.
 
     ``carry`` names narrow columns that depend on the ID. A missing or blank text has
-    an empty score vector. The model is counted to choose the join.
+    an empty score vector. The model is measured to choose the join.
     """
     keys = [id, *carry, "_blank"]
     marked = posts.withColumn("_blank", is_blank(F.col(text)))
@@ -190,7 +195,7 @@ def _known_words(
 ) -> DataFrame:
     """Word counts joined with centred weights, by the same choice as for scoring."""
     table = _centred(model)
-    if _fits_broadcast(model, max_bytes):
+    if is_bounded(model.weights, max_bytes):
         return counts.join(F.broadcast(table), "token")
     occurrences = model.weights.agg(F.sum("n").alias("n")).scalar()
     frequent = F.col("n") * head >= occurrences

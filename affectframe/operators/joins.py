@@ -5,12 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affectframe.constants import BROADCAST_ROWS, HOT_PARTS
-
-
-def is_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether a table has at most ``max_rows`` rows. Runs one counting job over it."""
-    return df.count() <= max_rows
+from affectframe.constants import BROADCAST_BYTES, HOT_PARTS
+from affectframe.tables import is_bounded
 
 
 def join_on_key(
@@ -20,12 +16,12 @@ def join_on_key(
     how: str,
     *,
     null_keys_match: bool = False,
-    max_rows: int = BROADCAST_ROWS,
+    max_bytes: int = BROADCAST_BYTES,
     hot_parts: int = HOT_PARTS,
 ) -> DataFrame:
     """Left, left semi or left anti join of facts with another table on one key.
 
-    The other table is counted first. Up to ``max_rows`` it is broadcast, and the
+    The other table is measured first. Up to ``max_bytes`` it is broadcast, and the
     facts stay where they are, however skewed their key.
 
     Beyond that, keys with at least 1/``hot_parts`` of all facts are treated apart.
@@ -42,7 +38,7 @@ def join_on_key(
         result = left.join(partners, same, kind)
         return result.drop("_key") if kind == "left" else result
 
-    if is_bounded(other, max_rows):
+    if is_bounded(other, max_bytes):
         return joined(facts, F.broadcast(right), how)
 
     rows = facts.select(F.count("*").alias("rows")).scalar()
@@ -54,8 +50,8 @@ def join_on_key(
     hot_partners = right.join(F.broadcast(hot), right["_key"].eqNullSafe(hot["_hot"]), "left_semi")
     if how != "left":
         hot_partners = hot_partners.select("_key").distinct()
-    # A key may be listed many times in the other table; only a counted list is broadcast.
-    if how != "left" or is_bounded(hot_partners, max(max_rows, hot_parts)):
+    # A key may be listed many times in the other table; only a measured list is broadcast.
+    if how != "left" or is_bounded(hot_partners):
         hot_partners = F.broadcast(hot_partners)
     is_hot = facts[key].eqNullSafe(hot["_hot"])
     hot_facts = facts.join(F.broadcast(hot), is_hot, "left_semi")

@@ -5,37 +5,41 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affectframe.constants import MAX_CLASSES
 from affectframe.operators.ranking import seeded_order
+from affectframe.session import new_dir
+from affectframe.tables import literal_table
 
 # Rows are binned by this many hexadecimal digits of their hash.
 _BIN_DIGITS = 4
 
 
-def label_index(df: DataFrame, label: str) -> DataFrame:
-    """Labels in alphabetical order with their position, ``(idx, label)``."""
-    names = df.na.drop(subset=[label]).select(F.col(label).alias("label")).distinct()
-    place = F.row_number().over(Window.partitionBy().orderBy("label")) - 1
-    return names.select(place.cast("int").alias("idx"), "label")
-
+def class_counts(
+    df: DataFrame, label: str, *, weight: Column | None = None, max_classes: int = MAX_CLASSES
+) -> dict:
+    """Row count (or sum of weights) of each label, alphabetically, on the driver.
 
-def class_counts(df: DataFrame, label: str, max_classes: int = MAX_CLASSES) -> dict:
-    """Row count of each label, alphabetically, on the driver.
-
-    Runs one job that reads only the label column. A column with more values than a
-    label set may have is refused, which also bounds every table with one row per label.
+    Runs one job that reads only these columns. A column with more values than a label
+    set may have is refused, which also bounds every table with one row per label.
     """
-    counts = df.na.drop(subset=[label]).groupBy(label).count()
+    total = F.count("*") if weight is None else F.sum(weight)
+    counts = df.na.drop(subset=[label]).groupBy(label).agg(total)
     rows = counts.limit(max_classes + 1).collect()
     if len(rows) > max_classes:
         raise ValueError(f"more than {max_classes} classes in column {label!r}")
     return dict(sorted((row[0], row[1]) for row in rows))
 
 
+def label_index(df: DataFrame, label: str) -> DataFrame:
+    """Labels in alphabetical order with their position, ``(idx, label)``. Runs one job."""
+    schema = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("label", df.schema[label].dataType)])
+    return literal_table(df.sparkSession, list(enumerate(class_counts(df, label))), schema)
+
+
 def split_quotas(counts: Mapping, fraction: float = 0.15) -> dict:
     """How many rows of each label to hold out.
 
@@ -52,54 +56,65 @@ def split_quotas(counts: Mapping, fraction: float = 0.15) -> dict:
     return quotas
 
 
-def stratified_split(
-    df: DataFrame,
-    label: str,
-    id: str,
-    *,
-    fraction: float = 0.15,
-    seed: int = 42,
-    held: str = "held_out",
-) -> DataFrame:
-    """The frame with a flag for rows held out, exactly the quota of every label.
+def _split_cuts(df: DataFrame, label: str, id: str, fraction: float, seed: int, path: str) -> DataFrame:
+    """Per label, hash and ID of the last row to hold out: ``_label, _cut_hash, _cut_id``.
 
-    Within a label the rows with the lowest seeded hashes are held out. Instead of
-    ranking whole labels, the quota-th hash of each label is looked up: count rows
-    per hash bin, find the bin where the quota is reached, and rank only that bin's
-    rows. The frame itself is then flagged row by row against one cut per label,
-    without being moved. Rows with a null label or ID are dropped. One counting job
-    over the label column runs at once.
+    Whole labels are never ranked. Rows are counted per bin of their hash; in the bin
+    where a label's quota is reached the rows are ranked to find the quota-th one.
+    Counts and cuts are small and written below ``path``, so nothing is counted twice.
     """
-    df = df.na.drop(subset=[label, id])
+    spark = df.sparkSession
     keyed = df.select(
         F.col(label).alias("_label"), F.col(id).alias("_id"), seeded_order(id, seed).alias("_hash")
     ).withColumn("_bin", F.substring("_hash", 1, _BIN_DIGITS))
+    keyed.groupBy("_label", "_bin").count().write.mode("overwrite").parquet(f"{path}/bins")
+    bins = spark.read.parquet(f"{path}/bins")
 
-    bins = keyed.groupBy("_label", "_bin").count()
-    reached = Window.partitionBy("_label").orderBy("_bin")
-    upto = bins.withColumn("_upto", F.sum("count").over(reached))
-    quotas = df.sparkSession.createDataFrame(
-        list(split_quotas(class_counts(df, label), fraction).items()),
-        T.StructType([
-            T.StructField("_label", df.schema[label].dataType), T.StructField("quota", T.LongType())
-        ]),
+    quotas = literal_table(
+        spark,
+        list(split_quotas(class_counts(bins, "_label", weight=F.col("count")), fraction).items()),
+        T.StructType([bins.schema["_label"], T.StructField("quota", T.LongType())]),
     )
+    upto = F.sum("count").over(Window.partitionBy("_label").orderBy("_bin"))
+    reached = (F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("count") < F.col("quota"))
     cut_bins = (
-        upto.join(F.broadcast(quotas), "_label")
-        .filter((F.col("_upto") >= F.col("quota")) & (F.col("_upto") - F.col("count") < F.col("quota")))
+        bins.withColumn("_upto", upto).join(F.broadcast(quotas), "_label").filter(reached)
         .select("_label", "_bin", (F.col("quota") - F.col("_upto") + F.col("count")).alias("_take"))
     )
-    inside = keyed.join(F.broadcast(cut_bins), ["_label", "_bin"])
-    order = Window.partitionBy("_label").orderBy("_hash", "_id")
+    place = F.row_number().over(Window.partitionBy("_label").orderBy("_hash", "_id"))
     cuts = (
-        inside.withColumn("_place", F.row_number().over(order))
+        keyed.join(F.broadcast(cut_bins), ["_label", "_bin"])
+        .withColumn("_place", place)
         .filter(F.col("_place") == F.col("_take"))
         .select("_label", F.col("_hash").alias("_cut_hash"), F.col("_id").alias("_cut_id"))
     )
+    cuts.write.mode("overwrite").parquet(f"{path}/cuts")
+    return spark.read.parquet(f"{path}/cuts")
+
+
+def stratified_split(
+    df: DataFrame,
+    label: str,
+    id: str,
+    *,
+    fraction: float = 0.15,
+    seed: int = 42,
+    held: str = "held_out",
+    path: str | None = None,
+) -> DataFrame:
+    """The frame with a flag for rows held out, exactly the quota of every label.
+
+    Within a label the rows with the lowest seeded hashes are held out. The cut of each
+    label is looked up at once, by jobs that read only label and ID; the frame itself is
+    then flagged row by row and never moved. Rows with a null label or ID are dropped.
+    """
+    df = df.na.drop(subset=[label, id])
+    path = path or new_dir(df.sparkSession, "split")
+    cuts = _split_cuts(df, label, id, fraction, seed, path)
     key = seeded_order(id, seed)
     below = (key < F.col("_cut_hash")) | ((key == F.col("_cut_hash")) & (F.col(id) <= F.col("_cut_id")))
+    # One row per label at most, and labels are counted; a quota of zero has no cut.
     flagged = df.join(F.broadcast(cuts), df[label] == cuts["_label"], "left")
-    # A label whose quota is zero has no cut.
     return flagged.withColumn(held, F.coalesce(below, F.lit(False))).drop(
         "_label", "_cut_hash", "_cut_id"
     )

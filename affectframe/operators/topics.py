@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affectframe.constants import TOPIC_THRESHOLD, TOPICS
+from affectframe.constants import MAX_CLASSES, TOPIC_THRESHOLD, TOPICS
 from affectframe.functions.once import bind
 from affectframe.functions.scores import label_or_uncertain
 from affectframe.functions.text import tokens
@@ -127,9 +127,11 @@ def _dot(left: Column, right: Column) -> Column:
 def prototype_scores(vectors: DataFrame, vector: str, means: DataFrame) -> DataFrame:
     """Add ``scores``: the cosine of each vector with every label's prototype.
 
-    ``means`` has one row per label. They are gathered into one value of the plan, so
-    each vector is compared where it is and emits one row.
+    ``means`` has one row per label. They are counted, then gathered into one value of
+    the plan, so each vector is compared where it is and emits one row.
     """
+    if means.count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} prototypes")
     listed = F.sort_array(F.collect_list(F.struct("label", "prototype")))
     unit = F.transform(listed, lambda m: F.struct(
         m["label"].cast("string").alias("label"),

@@ -37,16 +37,21 @@ def train_and_evaluate(
     seed: int = 42,
     path: str | None = None,
 ) -> Evaluation:
-    """Train on a stratified part of the posts, save the model, evaluate on the rest.
+    """Train on a stratified part of the posts, evaluate on the rest.
 
-    Model and pair counts are written to ``path`` (or to a new folder in the shared
-    one): the reports read the small table of pairs instead of scoring again.
+    Usable posts, split, model and pair counts are stored below ``path`` (or in a new
+    folder of the shared one). Each later step reads what it needs of them: the split
+    reads labels and IDs only, the reports read the small table of pairs.
     """
     spark = posts.sparkSession
-    path = path or new_dir(spark, "model")
-    posts = drop_blank(drop_missing(posts, [text, label]), text)
-    split = stratified_split(posts, label, id, fraction=fraction, seed=seed)
-    model = train(split.filter(~F.col("held_out")), text, label).save(path)
+    path = path or new_dir(spark, "training")
+    usable = drop_blank(drop_missing(posts, [text, label]), text)
+    usable.select(id, text, label).write.mode("overwrite").parquet(f"{path}/usable")
+    usable = spark.read.parquet(f"{path}/usable")
+    split = stratified_split(
+        usable, label, id, fraction=fraction, seed=seed, path=f"{path}/split"
+    )
+    model = train(split.filter(~F.col("held_out")), text, label, path=path)
     predictions = predict(model, split.filter("held_out"), text, id, carry=[label])
     pair_counts(predictions, label, "pred").write.mode("overwrite").parquet(f"{path}/pairs")
     pairs = spark.read.parquet(f"{path}/pairs")

@@ -228,13 +228,13 @@ SELECT 'all' AS kind, party, count(*) AS count FROM posts GROUP BY party
 UNION ALL SELECT 'member', party, count(*) FROM posts WHERE "Author" IN (FROM debtors) GROUP BY party
 UNION ALL SELECT 'other', party, count(*) FROM posts WHERE "Author" NOT IN (FROM debtors) GROUP BY party""")
 def joins_without_broadcast(spark: SparkSession, sf: str) -> DataFrame:
-    """The joins for tables too long to broadcast, forced by a limit of zero rows.
+    """The joins for tables too long to broadcast, forced by a limit of zero.
 
     With so few authors in the tables every key is hot at the usual limit; this one
     leaves some on either side.
     """
     people = authors(spark, sf)
-    limits = {"max_rows": 0, "hot_parts": people.count()}
+    limits = {"max_bytes": 0, "hot_parts": people.count()}
     joined = dimension_join(bare_posts(spark, sf), people, "Author", **limits)
     debtors = table(spark, sf, "customer").filter(F.col("c_acctbal") < 0).select(
         F.col("c_custkey").alias("Author")

@@ -14,7 +14,6 @@ from affectframe.operators.topics import prototype_scores, prototypes
 from affectframe.plans.label import emotions_of
 from affectframe.plans.train import Evaluation, train_and_evaluate
 from affectframe.queries.registry import documents, query, table
-from affectframe.session import new_dir
 
 LABELS = ("de", "en", "es", "fr")
 
@@ -84,7 +83,7 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str) -> BayesModel:
-    return train(_documents(spark, sf), "text", "lang").save(new_dir(spark, "model"))
+    return train(_documents(spark, sf), "text", "lang")
 
 
 _MODEL = _model_sql("documents", "lang", LABELS)
@@ -93,7 +92,7 @@ _MODEL = _model_sql("documents", "lang", LABELS)
 @query(f"WITH {_MODEL} SELECT token, n, "
        + ", ".join(f"round(w{i} / 1e9, 6) AS w_{x}" for i, x in enumerate(LABELS)) + " FROM model")
 def nb_model(spark: SparkSession, sf: str) -> DataFrame:
-    model = train(_documents(spark, sf), "text", "lang")
+    model = _model(spark, sf)
     return model.weights.select("token", "n", *[
         F.round(F.col("w")[i] / 1e9, 6).alias(f"w_{name}") for i, name in enumerate(model.labels)
     ])

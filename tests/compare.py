@@ -35,6 +35,10 @@ def _sorted(columns, rows):
     return [columns[i] for i in order], sorted(table, key=repr)
 
 
+# Spark's and DuckDB's names of the types that results are made of.
+KINDS = {"string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def differences(spark_df, connection, sql: str) -> list[str]:
     """Empty if both sides have the same columns, kinds of types and rows."""
     result = connection.execute(sql)
@@ -43,6 +47,10 @@ def differences(spark_df, connection, sql: str) -> list[str]:
     ours = _sorted(spark_df.columns, [tuple(row) for row in spark_df.collect()])
     if ours[0] != theirs[0]:
         return [f"columns {ours[0]} != {theirs[0]}"]
+    kinds = {f.name: KINDS.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema.fields}
+    their_kinds = {d[0]: str(d[1]) for d in result.description}
+    if kinds != their_kinds:
+        return [f"types {name}: {kinds[name]} != {their_kinds[name]}" for name in kinds if kinds[name] != their_kinds[name]]
     if len(ours[1]) != len(theirs[1]):
         return [f"{len(ours[1])} rows != {len(theirs[1])}"]
     wrong = [(a, b) for a, b in zip(ours[1], theirs[1]) if a != b or _types(a) != _types(b)]

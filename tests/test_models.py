@@ -22,7 +22,7 @@ def posts(spark):
 
 @pytest.fixture(scope="module")
 def model(posts, tmp_path_factory):
-    return B.train(posts, "Text", "emotion").save(str(tmp_path_factory.mktemp("m") / "model"))
+    return B.train(posts, "Text", "emotion", path=str(tmp_path_factory.mktemp("m") / "model"))
 
 
 def _expected(text):

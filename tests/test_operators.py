@@ -35,7 +35,7 @@ def people(spark):
 def test_joins_are_the_same_without_broadcast(facts, people, nulls, hot_parts):
     options = {"null_keys_match": nulls}
     small = J.dimension_join(facts, people, "Author", **options)
-    large = J.dimension_join(facts, people, "Author", max_rows=0, hot_parts=hot_parts, **options)
+    large = J.dimension_join(facts, people, "Author", max_bytes=0, hot_parts=hot_parts, **options)
     assert _rows(small) == _rows(large)
     # Doubled by the two rows of "a"; the missing author matches only if asked for.
     assert small.count() == 67
@@ -43,7 +43,7 @@ def test_joins_are_the_same_without_broadcast(facts, people, nulls, hot_parts):
     assert small.filter("ID = 103").first().party is None
 
 
-@pytest.mark.parametrize("options", [{}, {"max_rows": 0, "hot_parts": 2}])
+@pytest.mark.parametrize("options", [{}, {"max_bytes": 0, "hot_parts": 2}])
 def test_membership(facts, people, options):
     inside = J.keep_matching(facts, people, "Author", **options)
     outside = J.drop_matching(facts, people, "Author", **options)
@@ -282,7 +282,7 @@ def test_split_is_exact(spark, fraction):
 
 def test_too_many_classes_are_refused(spark):
     with pytest.raises(ValueError, match="more than 10 classes"):
-        class_counts(spark.range(100), "id", 10)
+        class_counts(spark.range(100), "id", max_classes=10)
 
 
 # --- topics, scorer, schemas ------------------------------------------------------
