@@ -27,8 +27,8 @@ UNIT = 1_000_000_000
 # 1/HEAD of all occurrences are broadcast. There are at most HEAD of them, and together
 # they are no longer than HEAD words of average length.
 HEAD = 100_000
-# Stands for the post itself among the counted words.
-_POST = ""
+# Stands for the post itself among the counted words; no word contains a space.
+_POST = " "
 
 
 @dataclass(frozen=True)
@@ -75,14 +75,15 @@ def train(
     """
     spark = posts.sparkSession
     path = path or new_dir(spark, "model")
-    # An empty word at the end of every post counts the posts in the same pass.
-    found = F.filter(tokens(F.col(text)), lambda t: t != "")
-    listed = posts.na.drop(subset=[text, label]).select(
-        F.col(label).alias("label"), F.explode(F.array_append(found, F.lit(_POST))).alias("token")
-    )
-    listed.groupBy("label", "token").count().write.mode("overwrite").parquet(f"{path}/counts")
+    # One more word at the end of every post counts the posts in the same pass.
+    listed = F.array_append(tokens(F.col(text)), F.lit(_POST))
+    counted = posts.na.drop(subset=[text, label]).select(
+        F.col(label).alias("label"), F.explode(listed).alias("token")
+    ).filter(F.col("token") != "")
+    counted.groupBy("label", "token").count().write.mode("overwrite").parquet(f"{path}/counts")
     counts = spark.read.parquet(f"{path}/counts")
-    labels = list(class_counts(counts.filter(F.col("token") == _POST), "label"))
+    docs = class_counts(counts.filter(F.col("token") == _POST), "label", weight=F.col("count"))
+    labels = list(docs)
 
     per_word = counts.filter(F.col("token") != _POST).groupBy("token").agg(*[
         F.sum(F.when(F.col("label") == name, F.col("count")).otherwise(0)).alias(f"n{i}")
@@ -103,7 +104,7 @@ def train(
         F.array(*[weight(i) for i in range(len(labels))]).alias("w"),
     )
     weights.write.mode("overwrite").parquet(f"{path}/weights")
-    return load(spark, path)
+    return BayesModel(tuple(docs), tuple(docs.values()), spark.read.parquet(f"{path}/weights"))
 
 
 def _word_sums(

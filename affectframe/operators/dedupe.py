@@ -2,11 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from affectframe.constants import BROADCAST_BYTES
+from affectframe.tables import is_bounded
+
 
+def drop_repeated(posts: DataFrame, key: str = "ID", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per key.
 
-def drop_repeated(posts: DataFrame, keys: Sequence[str] = ("ID",)) -> DataFrame:
-    """One row per key. Copies are merged in the map tasks before the shuffle."""
-    return posts.dropDuplicates(list(keys))
+    Copies are rare, so their keys are looked up first, by a count that moves nothing
+    but keys. If those keys are few enough to be broadcast, only their rows are
+    shuffled to be merged, and all others stay where they are. A key with a large
+    part of all rows is merged in the map tasks.
+    """
+    repeated = (
+        posts.groupBy(F.col(key).alias("_key")).count().filter(F.col("count") > 1).select("_key")
+    )
+    if not is_bounded(repeated, max_bytes):
+        return posts.dropDuplicates([key])
+    is_repeated = posts[key].eqNullSafe(repeated["_key"])
+    single = posts.join(F.broadcast(repeated), is_repeated, "left_anti")
+    copies = posts.join(F.broadcast(repeated), is_repeated, "left_semi")
+    return single.unionByName(copies.dropDuplicates([key]))

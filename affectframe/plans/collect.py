@@ -25,8 +25,8 @@ def collect_posts(
     landed: DataFrame, *, since: str = COLLECT_FROM, zone: str = "UTC", per_author: int | None = 100
 ) -> DataFrame:
     """Eligible posts, one of each ID, at most ``per_author`` newest ones of each author."""
-    posts = landed.withColumn("ts", parse_post_date(F.col("Date")))
-    posts = drop_repeated(eligible(posts, F.col("ts"), since=since, zone=zone))
+    posts = drop_repeated(landed).withColumn("ts", parse_post_date(F.col("Date")))
+    posts = eligible(posts, F.col("ts"), since=since, zone=zone)
     if per_author is not None:
         posts = cap_per_author(posts, per_author)
     return posts.select(*RAW_POSTS.fieldNames())

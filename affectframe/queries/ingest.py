@@ -43,7 +43,14 @@ def union_sources(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_id, event_type, value FROM events")
 def dedupe_by_id(spark: SparkSession, sf: str) -> DataFrame:
     events = table(spark, sf, "events").select("event_id", "event_type", "value")
-    return drop_repeated(union([events, events]), ["event_id"])
+    return drop_repeated(union([events, events]), "event_id")
+
+
+@query("SELECT event_id, event_type, value FROM events")
+def dedupe_many_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """The same where the repeated keys are too many to be broadcast."""
+    events = table(spark, sf, "events").select("event_id", "event_type", "value")
+    return drop_repeated(union([events, events, events]), "event_id", max_bytes=0)
 
 
 @query("""SELECT doc_id AS "ID", 'author ' || source AS "Author", '"' || text || '", they' || chr(10) || 'said' AS "Text",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affectframe.functions.scores import best, decode_labels as decode, softmax, top_labels
-from affectframe.operators.bayes import BayesModel, base_values, explain, predict, train
+from affectframe.operators.bayes import BayesModel, base_values, explain, predict, score, train
 from affectframe.operators.bayes import trigger_words as top_words
 from affectframe.operators.scorer import score_externally
 from affectframe.operators.split import label_index as index_labels, stratified_split as split
@@ -131,8 +131,6 @@ def nb_predict_large_model(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(_NB + "SELECT doc_id, lang, pred AS predicted_emotions, len(string_split(pred, ',')) AS labels FROM predicted")
 def nb_label_lists(spark: SparkSession, sf: str) -> DataFrame:
-    from affectframe.operators.bayes import score
-
     scored = score(_model(spark, sf), _documents(spark, sf), "text", "doc_id", ["lang"])
     decoded = emotions_of(scored)
     return decoded.select(

@@ -9,6 +9,7 @@ from affectframe.functions.times import parse_datetime, utc_naive
 from affectframe.operators.counts import explode_labels
 from affectframe.operators.series import (
     adaptive_series,
+    datetime_column,
     event_series,
     moment_of,
     pivot_series,
@@ -135,8 +136,6 @@ def parse_post_dates(spark: SparkSession, sf: str) -> DataFrame:
 UNION ALL SELECT 'orders', 'Date', count(o_orderdate) FROM orders
 UNION ALL SELECT 'documents', 'none', 0""")
 def column_probing(spark: SparkSession, sf: str) -> DataFrame:
-    from affectframe.operators.series import datetime_column
-
     frames = {
         "events": _event_posts(spark, sf),
         # "date" is sought before "Date", but only an exact spelling counts.

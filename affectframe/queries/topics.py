@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affectframe.constants import TOPICS
-from affectframe.functions.scores import label_or_uncertain, lookup
+from affectframe.functions.scores import best, label_or_uncertain, lookup
 from affectframe.operators.topics import label_topics, parse_topics
 from affectframe.queries.models import _VECTORS, _vector_scores
 from affectframe.queries.registry import documents, query, table
@@ -41,8 +41,6 @@ def topic_lexicon(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {_VECTORS} SELECT vec_id, CASE WHEN score < 0.35 THEN 'uncertain' ELSE 'topic ' || label END AS topic,
   round(score, 6) AS score FROM probabilities WHERE place = 1""")
 def topic_prototype(spark: SparkSession, sf: str) -> DataFrame:
-    from affectframe.functions.scores import best
-
     names = {str(i): f"topic {i}" for i in range(10)}
     return _vector_scores(spark, sf).select(
         "vec_id",

@@ -42,7 +42,7 @@ def landing(tmp_path):
         [8, "bob", "ekonomi için yeni adımlar https://t.co/x", DAY.format(6)],
         [9, "NA", "nobody knows who wrote this", DAY.format(7)],
     ])
-    _write(folder / "politicians.csv", ["Author", "party", "political_side"], [
+    _write(folder / "authors.csv", ["Author", "party", "political_side"], [
         ["@ann", "P", "left"], ["bob", "Q", "right"], ["eve", "R", "right"],
     ])
     return folder
@@ -53,13 +53,19 @@ def test_reading_posts_and_dimension_from_one_folder(spark, landing):
     assert len(posts) == 9
     assert posts[1840000000000000001].Text == 'He said "no, never"\nand left us'
     assert posts[9].Author is None
-    authors = readers.read_authors(spark, str(landing / "politicians.csv"))
+    authors = readers.read_authors(spark, str(landing / "authors.csv"))
     assert {r.Author for r in authors.collect()} == {"ann", "bob", "eve"}
 
 
+def test_emotion_catalogue(spark, tmp_path):
+    _write(tmp_path / "emotions.csv", ["emotion_id", "emotion_name"], [[1, "admiration"], [28, "neutral"]])
+    rows = readers.read_emotion_catalogue(spark, str(tmp_path / "emotions.csv")).collect()
+    assert [tuple(r) for r in rows] == [(1, "admiration"), (28, "neutral")]
+
+
 def test_cleaning_job(spark, landing):
     posts = readers.read_posts(spark, str(landing))
-    authors = readers.read_authors(spark, str(landing / "politicians.csv"))
+    authors = readers.read_authors(spark, str(landing / "authors.csv"))
     cleaned = clean_posts(posts, authors)
     got = {r.ID: r for r in cleaned.collect()}
     assert cleaned.columns == ["ID", "Author", "party", "political_side", "Text", "Date"]
@@ -73,7 +79,7 @@ def test_cleaning_job(spark, landing):
 def test_cleaning_is_planned_once(spark, landing):
     """The filters on the cleaned text do not repeat the cleaning."""
     posts = readers.read_posts(spark, str(landing))
-    plan = clean_posts(posts, readers.read_authors(spark, str(landing / "politicians.csv")))
+    plan = clean_posts(posts, readers.read_authors(spark, str(landing / "authors.csv")))
     text = plan._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("https?://") == 1
 
@@ -192,7 +198,7 @@ def test_jobs_from_landing_to_analysis(spark, landing, tmp_path, capsys):
     ] + [["", "Fear"], ["text", "NA"]])
     out = tmp_path / "out"
     job("collect", landing, out / "raw", "--limit", 5)
-    job("clean", out / "raw", landing / "politicians.csv", out / "cleaned")
+    job("clean", out / "raw", landing / "authors.csv", out / "cleaned")
     job("topics", out / "cleaned", out / "topics", "--topics", "ekonomi, weather")
     job("train", tmp_path / "training.csv", out / "model")
     job("emotions", out / "topics", out / "model", out / "labelled", "--csv", out / "csv")

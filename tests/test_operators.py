@@ -332,5 +332,7 @@ def test_required_columns(spark):
 
 
 def test_copies_go(spark):
-    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "ID int, Text string")
-    assert _rows(drop_repeated(df)) == [(1, "a"), (2, "b")]
+    rows = [(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (1, "a")]
+    df = spark.createDataFrame(rows, "ID int, Text string")
+    for limit in (0, 10_000):
+        assert _rows(drop_repeated(df, max_bytes=limit)) == [(1, "a"), (2, "b"), (None, "c")]
