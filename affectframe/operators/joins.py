@@ -9,6 +9,22 @@ from affectframe.constants import BROADCAST_BYTES, HOT_PARTS
 from affectframe.tables import is_bounded
 
 
+def hot_keys(df: DataFrame, key: str, hot_parts: int = HOT_PARTS) -> DataFrame:
+    """Keys with at least 1/``hot_parts`` of all rows, in ``_hot``; so at most that many."""
+    counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
+    rows = counts.agg(F.sum("_rows").alias("rows")).scalar()
+    return counts.filter(F.col("_rows") * hot_parts >= rows).select("_hot")
+
+
+def split_hot(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a hot key, and the others. Neither part is moved."""
+    is_hot = df[key].eqNullSafe(hot["_hot"])
+    return (
+        df.join(F.broadcast(hot), is_hot, "left_semi"),
+        df.join(F.broadcast(hot), is_hot, "left_anti"),
+    )
+
+
 def join_on_key(
     facts: DataFrame,
     other: DataFrame,
@@ -41,21 +57,14 @@ def join_on_key(
     if is_bounded(other, max_bytes):
         return joined(facts, F.broadcast(right), how)
 
-    rows = facts.select(F.count("*").alias("rows")).scalar()
-    hot = (
-        facts.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") * hot_parts >= rows)
-        .select("_hot")
-    )
+    hot = hot_keys(facts, key, hot_parts)
     hot_partners = right.join(F.broadcast(hot), right["_key"].eqNullSafe(hot["_hot"]), "left_semi")
     if how != "left":
         hot_partners = hot_partners.select("_key").distinct()
     # A key may be listed many times in the other table; only a measured list is broadcast.
     if how != "left" or is_bounded(hot_partners):
         hot_partners = F.broadcast(hot_partners)
-    is_hot = facts[key].eqNullSafe(hot["_hot"])
-    hot_facts = facts.join(F.broadcast(hot), is_hot, "left_semi")
-    cold_facts = facts.join(F.broadcast(hot), is_hot, "left_anti")
+    hot_facts, cold_facts = split_hot(facts, key, hot)
     return joined(hot_facts, hot_partners, how).unionByName(joined(cold_facts, right, how))
 
 

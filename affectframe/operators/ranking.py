@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from affectframe.constants import SALTS
 from affectframe.functions.text import preview
+from affectframe.operators.joins import hot_keys, split_hot
 
 
 def top_n_per_group(
@@ -23,10 +24,10 @@ def top_n_per_group(
     """The first n rows of each group by ``order``, numbered from 1.
 
     Spark limits each group to n rows in the map tasks already (WindowGroupLimit).
-    Over row-level tables name a unique column as ``spread``: the limit is then taken
-    in slices of each group first, so that even with many map tasks no single task
-    receives a hot group. The slices' winners contain the group's winners, so the
-    result is the same.
+    Where few groups hold very many rows, name a unique column as ``spread``: the limit
+    is then taken in slices of each group first, so that even with many map tasks no
+    single task receives the rows of all of them. The slices' winners contain the
+    group's winners, so the result is the same.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     if spread is not None:
@@ -62,9 +63,15 @@ def top_line(
 def cap_per_author(
     posts: DataFrame, n: int, *, author: str = "Author", moment: str = "ts", id: str = "ID"
 ) -> DataFrame:
-    """The newest n posts of each author."""
+    """The newest n posts of each author.
+
+    Most authors write little, and their posts are shuffled once. Only those of authors
+    with a large part of all posts are limited in slices before.
+    """
     order = [F.desc(moment), F.desc(id)]
-    return top_n_per_group(posts, author, order, n, spread=id).drop("rank")
+    busy, others = split_hot(posts, author, hot_keys(posts, author))
+    capped = top_n_per_group(others, author, order, n)
+    return capped.unionByName(top_n_per_group(busy, author, order, n, spread=id)).drop("rank")
 
 
 def first_per_label(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,33 +48,38 @@ def span_days(df: DataFrame, moment: str) -> Column:
 
 
 def adaptive_series(
-    long: DataFrame,
+    posts: DataFrame,
     labels: Sequence[str],
     *,
     date: str | None = None,
     label: str = LABEL,
     monthly_after: int = MONTHLY_AFTER_DAYS,
+    explode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
     """Counts per period and label; months if the data span more days than
     ``monthly_after``, else days. None if the frame has no date column.
 
-    Rows are counted per day first. The span is a scalar subquery over two extreme
-    values, so its answer reaches the second, small aggregation inside one plan.
+    Rows are counted per day first, and all else is done with these counts. Where the
+    label column holds lists, ``explode`` turns a table with lists into one with labels;
+    it is applied to the counts, not to the posts. The span is a scalar subquery, so its
+    answer reaches the second, small aggregation inside one plan.
     """
-    moment = moment_of(long, date)
+    moment = moment_of(posts, date)
     if moment is None:
         return None
-    rows = long.select(moment.alias("_at"), label).filter(
-        F.col("_at").isNotNull() & F.col(label).isin(list(labels))
+    rows = posts.select(moment.alias("_at"), label).filter(F.col("_at").isNotNull())
+    daily = rows.groupBy(F.col("_at").cast("date").alias("_day"), label).agg(
+        F.count("*").alias("count"), F.min("_at").alias("_first"), F.max("_at").alias("_last")
     )
-    daily = rows.groupBy(F.col("_at").cast("date").alias("_day"), label).count()
-    monthly = span_days(rows, "_at") > monthly_after
-    period = F.when(monthly, month_start("_day")).otherwise(F.col("_day"))
+    daily = explode(daily) if explode else daily
+    daily = daily.filter(F.col(label).isin(list(labels)))
+    days = daily.agg(whole_days(F.min("_first"), F.max("_last")).alias("days")).scalar()
+    period = F.when(days > monthly_after, month_start("_day")).otherwise(F.col("_day"))
     return daily.groupBy(period.alias("ts_period"), label).agg(F.sum("count").alias("count"))
 
 
 def event_series(
-    long: DataFrame,
+    posts: DataFrame,
     event_date: str = EVENT_DATE,
     months: int = 3,
     *,
@@ -84,32 +89,39 @@ def event_series(
     date: str | None = None,
     label: str = LABEL,
     party: str = "party",
+    explode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame | None:
     """Weekly counts per party and label in the months around an event.
 
     Labels: those of ``emotions`` if any are given (nothing, if none of them
     occurs); otherwise those of ``selected`` if any of them occurs in the window,
     whatever the party; otherwise all. An empty ``parties`` means all parties.
+    ``explode`` is as for :func:`adaptive_series`.
     """
-    moment = moment_of(long, date)
+    moment = moment_of(posts, date)
     if moment is None:
         return None
     start, end = event_bounds(event_date, months)
     columns = [moment.alias("_at"), F.col(label)]
-    columns += [F.col(party)] if party in long.columns else [F.lit(None).cast("string").alias(party)]
-    rows = long.select(*columns).filter(F.col("_at").between(start, end))
+    columns += [F.col(party)] if party in posts.columns else [F.lit(None).cast("string").alias(party)]
+    rows = posts.select(*columns).filter(F.col("_at").between(start, end))
+    weekly = rows.groupBy(week_start("_at").alias("ts_period"), party, label).count()
+    weekly = explode(weekly) if explode else weekly
     if emotions:
         wanted = F.array(*[capitalize(F.lit(e.strip())) for e in emotions])
-        rows = rows.filter(F.array_contains(wanted, F.col(label)))
-    weekly = rows.groupBy(week_start("_at").alias("ts_period"), party, label).count()
-    if selected and not emotions:
+        weekly = weekly.filter(F.array_contains(wanted, F.col(label)))
+    elif selected:
         is_selected = F.col(label).isin(list(selected))
         # Looks at the counts: the group of null parties still shows which labels occur.
         occurs = weekly.agg(F.coalesce(F.bool_or(is_selected), F.lit(False)).alias("any")).scalar()
         weekly = weekly.filter(~occurs | is_selected)
     if parties:
         weekly = weekly.filter(F.col(party).isin(list(parties)))
-    return weekly.na.drop(subset=[party, label])
+    weekly = weekly.na.drop(subset=[party, label])
+    if explode:
+        # Several lists hold the same label.
+        weekly = weekly.groupBy("ts_period", party, label).agg(F.sum("count").alias("count"))
+    return weekly
 
 
 def pivot_series(

@@ -56,19 +56,22 @@ def analyse(
 ) -> dict[str, DataFrame]:
     """Result tables by name. Tables whose columns the posts lack are left out.
 
-    The posts are counted once, by party, side, topic and label together; that small
-    table is written to ``path`` (or to a new folder in the shared one), and all counts
-    and shares are rolled up from it. Only the two time series read the posts again.
+    The posts are counted once, by party, side, topic and list of labels together; that
+    small table is written to ``path`` (or to a new folder in the shared one). Lists are
+    taken apart in there, not in the posts, and all counts and shares are rolled up from
+    it. Only the two time series read the posts again.
     """
     require_columns(posts, ["Author", "party", LABEL])
     spark = posts.sparkSession
-    long = explode_labels(posts, missing_label=missing_label)
     path = path or new_dir(spark, "counts")
     # Null keys stay in here: which rows a null excludes depends on the table asked for.
     keys = [c for c in ("party", "political_side", "topic", LABEL) if c in posts.columns]
-    long.groupBy(*keys).count().write.mode("overwrite").parquet(path)
-    cells = spark.read.parquet(path)
+    posts.groupBy(*keys).count().write.mode("overwrite").parquet(path)
 
+    def explode(counted: DataFrame) -> DataFrame:
+        return explode_labels(counted, missing_label=missing_label)
+
+    cells = explode(spark.read.parquet(path))
     counts = roll_up(cells, ["party", LABEL])
     top = top_counts(counts, "party")
     tables = {
@@ -97,12 +100,12 @@ def analyse(
             "side_top3": top_counts(sides, "political_side"),
             "side_shares": with_percentage(sides, "political_side"),
         }
-    series = adaptive_series(long, series_emotions)
+    series = adaptive_series(posts, series_emotions, explode=explode)
     if series is not None:
         tables["series"] = pivot_series(series, series_emotions)
         event = event_series(
-            long, event_date, event_months, emotions=event_emotions,
-            parties=event_parties, selected=series_emotions,
+            posts, event_date, event_months, emotions=event_emotions,
+            parties=event_parties, selected=series_emotions, explode=explode,
         )
         tables["event_series"] = pivot_series(
             event, event_emotions or series_emotions, by=["party", "ts_period"]

@@ -67,6 +67,22 @@ def ts_pivot(spark: SparkSession, sf: str) -> DataFrame:
     return pivot_series(series, ["5-LOW", "1-URGENT"]).withColumn("ts_period", _day_text("ts_period"))
 
 
+@query(f"""WITH {POSTS}, lists AS (
+  SELECT moment, unnest([predicted_emotions, topic]) AS l FROM posts
+), picked AS (
+  SELECT date_trunc('month', moment) AS m, upper(l[1]) || lower(l[2:]) AS l FROM lists WHERE l IN ('1-URGENT', 'O')
+)
+SELECT strftime(m, '%Y-%m-%d') AS ts_period, count(*) FILTER (l = 'O') AS "O", count(*) FILTER (l = '1-urgent') AS "1-urgent"
+FROM picked GROUP BY 1""")
+def ts_of_label_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts with several labels: days are counted per list, and the counts taken apart."""
+    listed = bare_posts(spark, sf).withColumn(
+        "predicted_emotions", F.concat_ws(",", "predicted_emotions", "topic")
+    )
+    series = adaptive_series(listed, ["O", "1-urgent"], explode=explode_labels)
+    return pivot_series(series, ["O", "1-urgent"]).withColumn("ts_period", _day_text("ts_period"))
+
+
 @query("""SELECT 'events' AS source,
   floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0)::BIGINT AS days FROM events
 UNION ALL SELECT 'orders',
@@ -87,9 +103,9 @@ FROM long WHERE {_WINDOW} AND predicted_emotions IN ('1-urgent', '2-high')
   AND party IN ('BUILDING', 'MACHINERY') GROUP BY ALL""")
 def event_window_weekly(spark: SparkSession, sf: str) -> DataFrame:
     series = event_series(
-        explode_labels(posts(spark, sf)), "1998-05-14", 2,
+        posts(spark, sf), "1998-05-14", 2,
         emotions=[" 1-URGENT", "2-high ", "unheard of"], parties=["BUILDING", "MACHINERY"],
-        selected=["5-low"],
+        selected=["5-low"], explode=explode_labels,
     )
     return series.withColumn("ts_period", _day_text("ts_period"))
 
@@ -101,14 +117,14 @@ SELECT 'selected occur' AS run, * FROM weeks WHERE predicted_emotions = '5-low'
 UNION ALL SELECT 'selected do not occur', * FROM weeks
 UNION ALL SELECT 'given do not occur', * FROM weeks WHERE false""")
 def event_window_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    long = explode_labels(posts(spark, sf))
+    labelled = posts(spark, sf)
     runs = {
         "selected occur": {"selected": ["5-low", "unheard of"]},
         "selected do not occur": {"selected": ["unheard of"]},
         "given do not occur": {"emotions": ["unheard of"], "selected": ["5-low"]},
     }
     parts = [
-        event_series(long, "1998-05-14", 2, **options).withColumn("run", F.lit(run))
+        event_series(labelled, "1998-05-14", 2, explode=explode_labels, **options).withColumn("run", F.lit(run))
         for run, options in runs.items()
     ]
     whole = parts[0].unionByName(parts[1]).unionByName(parts[2])
