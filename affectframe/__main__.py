@@ -52,6 +52,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     clean = job("clean", "clean, filter and join posts with their authors", "posts", "authors", "out")
     clean.add_argument("--strict-emoji", action="store_true")
     clean.add_argument("--csv", action="store_true", help="posts are CSV files")
+    clean.add_argument("--report", action="store_true", help="count what the filters remove, in a second pass")
     topics = job("topics", "add the topic of each post", "posts", "out")
     topics.add_argument("--topics", nargs="*", help="native names or codes, comma-separated")
     topics.add_argument("--lexicon", help="JSON file: topic -> word -> weight")
@@ -93,7 +94,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> None:
         posts = read_posts(spark, args.posts) if args.csv else spark.read.parquet(args.posts)
         authors = read_authors(spark, args.authors)
         write_table(clean_posts(posts, authors, args.strict_emoji), args.out)
-        clean_report(posts, args.strict_emoji).show(truncate=False)
+        if args.report:
+            clean_report(posts, args.strict_emoji).show(truncate=False)
     elif args.job == "topics":
         accepted, rejected = parse_topics(args.topics)
         for entry in rejected:

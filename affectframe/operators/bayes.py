@@ -17,15 +17,15 @@ from pyspark.sql import functions as F
 from affectframe.constants import BROADCAST_BYTES
 from affectframe.functions.scores import best, score_vector, softmax
 from affectframe.functions.text import is_blank, tokens
+from affectframe.operators.joins import join_on_key
 from affectframe.operators.ranking import top_n_per_group
 from affectframe.operators.split import class_counts
 from affectframe.session import new_dir
-from affectframe.tables import is_bounded
 
 UNIT = 1_000_000_000
-# A model too large to be broadcast is split by word frequency: words with at least
-# 1/HEAD of all occurrences are broadcast. There are at most HEAD of them, and together
-# they are no longer than HEAD words of average length.
+# If a model is too large to be broadcast, its words with at least 1/HEAD of all
+# occurrences in the posts still are: there are at most HEAD of them, together no longer
+# than HEAD words of average length.
 HEAD = 100_000
 # Stands for the post itself among the counted words; no word contains a space.
 _POST = " "
@@ -107,6 +107,15 @@ def train(
     return BayesModel(tuple(docs), tuple(docs.values()), spark.read.parquet(f"{path}/weights"))
 
 
+def _with_words(
+    rows: DataFrame, table: DataFrame, how: str, *, max_bytes: int, head: int
+) -> DataFrame:
+    """Join rows that have a token with a table of words."""
+    return join_on_key(
+        rows, table, "token", how, max_bytes=max_bytes, hot_parts=head, unique_keys=True
+    )
+
+
 def _word_sums(
     rows: DataFrame, model: BayesModel, keys: Sequence[str], *, max_bytes: int, head: int
 ) -> DataFrame:
@@ -115,31 +124,14 @@ def _word_sums(
     ``rows`` holds at least one row per post, with a null token where there is no word.
     Words the model does not know add nothing.
     """
-    weights = model.weights.select("token", "w")
     sums = [
         F.coalesce(F.sum(F.col("w")[i]), F.lit(0)).alias(f"s{i}") for i in range(len(model.labels))
     ]
-    if is_bounded(model.weights, max_bytes):
-        # A post's words are all in one task: its partial sum is one row in the shuffle.
-        return rows.join(F.broadcast(weights), "token", "left").groupBy(*keys).agg(*sums)
-
-    # Too large. Broadcast the frequent words, whose number is bounded by their share;
-    # the rare ones are left for a shuffled join that no single word can dominate.
-    occurrences = model.weights.agg(F.sum("n").alias("n")).scalar()
-    frequent = F.col("n") * head >= occurrences
-    top = model.weights.filter(frequent).select("token", F.col("w"))
-    rest = model.weights.filter(~frequent).select("token", "w")
-    looked_up = rows.join(F.broadcast(top), "token", "left")
-    common = looked_up.groupBy(*keys).agg(*sums)
-    rare = (
-        looked_up.filter(F.col("w").isNull() & F.col("token").isNotNull())
-        .select(*keys, "token")
-        .join(rest, "token")
-        .groupBy(*keys)
-        .agg(*sums)
-    )
-    totals = [F.sum(f"s{i}").alias(f"s{i}") for i in range(len(model.labels))]
-    return common.unionByName(rare).groupBy(*keys).agg(*totals)
+    weights = model.weights.select("token", "w")
+    weighted = _with_words(rows, weights, "left", max_bytes=max_bytes, head=head)
+    # With a broadcast model a post's words are still in one task here: its partial sum
+    # is one row in the shuffle.
+    return weighted.groupBy(*keys).agg(*sums)
 
 
 def score(
@@ -191,20 +183,6 @@ def _centred(model: BayesModel) -> DataFrame:
     return model.weights.select("token", "n", centred.alias("c"), mean_count.alias("expected"))
 
 
-def _known_words(
-    counts: DataFrame, model: BayesModel, *, max_bytes: int, head: int
-) -> DataFrame:
-    """Word counts joined with centred weights, by the same choice as for scoring."""
-    table = _centred(model)
-    if is_bounded(model.weights, max_bytes):
-        return counts.join(F.broadcast(table), "token")
-    occurrences = model.weights.agg(F.sum("n").alias("n")).scalar()
-    frequent = F.col("n") * head >= occurrences
-    top = F.broadcast(table.filter(frequent))
-    rare = counts.join(top.select("token"), "token", "left_anti")
-    return counts.join(top, "token").unionByName(rare.join(table.filter(~frequent), "token"))
-
-
 def explain(
     model: BayesModel,
     posts: DataFrame,
@@ -228,7 +206,7 @@ def explain(
     """
     k, keys = len(model.labels), [id, *carry]
     counts = words(posts, text, *keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    known = _known_words(counts, model, max_bytes=max_bytes, head=head)
+    known = _with_words(counts, _centred(model), "inner", max_bytes=max_bytes, head=head)
     present = known.select(
         *keys, "token", "tf",
         F.transform("c", lambda c: c * (F.col("tf") - F.col("expected"))).alias("phi"),
@@ -297,7 +275,7 @@ def trigger_words(
         words(posts, text, F.col(label).alias("label"))
         .groupBy("label", "token").agg(F.count("*").alias("uses"))
     )
-    known = _known_words(counts, model, max_bytes=max_bytes, head=head)
+    known = _with_words(counts, _centred(model), "inner", max_bytes=max_bytes, head=head)
     phi = F.coalesce(*[
         F.when(
             F.col("label") == name,

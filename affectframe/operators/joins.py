@@ -34,8 +34,9 @@ def join_on_key(
     null_keys_match: bool = False,
     max_bytes: int = BROADCAST_BYTES,
     hot_parts: int = HOT_PARTS,
+    unique_keys: bool = False,
 ) -> DataFrame:
-    """Left, left semi or left anti join of facts with another table on one key.
+    """Inner, left, left semi or left anti join of facts with another table on one key.
 
     The other table is measured first. Up to ``max_bytes`` it is broadcast, and the
     facts stay where they are, however skewed their key.
@@ -43,7 +44,8 @@ def join_on_key(
     Beyond that, keys with at least 1/``hot_parts`` of all facts are treated apart.
     There are at most ``hot_parts`` of them by that definition, so their partners can
     be broadcast, and facts with such keys stay where they are. The others are joined
-    by a shuffle in which no key is large.
+    by a shuffle in which no key is large. ``unique_keys`` promises that the other
+    table lists a key once, which spares measuring the partners.
     """
     right = other.withColumnRenamed(key, "_key")
 
@@ -52,17 +54,17 @@ def join_on_key(
             left[key] == partners["_key"]
         )
         result = left.join(partners, same, kind)
-        return result.drop("_key") if kind == "left" else result
+        return result.drop("_key") if kind in ("inner", "left") else result
 
     if is_bounded(other, max_bytes):
         return joined(facts, F.broadcast(right), how)
 
     hot = hot_keys(facts, key, hot_parts)
     hot_partners = right.join(F.broadcast(hot), right["_key"].eqNullSafe(hot["_hot"]), "left_semi")
-    if how != "left":
-        hot_partners = hot_partners.select("_key").distinct()
-    # A key may be listed many times in the other table; only a measured list is broadcast.
-    if how != "left" or is_bounded(hot_partners):
+    if how in ("left_semi", "left_anti"):
+        hot_partners, unique_keys = hot_partners.select("_key").distinct(), True
+    # A key may be listed many times in the other table; then only a measured list is broadcast.
+    if unique_keys or is_bounded(hot_partners):
         hot_partners = F.broadcast(hot_partners)
     hot_facts, cold_facts = split_hot(facts, key, hot)
     return joined(hot_facts, hot_partners, how).unionByName(joined(cold_facts, right, how))

@@ -11,6 +11,7 @@ from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.filters import drop_ceremonial, drop_replies, drop_reposts, since as from_day
 from affectframe.operators.ranking import cap_per_author
 from affectframe.schemas import RAW_POSTS
+from affectframe.session import new_dir
 
 
 def eligible(
@@ -22,11 +23,24 @@ def eligible(
 
 
 def collect_posts(
-    landed: DataFrame, *, since: str = COLLECT_FROM, zone: str = "UTC", per_author: int | None = 100
+    landed: DataFrame,
+    *,
+    since: str = COLLECT_FROM,
+    zone: str = "UTC",
+    per_author: int | None = 100,
+    path: str | None = None,
 ) -> DataFrame:
-    """Eligible posts, one of each ID, at most ``per_author`` newest ones of each author."""
-    posts = drop_repeated(landed).withColumn("ts", parse_post_date(F.col("Date")))
-    posts = eligible(posts, F.col("ts"), since=since, zone=zone)
+    """Eligible posts, one of each ID, at most ``per_author`` newest ones of each author.
+
+    Eligible posts are stored below ``path`` (or in a new folder of the shared one)
+    first: landed text files are read and their texts looked at once, and the steps
+    after that read single columns of the stored table where they can.
+    """
+    spark = landed.sparkSession
+    path = path or new_dir(spark, "eligible")
+    dated = landed.withColumn("ts", parse_post_date(F.col("Date")))
+    eligible(dated, F.col("ts"), since=since, zone=zone).write.mode("overwrite").parquet(path)
+    posts = drop_repeated(spark.read.parquet(path))
     if per_author is not None:
         posts = cap_per_author(posts, per_author)
     return posts.select(*RAW_POSTS.fieldNames())

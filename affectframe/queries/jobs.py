@@ -46,7 +46,7 @@ def _raw_posts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_CLEANED = f"""{DECORATED}, cleaned AS (SELECT doc_id, {_CLEAN_SQL} AS text FROM decorated),
+_CLEANED = f"""{DECORATED}, cleaned AS MATERIALIZED (SELECT doc_id, {_CLEAN_SQL} AS text FROM decorated),
 flags AS (SELECT doc_id, text,
   {" OR ".join(f"contains(lower(text), '{k}')" for k in EVENT_KEYWORDS)} AS announces,
   len(list_filter(regexp_split_to_array(text, '[^{_W}]+'), lambda x: x <> '')) >= 3 AS long FROM cleaned)"""

@@ -177,7 +177,7 @@ def short_text_filter(spark: SparkSession, sf: str) -> DataFrame:
     return drop_short(documents(spark, sf, "doc_id", "text"), "text", 40).select("doc_id")
 
 
-@query(f"""WITH {DECORATED}, cleaned AS (SELECT doc_id, {_CLEAN_SQL} AS text FROM decorated)
+@query(f"""WITH {DECORATED}, cleaned AS MATERIALIZED (SELECT doc_id, {_CLEAN_SQL} AS text FROM decorated)
 SELECT doc_id, length(text) AS characters FROM cleaned
 WHERE len(list_filter(regexp_split_to_array(text, '[^{_W}]+'), lambda x: x <> '')) >= 40
   AND NOT contains(lower(text), 'elle')""")

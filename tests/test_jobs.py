@@ -198,7 +198,7 @@ def test_jobs_from_landing_to_analysis(spark, landing, tmp_path, capsys):
     ] + [["", "Fear"], ["text", "NA"]])
     out = tmp_path / "out"
     job("collect", landing, out / "raw", "--limit", 5)
-    job("clean", out / "raw", landing / "authors.csv", out / "cleaned")
+    job("clean", out / "raw", landing / "authors.csv", out / "cleaned", "--report")
     job("topics", out / "cleaned", out / "topics", "--topics", "ekonomi, weather")
     job("train", tmp_path / "training.csv", out / "model")
     job("emotions", out / "topics", out / "model", out / "labelled", "--csv", out / "csv")

@@ -37,6 +37,8 @@ def test_joins_are_the_same_without_broadcast(facts, people, nulls, hot_parts):
     small = J.dimension_join(facts, people, "Author", **options)
     large = J.dimension_join(facts, people, "Author", max_bytes=0, hot_parts=hot_parts, **options)
     assert _rows(small) == _rows(large)
+    inner = J.join_on_key(facts, people, "Author", "inner", max_bytes=0, hot_parts=hot_parts, **options)
+    assert _rows(inner) == _rows(small.filter("party IS NOT NULL"))
     # Doubled by the two rows of "a"; the missing author matches only if asked for.
     assert small.count() == 67
     assert small.filter("ID = 102").first().party == ("N" if nulls else None)
