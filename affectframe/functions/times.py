@@ -17,16 +17,28 @@ def parse_post_date(value: Column) -> Column:
     )
 
 
-def parse_datetime(value: Column) -> Column:
-    """Timestamp of a post date or an ISO date or date-time; null if neither."""
-    return F.coalesce(parse_post_date(value), F.try_to_timestamp(value))
-
-
 def utc_naive(moment: Column) -> Column:
     """Zone-less timestamp showing UTC wall-clock time, whatever the session zone."""
     return F.convert_timezone(F.current_timezone(), F.lit("UTC"), moment.cast("timestamp_ntz"))
 
 
+def utc_instant(naive: Column) -> Column:
+    """The instant that a zone-less timestamp shows in UTC; the inverse of the above."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), naive).cast("timestamp")
+
+
+def parse_datetime(value: Column) -> Column:
+    """Zone-less UTC time of a post date or an ISO date or date-time; null if neither.
+
+    Texts without a zone are taken as they are.
+    """
+    has_zone = value.rlike(r"\d[Tt ].*(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    iso = F.when(has_zone, utc_naive(F.try_to_timestamp(value))).otherwise(
+        value.try_cast("timestamp_ntz")
+    )
+    return F.coalesce(utc_naive(parse_post_date(value)), iso)
+
+
 def midnight(day: str, zone: str = "UTC") -> Column:
     """The instant at which a day (``yyyy-mm-dd``) begins in a zone."""
     year, month, dom = (F.lit(int(part)) for part in day.split("-"))
@@ -53,6 +65,5 @@ def week_start(moment: Column) -> Column:
 
 
 def whole_days(first: Column, last: Column) -> Column:
-    """Complete days between two timestamps."""
-    micros = F.unix_micros(last.cast("timestamp")) - F.unix_micros(first.cast("timestamp"))
-    return F.floor(micros / F.lit(86_400_000_000))
+    """Complete days between two zone-less timestamps."""
+    return F.extract(F.lit("DAY"), last - first).cast("bigint")

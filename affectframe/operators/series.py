@@ -37,9 +37,11 @@ def moment_of(df: DataFrame, column: str | None = None) -> Column | None:
     kind = df.schema[column].dataType.typeName()
     if kind == "timestamp_ntz":
         return F.col(column)
-    if kind in ("timestamp", "date"):
-        return utc_naive(F.col(column).cast("timestamp"))
-    return utc_naive(parse_datetime(F.col(column)))
+    if kind == "timestamp":
+        return utc_naive(F.col(column))
+    if kind == "date":
+        return F.col(column).cast("timestamp_ntz")
+    return parse_datetime(F.col(column))
 
 
 def span_days(df: DataFrame, moment: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from affectframe.constants import DATETIME_COLUMNS
 from affectframe.functions.text import missing_to_null
+from affectframe.functions.times import utc_instant
 from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.split import class_counts
 from affectframe.queries.registry import authors, query, table
@@ -149,7 +150,7 @@ _EVENTS = T.StructType([
 
 def _event_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
     stream = streaming.stream_files(spark, folder, format="parquet", schema=_EVENTS, files=files)
-    return stream.withColumn("ts", streaming.event_time(F.col("ts")))
+    return stream.withColumn("ts", utc_instant(F.col("ts")))
 
 
 @query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS count

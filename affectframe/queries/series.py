@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.functions.times import parse_datetime, utc_naive
+from affectframe.functions.times import parse_datetime
 from affectframe.operators.counts import explode_labels
 from affectframe.operators.series import (
     adaptive_series,
@@ -142,7 +142,7 @@ def parse_post_dates(spark: SparkSession, sf: str) -> DataFrame:
         .when(F.col("topic") == "F", F.date_format("Date", "yyyy-MM-dd"))
         .otherwise(F.concat(F.lit("Xyz "), F.substring(day, 5, 32)))
     )
-    moment = utc_naive(parse_datetime(written))
+    moment = parse_datetime(written)
     return bare_posts(spark, sf).select(
         "ID", F.date_format(moment, "yyyy-MM-dd HH:mm:ss").alias("moment")
     )

@@ -136,8 +136,8 @@ def _phrased(spark: SparkSession, sf: str) -> DataFrame:
     phrase = F.lit("iyi kiler")
     for lang, words in _PHRASES.items():
         phrase = F.when(F.col("lang") == lang, words).otherwise(phrase)
-    return documents(spark, sf, "doc_id", "text", "lang").withColumn(
-        "text", F.concat("text", F.lit(" "), phrase)
+    return with_column_once(
+        documents(spark, sf, "doc_id", "text", "lang"), "text", F.concat("text", F.lit(" "), phrase)
     )
 
 

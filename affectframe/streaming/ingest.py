@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from affectframe.constants import COLLECT_FROM
 from affectframe.functions.text import missing_to_null
-from affectframe.functions.times import parse_post_date
+from affectframe.functions.times import parse_post_date, utc_naive
 from affectframe.plans.collect import eligible
 from affectframe.schemas import RAW_POSTS
 from affectframe.sources.readers import POST_FILES
@@ -40,15 +40,13 @@ def stream_files(
     return reader.load(path)
 
 
-def event_time(moment: Column) -> Column:
-    """Watermarks want a zoned timestamp; zone-less ones are taken as session time."""
-    return moment.cast("timestamp")
-
-
 def drop_repeated(
     stream: DataFrame, keys: Sequence[str] = ("ID",), moment: str = "ts", lateness: str = LATENESS
 ) -> DataFrame:
-    """One post per key. State is kept only as long as a copy may still arrive."""
+    """One post per key. State is kept only as long as a copy may still arrive.
+
+    Watermarks want a timestamp with a zone: pass zone-less ones through ``utc_instant``.
+    """
     return stream.withWatermark(moment, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -87,7 +85,7 @@ def ingest(
     posts = stream_files(spark, landing, **source)
     posts = posts.withColumns({
         "Author": missing_to_null(F.col("Author")),
-        "ts": event_time(parse_post_date(F.col("Date"))),
+        "ts": parse_post_date(F.col("Date")),
     })
     kept = drop_repeated(eligible(posts, F.col("ts"), since=since, zone=zone))
     return append_to(kept, table, checkpoint, partition_by=["Author"])
@@ -99,7 +97,7 @@ def weekly_counts(stream: DataFrame, moment: str, keys: Sequence[str]) -> DataFr
     # Windows are aligned to a Thursday, the first day of 1970.
     week = F.window(moment, "7 days", "7 days", "4 days")
     counts = stream.na.drop(subset=[moment, *keys]).groupBy(week.alias("_week"), *keys).count()
-    start = F.col("_week.start").cast("timestamp_ntz").cast("date")
+    start = utc_naive(F.col("_week.start")).cast("date")
     return counts.select(start.alias("week"), *keys, "count")
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from affectframe.__main__ import _arguments, run
-from affectframe.operators.bayes import train
+from affectframe.functions.times import utc_instant
 from affectframe.plans.analyse import analyse
 from affectframe.plans.clean import clean_posts, clean_report
 from affectframe.session import new_dir, shared_dir
@@ -146,7 +146,7 @@ def test_weekly_table_equals_batch(spark, tmp_path):
     events.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = streaming.stream_files(
         spark, str(tmp_path / "in"), format="parquet", schema=events.schema, files=None, files_per_batch=1
-    ).withColumn("ts", streaming.event_time(F.col("ts")))
+    ).withColumn("ts", utc_instant(F.col("ts")))
     weekly = streaming.weekly_counts(stream, "ts", ["event_type"])
     streaming.maintain_table(weekly, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     batch = events.groupBy(F.trunc("ts", "week").alias("week"), "event_type").count()

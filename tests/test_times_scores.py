@@ -1,5 +1,6 @@
 from datetime import date, datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from affectframe.functions import scores as S, times as TM
@@ -12,18 +13,29 @@ def test_post_dates(evaluate):
     ]
     first, second = datetime(2018, 10, 10, 20, 19, 24), datetime(2018, 10, 10, 17, 19, 24)
     assert evaluate(values, lambda c: TM.utc_naive(TM.parse_post_date(c))) == [first, second] + [None] * 5
-    assert evaluate(values[-1:], lambda c: TM.utc_naive(TM.parse_datetime(c))) == [datetime(2018, 10, 10)]
+    assert evaluate(values, TM.parse_datetime) == [first, second, None, None, None, None, datetime(2018, 10, 10)]
 
 
-def test_naive_times_do_not_depend_on_the_session_zone(spark, evaluate):
-    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+@pytest.mark.parametrize("zone", ["UTC", "Asia/Tokyo"])
+def test_naive_times_do_not_depend_on_the_session_zone(spark, evaluate, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    texts = [
+        "Wed Oct 10 20:19:24 +0000 2018", "2018-10-10", "2018-10-10 20:19:24", "2018-10-10T20:19:24Z",
+        "2018-10-10 20:19:24+03:00", "2018-10-10T20:19:24.5-0100", "10/10/2018",
+    ]
     try:
-        value = evaluate(["Wed Oct 10 20:19:24 +0000 2018"], lambda c: TM.utc_naive(TM.parse_post_date(c)))
+        values = evaluate(texts, TM.parse_datetime)
         start = spark.range(1).select(TM.utc_naive(TM.midnight("2021-01-01", "Europe/Istanbul"))).first()[0]
+        back = evaluate([datetime(2024, 1, 1)], lambda c: TM.utc_naive(TM.utc_instant(c)), "timestamp_ntz")
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    assert value == [datetime(2018, 10, 10, 20, 19, 24)]
+    evening = datetime(2018, 10, 10, 20, 19, 24)
+    assert values == [
+        evening, datetime(2018, 10, 10), evening, evening,
+        datetime(2018, 10, 10, 17, 19, 24), datetime(2018, 10, 10, 21, 19, 24, 500000), None,
+    ]
     assert start == datetime(2020, 12, 31, 21)
+    assert back == [datetime(2024, 1, 1)]
 
 
 def test_windows_and_buckets(spark, evaluate):
@@ -32,8 +44,8 @@ def test_windows_and_buckets(spark, evaluate):
     edges = [datetime(2024, 1, 7, 23, 59, 59), datetime(2024, 1, 8)]
     assert evaluate(edges, TM.week_start, "timestamp_ntz") == [date(2024, 1, 1), date(2024, 1, 8)]
     assert evaluate(edges, TM.month_start, "timestamp_ntz") == [date(2024, 1, 1)] * 2
-    days = TM.whole_days(F.lit(datetime(2024, 1, 1, 12)), F.lit(datetime(2024, 3, 31, 11)))
-    assert spark.range(1).select(days).first()[0] == 89
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-01 12:00:00", "2024-03-31 11:59:59"))
+    assert tuple(spark.range(1).select(TM.whole_days(first, last), TM.whole_days(first, first)).first()) == (89, 0)
 
 
 def _vector(*values):
