@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from affectframe.constants import KEPT_SHORT_WORDS, MISSING_TOKENS, PICTOGRAPH_RANGES
+from affectframe.functions.once import bind
 
 # Bodies of character classes.
 WORD = r"\p{L}\p{N}_"
@@ -58,24 +59,35 @@ STRICT_PICTOGRAPHS = _char_class(
 _KEPT = rf"{WORD}{SPACE}.,!?\-"
 
 
-def strip_repost_marks(text: Column) -> Column:
-    """Remove ``RT @name:`` openings, then any bare word ``RT``."""
-    for pattern in (_REPOST_ADDRESSED, _REPOST_MENTION, _REPOST):
+def _remove(text: Column, mark: str, *patterns: str) -> Column:
+    """Remove patterns one after the other from texts that contain ``mark``.
+
+    Looking for a plain mark costs a fraction of a pass of a pattern, and most texts
+    have none.
+    """
+    return bind(text, lambda t: F.when(t.contains(mark), _remove_all(t, *patterns)).otherwise(t))
+
+
+def _remove_all(text: Column, *patterns: str) -> Column:
+    for pattern in patterns:
         text = F.regexp_replace(text, pattern, "")
     return text
 
 
+def strip_repost_marks(text: Column) -> Column:
+    """Remove ``RT @name:`` openings, then any bare word ``RT``."""
+    passes = (_REPOST_ADDRESSED, _REPOST_MENTION, _REPOST)
+    return bind(text, lambda t: F.when(t.rlike(_REPOST), _remove_all(t, *passes)).otherwise(t))
+
+
 def strip_urls(text: Column) -> Column:
     """Remove http(s) URLs, ``www.`` addresses and bare ``t.co/…`` links, in this order."""
-    for pattern in (_URL, _WWW, _SHORT_LINK):
-        text = F.regexp_replace(text, pattern, "")
-    return text
+    return _remove(_remove(_remove(text, "http", _URL), "www.", _WWW), "t.co/", _SHORT_LINK)
 
 
 def strip_mentions(text: Column) -> Column:
     """Remove ``@name:`` and ``@name``; the second pass sees names the first one uncovered."""
-    text = F.regexp_replace(text, _MENTION + ":?", "")
-    return F.regexp_replace(text, _MENTION, "")
+    return _remove(text, "@", _MENTION + ":?", _MENTION)
 
 
 def unwrap_hashtags(text: Column) -> Column:
