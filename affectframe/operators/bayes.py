@@ -146,7 +146,7 @@ def score(
 ) -> DataFrame:
     """Each post's ID, carried columns and ``scores``: log scores in label order.
 
-    ``carry`` names narrow columns that depend on the ID. A missing or blank text has
+    Posts need an ID each. ``carry`` names narrow columns that depend on the ID. A missing or blank text has
     an empty score vector. The model is measured to choose the join.
     """
     keys = [id, *carry, "_blank"]

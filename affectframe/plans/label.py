@@ -44,6 +44,7 @@ def emotions_of(
 def add_emotions(posts: DataFrame, model: BayesModel, id: str = "ID", **options) -> DataFrame:
     """Posts with ``predicted_emotions`` and ``top3_emotions`` as arrays.
 
+    Posts need an ID each, as :func:`operators.dedupe.drop_repeated` leaves them.
     Texts are shuffled once, to meet their label lists. Those are short: hashing them
     saves sorting the texts.
     """

@@ -81,14 +81,19 @@ def ingest(
     zone: str = "UTC",
     **source,
 ) -> StreamingQuery:
-    """Landed post files to the table of eligible posts, one of each ID, by author."""
+    """Landed post files to the table of eligible posts, one of each ID, by day.
+
+    After the removal of copies every task holds posts of all authors. Days make few
+    folders per batch where authors would make one small file each per task.
+    """
     posts = stream_files(spark, landing, **source)
     posts = posts.withColumns({
         "Author": missing_to_null(F.col("Author")),
         "ts": parse_post_date(F.col("Date")),
     })
     kept = drop_repeated(eligible(posts, F.col("ts"), since=since, zone=zone))
-    return append_to(kept, table, checkpoint, partition_by=["Author"])
+    dated = kept.withColumn("day", utc_naive(F.col("ts")).cast("date"))
+    return append_to(dated, table, checkpoint, partition_by=["day"])
 
 
 def weekly_counts(stream: DataFrame, moment: str, keys: Sequence[str]) -> DataFrame:
