@@ -75,8 +75,14 @@ def adaptive_series(
     )
     daily = explode(daily) if explode else daily
     daily = daily.filter(F.col(label).isin(list(labels)))
-    days = daily.agg(whole_days(F.min("_first"), F.max("_last")).alias("days")).scalar()
-    period = F.when(days > monthly_after, month_start("_day")).otherwise(F.col("_day"))
+    span = daily.agg(F.struct(
+        whole_days(F.min("_first"), F.max("_last")).alias("days"), F.sum("count").alias("count")
+    ).alias("span")).scalar()
+    # The subquery and the series ask the daily table for the same columns: so it is
+    # the same table to Spark, and the posts are read and counted once for both.
+    daily = daily.filter(F.col("_first").isNotNull() & F.col("_last").isNotNull())
+    monthly = span["days"] > monthly_after
+    period = F.when(monthly, month_start("_day")).otherwise(F.col("_day"))
     return daily.groupBy(period.alias("ts_period"), label).agg(F.sum("count").alias("count"))
 
 
@@ -115,8 +121,12 @@ def event_series(
     elif selected:
         is_selected = F.col(label).isin(list(selected))
         # Looks at the counts: the group of null parties still shows which labels occur.
-        occurs = weekly.agg(F.coalesce(F.bool_or(is_selected), F.lit(False)).alias("any")).scalar()
-        weekly = weekly.filter(~occurs | is_selected)
+        # The sum makes it ask for the same columns as the series: with lists to be taken
+        # apart above the counts, both then share them.
+        found = weekly.agg(F.struct(
+            F.coalesce(F.bool_or(is_selected), F.lit(False)).alias("any"), F.sum("count").alias("count")
+        ).alias("found")).scalar()
+        weekly = weekly.filter(~found["any"] | is_selected)
     if parties:
         weekly = weekly.filter(F.col(party).isin(list(parties)))
     weekly = weekly.na.drop(subset=[party, label])

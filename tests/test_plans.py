@@ -39,6 +39,17 @@ def test_event_window_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(o_orderdate), GreaterThanOrEqual(o_orderdate,1998-03-14" in plan
 
 
+def test_posts_are_counted_once_for_series_and_span(spark):
+    facts = bare_posts(spark, SF).withColumnRenamed("topic", "party")
+    for frame in (
+        series.adaptive_series(facts, ["5-LOW"]),
+        series.adaptive_series(facts, ["5-low"], explode=counts.explode_labels),
+        series.event_series(facts, "1998-05-14", 2, selected=["5-low"], explode=counts.explode_labels),
+    ):
+        frame.collect()
+        assert "ReusedExchange" in _plan(frame)
+
+
 def test_groups_are_limited_before_the_shuffle(spark):
     events = table(spark, SF, "events").withColumnRenamed("user_id", "Author").withColumnRenamed("event_id", "ID")
     for plan in (
