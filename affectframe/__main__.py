@@ -45,14 +45,18 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 
     collect = job("collect", "keep eligible posts of landed files", "landing", "table")
     collect.add_argument("--limit", type=int, default=100, help="posts per author")
-    stream = job("ingest", "the same as a stream, from where the last run stopped", "landing", "table", "checkpoint")
+    stream = job(
+        "ingest", "the same as a stream, from where the last run stopped", "landing", "table", "checkpoint"
+    )
     for sub in (collect, stream):
         sub.add_argument("--since", default=constants.COLLECT_FROM)
         sub.add_argument("--zone", default="UTC")
     clean = job("clean", "clean, filter and join posts with their authors", "posts", "authors", "out")
     clean.add_argument("--strict-emoji", action="store_true")
     clean.add_argument("--csv", action="store_true", help="posts are CSV files")
-    clean.add_argument("--report", action="store_true", help="count what the filters remove, in a second pass")
+    clean.add_argument(
+        "--report", action="store_true", help="count what the filters remove, in a second pass"
+    )
     topics = job("topics", "add the topic of each post", "posts", "out")
     topics.add_argument("--topics", nargs="*", help="native names or codes, comma-separated")
     topics.add_argument("--lexicon", help="JSON file: topic -> word -> weight")

@@ -166,7 +166,9 @@ def score(
     )
 
 
-def predict(model: BayesModel, posts: DataFrame, text: str, id: str, carry: Sequence[str] = (), **options) -> DataFrame:
+def predict(
+    model: BayesModel, posts: DataFrame, text: str, id: str, carry: Sequence[str] = (), **options
+) -> DataFrame:
     """Scores, probabilities and the best label of each post (null for a blank text)."""
     scored = score(model, posts, text, id, carry, **options)
     return scored.withColumns({

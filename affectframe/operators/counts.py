@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from affectframe.constants import SMALL_SHARE
-from affectframe.functions.text import capitalize
+from affectframe.functions.text import SPACE, capitalize
 
 LABEL = "predicted_emotions"
-_PYTHON_STRIP = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+_EDGE_SPACE = f"^[{SPACE}]+|[{SPACE}]+$"
 
 
 def explode_labels(
@@ -19,16 +19,16 @@ def explode_labels(
 ) -> DataFrame:
     """One row per label of a comma-joined list (or array), trimmed and capitalised.
 
-    Empty labels go. Posts without a list go too, unless ``missing_label`` names
-    the label that stands for them.
+    Empty labels go. Posts without a list, or with an empty one, go too, unless
+    ``missing_label`` names the label that stands for them.
     """
     lists = F.col(column)
     if posts.schema[column].dataType.typeName() == "string":
         lists = F.split(lists, ",")
     if missing_label is not None:
-        lists = F.coalesce(lists, F.array(F.lit(missing_label)))
+        lists = F.when(F.size(lists) > 0, lists).otherwise(F.array(F.lit(missing_label)))
     long = posts.withColumn(column, F.explode(lists))
-    trimmed = F.regexp_replace(F.col(column), _PYTHON_STRIP, "")
+    trimmed = F.regexp_replace(F.col(column), _EDGE_SPACE, "")
     return long.withColumn(column, capitalize(trimmed)).filter(F.col(column) != "")
 
 

@@ -36,7 +36,9 @@ def class_counts(
 
 def label_index(df: DataFrame, label: str) -> DataFrame:
     """Labels in alphabetical order with their position, ``(idx, label)``. Runs one job."""
-    schema = T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("label", df.schema[label].dataType)])
+    schema = T.StructType([
+        T.StructField("idx", T.IntegerType()), T.StructField("label", df.schema[label].dataType)
+    ])
     return literal_table(df.sparkSession, list(enumerate(class_counts(df, label))), schema)
 
 

@@ -17,7 +17,10 @@ from affectframe.sources.readers import text_column
 CARRIED = ("Author", "party", "political_side", "Date", "topic")
 
 
-def add_topics(posts: DataFrame, lexicon: Mapping | None = None, topics: Sequence[str] | None = None) -> DataFrame:
+def add_topics(
+    posts: DataFrame, lexicon: Mapping | None = None, topics: Sequence[str] | None = None
+) -> DataFrame:
+    """Posts with their topic."""
     return label_topics(posts, text_column(posts), lexicon=lexicon, topics=topics)
 
 

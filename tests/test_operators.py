@@ -107,6 +107,9 @@ def test_label_lists_to_long_form(spark):
     assert (3, "Nan") in _rows(C.explode_labels(df, missing_label="nan"))
     lists = df.withColumn("predicted_emotions", F.split("predicted_emotions", ","))
     assert _rows(C.explode_labels(lists)) == expected
+    empty = lists.withColumn("predicted_emotions", F.array().cast("array<string>"))
+    assert C.explode_labels(empty).count() == 0
+    assert C.explode_labels(empty, missing_label="nan").count() == 5
 
 
 def test_null_keys_form_no_group(spark):
