@@ -35,10 +35,17 @@ def topic_tops(counts: DataFrame, topics: DataFrame) -> DataFrame:
     return top_counts(chosen, ["topic", "party"], n=1)
 
 
-def topic_shares(counts: DataFrame, topics: DataFrame, **options) -> DataFrame:
-    """Label shares within the listed topics, small shares folded."""
+def topic_shares(
+    counts: DataFrame, topics: DataFrame | None = None, max_topics: int = 4, **options
+) -> DataFrame:
+    """Label shares within topics, small shares folded: within the listed topics, or
+    within the ``max_topics`` with most labels."""
+    counts = roll_up(counts, ["topic", LABEL])
+    if topics is None:
+        totals = roll_up(counts, ["topic"])
+        topics = totals.orderBy(F.desc("count"), F.asc("topic")).limit(max_topics)
     chosen = counts.join(F.broadcast(topics.select("topic")), "topic")
-    return fold_small_shares(roll_up(chosen, ["topic", LABEL]), "topic", **options)
+    return fold_small_shares(chosen, "topic", **options)
 
 
 def analyse(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from affectframe.__main__ import _arguments, run
 from affectframe.functions.times import utc_instant
-from affectframe.plans.analyse import analyse
+from affectframe.plans.analyse import analyse, topic_shares
 from affectframe.plans.clean import clean_posts, clean_report
 from affectframe.session import new_dir, shared_dir
 from affectframe.sources import readers, writers
@@ -184,6 +184,12 @@ def test_analysis(spark):
         ("P", "2023-04-03", 1), ("Q", "2023-05-08", 1),
     }
     assert tables["side_shares"].count() == 5
+    cells = spark.createDataFrame(
+        [("a", "Anger", 5), ("b", "Anger", 3), ("b", "Fear", 3), (None, "Fear", 99), ("c", None, 99)],
+        "topic string, predicted_emotions string, count long",
+    )
+    busiest = topic_shares(cells, max_topics=1).collect()
+    assert {(r.topic, r.predicted_emotions, r.share) for r in busiest} == {("b", "Anger", 0.5), ("b", "Fear", 0.5)}
     few = analyse(posts.drop("topic", "political_side", "Date"))
     assert sorted(few) == ["party_counts", "party_shares", "party_top3", "party_top3_lines"]
 
