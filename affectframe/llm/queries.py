@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import exact, mixing
+from affectframe.llm import exact, mixing, secrets
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -51,3 +51,10 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of equal texts, and the row of each that stays."""
     rows = exact.exact_groups(_documents(spark, sf))
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
+
+
+@_register()
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Secrets of each whole text: counts of the base kinds, a hash of their spans, all spans."""
+    rows = secrets.digests(secrets.scan(_documents(spark, sf)))
+    return rows.withColumnRenamed("id", "doc_id")
