@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import exact, mixing, secrets
+from affectframe.llm import discriminant, exact, mixing, rules, secrets
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -29,6 +29,19 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/labels.parquet")
+
+
+@_register()
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of each whole text, learned from the labels that are not held out."""
+    rows = discriminant.quality_scores(_documents(spark, sf), _labels(spark, sf))
+    return rows.select(
+        F.col("id").alias("doc_id"), "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
 @_register(mixing.oracle())
 def op3_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     """Words that the mix takes of each document."""
@@ -58,3 +71,10 @@ def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of each whole text: counts of the base kinds, a hash of their spans, all spans."""
     rows = secrets.digests(secrets.scan(_documents(spark, sf)))
     return rows.withColumnRenamed("id", "doc_id")
+
+
+@_register()
+def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts of each whole text, and whether the rules keep it."""
+    rows = rules.quality_rules(_documents(spark, sf), _labels(spark, sf), learn=lambda i: ~discriminant.held_out(i))
+    return rows.withColumnRenamed("id", "doc_id")
