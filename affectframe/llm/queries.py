@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import discriminant, exact, mixing, rules, secrets
+from affectframe.llm import discriminant, exact, mixing, rules, secrets, simhash
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -78,3 +78,12 @@ def op5_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of each whole text, and whether the rules keep it."""
     rows = rules.quality_rules(_documents(spark, sf), _labels(spark, sf), learn=lambda i: ~discriminant.held_out(i))
     return rows.withColumnRenamed("id", "doc_id")
+
+
+@_register()
+def op7_simhash_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Fingerprint of each whole text, and the smallest id that near fingerprints lead to."""
+    rows = simhash.near_duplicates(_documents(spark, sf))
+    return rows.select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    )
