@@ -1,26 +1,21 @@
-"""Word pieces of a public tokenizer: counts by Viterbi, sampled segmentations, decoding.
+"""Word pieces of a public tokenizer: the vocabulary, and counts of pieces by Viterbi.
 
 The vocabulary is read from a tokenizer's file; nothing is trained. The pieces' scores are
 those of a unigram model whose pieces follow a power law in the order of the file:
 ``-ln(rank + 1)``, rounded to 1/1024 so that sums are exact in any order.
 
 Spaces are written as U+2581 and one stands before the text, as is usual. No piece goes on
-beyond a word into the next space, nor holds a line break; so the best, or a sampled, path
-of a text consists of those of its words, and words are remembered within a task.
+beyond a word into the next space, nor holds a line break; so the best path of a text
+consists of those of its words, and counts of words are remembered within a task.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
-from random import Random
-from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,15 +23,9 @@ from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-SEED = 42
-# Sharpness of sampling: 0 takes all segmentations alike, the larger the nearer to the best one.
-SHARPNESS = 0.5
 
-# Words whose counts, and whose lattices (of some KB each), a task remembers; the longest of them.
-_COUNTS, _LONGEST_COUNT = 400_000, 64
-_LATTICES, _LONGEST_LATTICE = 20_000, 16
-# Characters of texts that one output batch covers.
-_STEP = 1 << 22
+# Words whose counts a task remembers, and the longest of them.
+_REMEMBERED, _LONGEST = 400_000, 64
 
 
 @dataclass(frozen=True)
@@ -80,27 +69,27 @@ def load(path: str = MODEL) -> Vocabulary:
     return vocabulary(scores, ids, [by_byte[b] for b in sorted(by_byte)])
 
 
-def automaton(vocab: Vocabulary, value=float):
-    """Aho-Corasick automaton over the pieces; a match gives length, a value of the score, and number."""
+def automaton(vocab: Vocabulary):
+    """Aho-Corasick automaton over the pieces; a match gives length, score and number."""
     import ahocorasick
 
     machine = ahocorasick.Automaton()
     for piece, score in vocab.scores.items():
-        machine.add_word(piece, (len(piece), value(score), vocab.ids[piece]))
+        machine.add_word(piece, (len(piece), score, vocab.ids[piece]))
     machine.make_automaton()
     return machine
 
 
-_CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
+CHUNK = re.compile(f"{SPACE}*[^{SPACE}\n]+|{SPACE}+|\n")
 
 
 def chunks(text: str) -> list[str]:
     """Parts that no piece goes beyond."""
-    return _CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
+    return CHUNK.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
 
 def matches(chunk: str, machine, alphabet: frozenset[str], unknown: float):
-    """``end, (length, value, number)`` of all pieces in a word, by end and then longest first.
+    """``end, (length, score, number)`` of all pieces in a word, by end and then longest first.
 
     A character that is no piece by itself is listed with a negative number, after the
     pieces that end with it.
@@ -134,13 +123,13 @@ def count_pieces(chunk: str, found) -> int:
 class _Remembered(dict):
     """A word's value by a function, for as many words as fit."""
 
-    def __init__(self, make, most: int, longest: int):
-        self.make, self.most, self.longest = make, most, longest
+    def __init__(self, make):
+        self.make = make
 
     def __missing__(self, chunk):
         value = self.make(chunk)
-        if len(chunk) <= self.longest:
-            if len(self) >= self.most:
+        if len(chunk) <= _LONGEST:
+            if len(self) >= _REMEMBERED:
                 self.clear()
             self[chunk] = value
         return value
@@ -157,9 +146,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = automaton(vocab)
         alphabet = vocab.alphabet()
-        counts = _Remembered(
-            lambda chunk: count_pieces(chunk, matches(chunk, machine, alphabet, vocab.unknown)), _COUNTS, _LONGEST_COUNT
-        )
+        counts = _Remembered(lambda chunk: count_pieces(chunk, matches(chunk, machine, alphabet, vocab.unknown)))
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
             tokens = [sum(map(counts.__getitem__, chunks(t))) for t in texts]
@@ -171,157 +158,3 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     schema = T.StructType([narrow.schema["id"], T.StructField("n_chars", T.LongType()), T.StructField("n_tokens", T.LongType())])
     return narrow.mapInArrow(run, schema)
-
-
-# Sums of path weights below this are scaled up, with all that later places refer to.
-_SMALL, _SCALE = 1e-200, 1e200
-
-
-def lattice(chunk: str, found, longest: int) -> list:
-    """For each place of a word: running sums of weights, and the pieces (start, number) that end there.
-
-    Forward filtering: a piece adds its weight times the sum of its start, so the last sum
-    is the weight of all paths to the place.
-    """
-    steps = [None] * (len(chunk) + 1)
-    forward = [0.0] * (len(chunk) + 1)
-    forward[0] = 1.0
-    before, total, sums, pieces = -1, 0.0, None, None
-    for end, (length, weight, number) in found:
-        if end != before:
-            before, total, sums, pieces = end, 0.0, [], []
-            steps[end + 1] = (sums, pieces)
-            if forward[end] < _SMALL:
-                for i in range(max(0, end + 1 - longest), end + 1):
-                    forward[i] *= _SCALE
-        start = end + 1 - length
-        total += forward[start] * weight
-        sums.append(total)
-        pieces.append((start, number))
-        forward[end + 1] = total
-    return steps
-
-
-def sample_path(steps: list, u: float, more: Random | None) -> list[int]:
-    """Numbers on one path, drawn backwards: a piece's chance is its share in its place's sum.
-
-    One ``u`` in [0, 1) serves the few choices of a short word, each taking what the last
-    one left of it. For long words ``more`` gives each choice its own.
-    """
-    end, out = len(steps) - 1, []
-    while end:
-        sums, pieces = steps[end]
-        if len(sums) == 1:
-            end, number = pieces[0]
-        else:
-            if more is not None:
-                u = more.random()
-            x = u * sums[-1]
-            k = min(bisect_right(sums, x), len(sums) - 1)
-            low = sums[k - 1] if k else 0.0
-            u = min((x - low) / (sums[k] - low), 0.9999999999999999) if sums[k] > low else 0.0
-            end, number = pieces[k]
-        out.append(number)
-    out.reverse()
-    return out
-
-
-def row_seed(seed: int, key, text: str) -> int:
-    """The seed of a row; a missing key is replaced by the text."""
-    name = f"{seed}:{key}" if key is not None else f"{seed}::{text}"
-    return crc32(name.encode()) | crc32(name[::-1].encode(), 1) << 32
-
-
-# The longest word whose choices are all drawn from one number of 53 bits.
-_ONE_DRAW = 16
-
-
-def sampled(text: str, seed: int, lattices, byte_ids: tuple[int, ...]) -> array:
-    """Numbers of a sampled segmentation of a text."""
-    out = array("i")
-    # The mark itself in a text is spelled in bytes, so that it is not read as a space.
-    mark = [byte_ids[b] for b in SPACE.encode()]
-    for k, part in enumerate(text.split(SPACE)):
-        part = part.replace(" ", SPACE)
-        if k:
-            out.extend(mark)
-        found = _CHUNK.findall(part if k else SPACE + part)
-        draws = np.random.Generator(np.random.Philox(key=seed + len(out))).random(len(found)).tolist()
-        for n, (chunk, u) in enumerate(zip(found, draws)):
-            own = Random(f"{seed}:{len(out)}:{n}") if len(chunk) > _ONE_DRAW else None
-            for number in sample_path(lattices[chunk], u, own):
-                if number >= 0:
-                    out.append(number)
-                else:
-                    out.extend(byte_ids[b] for b in chunk[-1 - number].encode())
-    return out
-
-
-def decoded(numbers, table: dict[int, bytes]) -> str:
-    """The text of a segmentation: the pieces' bytes without the space put in front."""
-    return b"".join(map(table.__getitem__, numbers))[1:].decode()
-
-
-def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    vocab: Vocabulary | None = None, seed: int = SEED, sharpness: float = SHARPNESS, into: str = "pieces",
-) -> DataFrame:
-    """The documents with ``pieces array<int>``: one sampled segmentation of each whole text.
-
-    The draw depends on the seed and the row's id (its text, if the id is null) only, so
-    reruns agree, and rows alike in id and text get the same pieces. Defined cases: a null
-    text has null pieces, an empty one an empty list; a character without a piece, and a
-    U+2581 in the text, are spelled in bytes. Other columns are carried; one that is
-    called as the new one stays, so pass another name in ``into``.
-    """
-    vocab = vocab or load()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(vocab, lambda score: math.exp(sharpness * score))
-        alphabet, longest = vocab.alphabet(), max(map(len, vocab.scores))
-        unknown = math.exp(sharpness * vocab.unknown)
-        lattices = _Remembered(
-            lambda chunk: lattice(chunk, matches(chunk, machine, alphabet, unknown), longest), _LATTICES, _LONGEST_LATTICE
-        )
-        for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                numbers, ends, missing, held, start = array("i"), [0], [], 0, at
-                while at < batch.num_rows and held < _STEP:
-                    text = batch.column(2)[at].as_py()
-                    if text:
-                        numbers.extend(sampled(text, row_seed(seed, batch.column(1)[at].as_py(), text), lattices, vocab.byte_ids))
-                        held += len(text)
-                    ends.append(len(numbers))
-                    missing.append(text is None)
-                    at += 1
-                lists = pa.ListArray.from_arrays(
-                    pa.array(ends, pa.int32()), pa.array(np.frombuffer(numbers, np.int32) if numbers else [], pa.int32()),
-                    mask=pa.array(missing),
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), lists], ["row", "pieces"])
-
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-    )
-    schema = T.StructType([packed.schema["row"], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return packed.mapInArrow(run, schema).select("row.*", F.col("pieces").alias(into))
-
-
-def decode(encoded: DataFrame, pieces_col: str = "pieces", *, vocab: Vocabulary | None = None, into: str = "decoded") -> DataFrame:
-    """The rows with the text that their pieces stand for; null pieces give a null text."""
-    vocab = vocab or load()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = vocab.table()
-        for batch in batches:
-            lists = batch.column(1)
-            texts = [decoded(x.values.to_pylist(), table) if x.is_valid else None for x in lists]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
-
-    packed = encoded.select(
-        F.struct(*[F.col(f"`{c}`") for c in encoded.columns]).alias("row"), F.col(pieces_col).alias("pieces")
-    )
-    schema = T.StructType([packed.schema["row"], T.StructField("text", T.StringType())])
-    return packed.mapInArrow(run, schema).select("row.*", F.col("text").alias(into))

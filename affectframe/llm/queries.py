@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import discriminant, exact, mixing, pieces, rules, secrets, simhash
+from affectframe.llm import discriminant, exact, mixing, pieces, rules, sampling, secrets, simhash
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -100,8 +100,8 @@ def op10_piece_sampling(spark: SparkSession, sf: str) -> DataFrame:
     """A sampled segmentation of each whole text, its length and hash, and the text it decodes to."""
     docs = _documents(spark, sf).select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
     vocab = pieces.load()
-    encoded = pieces.encode(docs, vocab=vocab).drop("text")
-    rows = pieces.decode(encoded, vocab=vocab).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    encoded = sampling.encode(docs, vocab=vocab).drop("text")
+    rows = sampling.decode(encoded, vocab=vocab).withColumn("decoded_sha256", F.sha2("decoded", 256))
     return rows.select(
         "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
         "decoded_sha256", F.col("decoded_sha256").eqNullSafe(F.col("text_sha256")).alias("lossless"),
