@@ -27,7 +27,7 @@ SEED = 42
 SHARPNESS = 0.5
 
 # Characters of texts that are segmented together; a longer text makes a batch of its own.
-_STEP = 1 << 22
+_STEP = 1 << 23
 
 # The space's mark where a text itself holds it; it is spelled in bytes.
 _MARK = "\n" + SPACE
@@ -45,27 +45,35 @@ def _hash(points: np.ndarray, places: np.ndarray, before: np.ndarray, length: in
 
 
 class Matcher:
-    """The pieces of each length by the hashes of their characters."""
+    """The pieces by the hashes of their characters."""
+
+    _BITS = 20
 
     def __init__(self, vocab: Vocabulary, sharpness: float):
         self.byte_ids = np.array(vocab.byte_ids)
         self.unknown = sharpness * vocab.unknown
-        by_length: dict[int, list[str]] = {}
-        for piece in vocab.scores:
-            by_length.setdefault(len(piece), []).append(piece)
-        self.lengths = max(by_length)
-        self.tables = {}
-        for length, listed in by_length.items():
-            points = _points(listed)
-            codes = np.zeros(len(listed), np.uint64)
-            for n in range(1, length + 1):
-                codes = _hash(points, np.arange(len(listed)) * length, codes, n)
-            order = np.argsort(codes)
-            self.tables[length] = (
-                codes[order], points.reshape(-1, length)[order],
-                np.array([sharpness * vocab.scores[p] for p in listed])[order],
-                np.array([vocab.ids[p] for p in listed])[order],
-            )
+        listed = sorted(vocab.scores, key=len)
+        sizes = np.array([len(piece) for piece in listed])
+        self.lengths = int(sizes[-1])
+        self.points, self.begin = _points(listed), np.cumsum(sizes) - sizes
+        self.codes = np.zeros(len(listed), np.uint64)
+        for n in range(1, self.lengths + 1):
+            longer = np.flatnonzero(sizes >= n)
+            self.codes[longer] = _hash(self.points, self.begin[longer], self.codes[longer], n)
+        self.codes ^= sizes.astype(np.uint64)  # so that a piece is not taken for one of another length
+        self.weights = np.array([sharpness * vocab.scores[p] for p in listed])
+        self.numbers = np.array([vocab.ids[p] for p in listed])
+        # Slots of a table hold one piece each; those that find theirs taken go to a further table.
+        self.slots, rest = [], np.arange(len(listed))
+        while len(rest):
+            table = np.full(1 << self._BITS, -1, np.int32)
+            own = self._slot(self.codes[rest], len(self.slots))
+            table[own] = rest
+            rest = rest[table[own] != rest]
+            self.slots.append(table)
+
+    def _slot(self, codes: np.ndarray, table: int) -> np.ndarray:
+        return (codes * np.uint64(2 * table + 0xD1342543DE82EF95) >> np.uint64(64 - self._BITS)).astype(np.int64)
 
     def edges(self, points: np.ndarray, ends: np.ndarray) -> list[tuple]:
         """``place, length, weight, number`` arrays; ``ends`` has the end of the word at each place.
@@ -80,19 +88,21 @@ class Matcher:
             if not len(places):
                 break
             codes = _hash(points, places, codes, length)
-            if length in self.tables:
-                known, spelled, weights, numbers = self.tables[length]
-                at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-                hit = np.flatnonzero(known[at] == codes)
-                at, where = at[hit], places[hit]
-                same = np.ones(len(hit), bool)
-                for k in range(length):
-                    same &= points[where + k] == spelled[at, k]
-                found.append((where[same], length, weights[at[same]], numbers[at[same]]))
+            sought = codes ^ np.uint64(length)
+            piece = np.full(len(places), -1, np.int32)
+            for n, table in enumerate(self.slots):
+                at = table[self._slot(sought, n)]
+                piece = np.where((at >= 0) & (self.codes[at] == sought), at, piece)
+            hit = np.flatnonzero(piece >= 0)
+            piece, where = piece[hit], places[hit]
+            same = np.ones(len(hit), bool)
+            for k in range(length):  # equal hashes are no proof
+                same &= points[where + k] == self.points[self.begin[piece] + k]
+            piece, where = piece[same], where[same]
+            found.append((where, length, self.weights[piece], self.numbers[piece]))
             if length == 1:
                 missing = np.ones(len(points), bool)
-                if found:
-                    missing[found[0][0]] = False
+                missing[where] = False
                 missing = np.flatnonzero(missing)
                 found.append((missing, 1, np.full(len(missing), self.unknown), -1 - points[missing].astype(np.int64)))
         return found[::-1]
@@ -152,9 +162,13 @@ class Lattices:
         taken, found = np.zeros(len(words), np.int64), []
         while len(active):
             group = self.group_of[node[active]]
-            u = uniform(seeds[active], step)
-            edge = np.searchsorted(self.keys, group + u, side="right")
-            edge = np.clip(edge, self.opens[group], self.closes[group] - 1)
+            sought = group + uniform(seeds[active], step)
+            edge, last = self.opens[group], self.closes[group] - 1
+            below = np.flatnonzero((edge < last) & (self.keys[edge] <= sought))
+            while len(below):  # nodes have few edges
+                edge[below] += 1
+                now = edge[below]
+                below = below[(now < last[below]) & (self.keys[now] <= sought[below])]
             found.append((active, self.number[edge]))
             taken[active] += 1
             node[active] = self.start[edge]
