@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import discriminant, exact, mixing, pieces, rules, sampling, secrets, simhash
+from affectframe.llm import discriminant, exact, lines, mixing, pieces, rules, sampling, secrets, simhash
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -106,3 +106,12 @@ def op10_piece_sampling(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
         "decoded_sha256", F.col("decoded_sha256").eqNullSafe(F.col("text_sha256")).alias("lossless"),
     )
+
+
+@_register()
+def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines of each document, how many it loses to earlier ones, and a hash of what is left."""
+    rows = lines.deduplicated(_documents(spark, sf))
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
