@@ -29,7 +29,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def join_counted(rows: DataFrame, counted: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Inner join of rows with a table that has each key once, and how many rows have it.
 
     A small table is broadcast after it has been measured. Otherwise the partners of hot
@@ -52,12 +52,3 @@ def ascii_lower(text: Column) -> Column:
     """
     others = r"[^\x00-\x7F&&[\p{Lu}\p{Lt}\p{Nl}\p{So}\p{Cn}]]"
     return F.when(text.rlike(others), F.translate(text, UPPER, UPPER.lower())).otherwise(F.lower(text))
-
-
-def bounds_of(counts) -> list[tuple[int, int]]:
-    """Start and end of each of several consecutive runs with the given lengths."""
-    ends, at = [], 0
-    for n in counts:
-        ends.append((at, at + n))
-        at += n
-    return ends

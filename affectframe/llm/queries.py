@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import discriminant, exact, lines, mixing, pieces, rules, sampling, secrets, simhash
+from affectframe.llm import discriminant, exact, lines, mixing, pieces, rules, sampling, secret_rules, simhash, substrings
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -69,7 +69,7 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @_register()
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of each whole text: counts of the base kinds, a hash of their spans, all spans."""
-    rows = secrets.digests(secrets.scan(_documents(spark, sf)))
+    rows = secret_rules.digests(secret_rules.scan(_documents(spark, sf)))
     return rows.withColumnRenamed("id", "doc_id")
 
 
@@ -115,3 +115,14 @@ def op2_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(
         F.col("id").alias("doc_id"), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256")
     )
+
+
+@_register()
+def op9_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each whole text that strings of 200 repeated bytes cover, and a hash of the rest."""
+    rows = substrings.without_repeats(_documents(spark, sf))
+    length = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return rows.select(
+        F.col("id").alias("doc_id"), "n_bytes", length.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
