@@ -195,6 +195,8 @@ def fit_rules(
 
     schema = "weights binary, bias double, slope double, shift double"
     row = sample.select("text", "label").coalesce(1).mapInArrow(fit, schema).first()
+    if row is None:  # no labelled row, so no task either
+        return train_model([], [])
     weights = np.frombuffer(row.weights, np.float32)
     return NgramModel(weights[: 1 << BITS], weights[1 << BITS :], row.bias, row.slope, row.shift)
 
