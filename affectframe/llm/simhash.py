@@ -179,8 +179,8 @@ def classified(
     )
     rooted = stored(rooted, "rooted")
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = join_on_key(rooted.select("fp", "root"), smallest, "root", "inner", unique_keys=True)
-    return stored(join_on_key(rows, stored(classes, "classes"), "fp", "inner", unique_keys=True), "classified")
+    classes = join_on_key(rooted.select("fp", "root"), smallest, "root", "inner")
+    return stored(join_on_key(rows, stored(classes, "classes"), "fp", "inner"), "classified")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

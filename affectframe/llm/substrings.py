@@ -372,7 +372,7 @@ def without_repeats(
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.md5("text"))
     spans = repeated(rows.select("key", "text"), span, many_runs)
-    joined = join_on_key(rows, spans, "key", "left", unique_keys=True).select("id", "text", "opens", "closes")
+    joined = join_on_key(rows, spans, "key", "left").select("id", "text", "opens", "closes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
