@@ -9,7 +9,7 @@ from __future__ import annotations
 import argparse
 import json
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from affectframe import constants
@@ -17,11 +17,12 @@ from affectframe.operators.bayes import load
 from affectframe.operators.counts import label_distribution, value_distribution
 from affectframe.operators.topics import parse_topics
 from affectframe.plans.analyse import analyse
-from affectframe.plans.clean import clean_posts, clean_report
-from affectframe.plans.collect import collect_posts
+from affectframe.plans.clean import clean_posts, removed_rows
+from affectframe.plans.collect import collect_into, stored_posts
 from affectframe.plans.explain import explain_examples
 from affectframe.plans.label import add_emotions, add_topics, topic_samples
 from affectframe.plans.train import train_and_evaluate
+from affectframe.schemas import RAW_POSTS
 from affectframe.session import get_spark
 from affectframe.sources.readers import (
     read_authors,
@@ -29,7 +30,7 @@ from affectframe.sources.readers import (
     read_posts,
     read_training_set,
 )
-from affectframe.sources.writers import append_posts, write_csv, write_label_map, write_table
+from affectframe.sources.writers import write_csv, write_label_map, write_table
 from affectframe.streaming.ingest import ingest
 
 
@@ -44,18 +45,18 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
         return sub
 
     collect = job("collect", "keep eligible posts of landed files", "landing", "table")
-    collect.add_argument("--limit", type=int, default=100, help="posts per author")
     stream = job(
         "ingest", "the same as a stream, from where the last run stopped", "landing", "table", "checkpoint"
     )
     for sub in (collect, stream):
+        sub.add_argument("--limit", type=int, help="newest posts of each author and run; all, if not given")
         sub.add_argument("--since", default=constants.COLLECT_FROM)
         sub.add_argument("--zone", default="UTC")
     clean = job("clean", "clean, filter and join posts with their authors", "posts", "authors", "out")
     clean.add_argument("--strict-emoji", action="store_true")
     clean.add_argument("--csv", action="store_true", help="posts are CSV files")
     clean.add_argument(
-        "--report", action="store_true", help="count what the filters remove, in a second pass"
+        "--report", action="store_true", help="tell how many posts the filters remove"
     )
     topics = job("topics", "add the topic of each post", "posts", "out")
     topics.add_argument("--topics", nargs="*", help="native names or codes, comma-separated")
@@ -77,44 +78,47 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
-def _lexicon(path: str | None) -> dict | None:
-    if path is None:
-        return None
-    with open(path, encoding="utf-8") as file:
-        return json.load(file)
+def _lexicon(spark: SparkSession, path: str | None) -> dict | None:
+    return None if path is None else json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
+def _posts(spark: SparkSession, path: str) -> DataFrame:
+    """Raw posts with their declared types, whatever their folders are called."""
+    return stored_posts(spark, path).select(*RAW_POSTS.fieldNames())
 
 
 def run(spark: SparkSession, args: argparse.Namespace) -> None:
     if args.job == "collect":
-        posts = collect_posts(
-            read_posts(spark, args.landing), since=args.since, zone=args.zone, per_author=args.limit
+        collect_into(
+            read_posts(spark, args.landing), args.table, since=args.since, zone=args.zone, per_author=args.limit
         )
-        append_posts(posts, args.table)
     elif args.job == "ingest":
         ingest(
-            spark, args.landing, args.table, args.checkpoint, since=args.since, zone=args.zone
+            spark, args.landing, args.table, args.checkpoint,
+            since=args.since, zone=args.zone, per_author=args.limit,
         ).awaitTermination()
     elif args.job == "clean":
-        posts = read_posts(spark, args.posts) if args.csv else spark.read.parquet(args.posts)
+        posts = read_posts(spark, args.posts) if args.csv else _posts(spark, args.posts)
         authors = read_authors(spark, args.authors)
-        write_table(clean_posts(posts, authors, args.strict_emoji), args.out)
-        if args.report:
-            clean_report(posts, args.strict_emoji).show(truncate=False)
+        seen = Observation() if args.report else None
+        write_table(clean_posts(posts, authors, args.strict_emoji, seen=seen), args.out)
+        for name, removed, kept in removed_rows(seen) if seen else ():
+            print(f"{name}: {removed} removed, {kept} kept")
     elif args.job == "topics":
         accepted, rejected = parse_topics(args.topics)
         for entry in rejected:
             print(f"unknown topic skipped: {entry!r}")
-        posts = add_topics(spark.read.parquet(args.posts), _lexicon(args.lexicon), accepted)
+        posts = add_topics(spark.read.parquet(args.posts), _lexicon(spark, args.lexicon), accepted)
         write_table(posts, args.out)
         labelled = spark.read.parquet(args.out)
         value_distribution(labelled, "topic").show(truncate=False)
         topic_samples(labelled).orderBy("heading", "ordinal").show(100, truncate=False)
     elif args.job == "train":
-        # The training file has no IDs. The job stores the rows with the IDs given here,
-        # so that all its steps see the same ones.
+        # The training file has no IDs. Rows are told apart by their contents, so a seed
+        # gives the same split however the file is read; equal rows share an ID.
         training = read_training_set(spark, args.training)
         result = train_and_evaluate(
-            training.withColumn("id", F.monotonically_increasing_id()),
+            training.withColumn("id", F.md5(F.concat_ws("\u0000", "emotion", "text"))),
             fraction=args.fraction, seed=args.seed, path=args.model,
         )
         write_label_map(spark, f"{args.model}/label_map", [str(x) for x in result.model.labels])

@@ -13,7 +13,7 @@ _POST_DATE = "MMM d HH:mm:ss Z yyyy"
 def parse_post_date(value: Column) -> Column:
     """Timestamp of ``Wed Oct 10 20:19:24 +0000 2018``; null if malformed."""
     return F.when(
-        value.rlike(_WEEKDAY), F.try_to_timestamp(F.substring(value, 5, 64), F.lit(_POST_DATE))
+        value.rlike(_WEEKDAY), F.try_to_timestamp(F.substring(value, 5, 2**31 - 1), F.lit(_POST_DATE))
     )
 
 

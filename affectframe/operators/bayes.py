@@ -112,7 +112,7 @@ def _with_words(
 ) -> DataFrame:
     """Join rows that have a token with a table of words."""
     return join_on_key(
-        rows, table, "token", how, max_bytes=max_bytes, hot_parts=head, unique_keys=True
+        rows, table, "token", how, max_bytes=max_bytes, hot_parts=head
     )
 
 
@@ -261,6 +261,7 @@ def trigger_words(
     label: str,
     n: int = 10,
     *,
+    counts: DataFrame | None = None,
     max_bytes: int = BROADCAST_BYTES,
     head: int = HEAD,
 ) -> DataFrame:
@@ -268,15 +269,20 @@ def trigger_words(
 
     The mean contribution depends on how often the label's posts use the word, and
     on nothing else of single posts: words are counted per label first, and only
-    those counts meet the model.
+    those counts meet the model. For the training posts and their labels, pass the
+    ``counts`` that :func:`train` has stored, and no post is read.
     """
-    posts = posts.na.drop(subset=[text, label])
-    sizes = class_counts(posts, label)
+    if counts is None:
+        posts = posts.na.drop(subset=[text, label])
+        sizes = class_counts(posts, label)
+        counts = (
+            words(posts, text, F.col(label).alias("label"))
+            .groupBy("label", "token").agg(F.count("*").alias("uses"))
+        )
+    else:
+        sizes = class_counts(counts.filter(F.col("token") == _POST), "label", weight=F.col("count"))
+        counts = counts.filter(F.col("token") != _POST).withColumnRenamed("count", "uses")
     place = {name: i for i, name in enumerate(model.labels)}
-    counts = (
-        words(posts, text, F.col(label).alias("label"))
-        .groupBy("label", "token").agg(F.count("*").alias("uses"))
-    )
     known = _with_words(counts, _centred(model), "inner", max_bytes=max_bytes, head=head)
     phi = F.coalesce(*[
         F.when(

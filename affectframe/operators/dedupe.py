@@ -10,7 +10,7 @@ from affectframe.tables import is_bounded
 
 
 def drop_repeated(posts: DataFrame, key: str = "ID", max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per key.
+    """One row per key; rows without a key are no copies of each other, and all stay.
 
     Copies are rare, so their keys are looked up first, by a count that moves nothing
     but keys. If those keys are few enough to be broadcast, only their rows are
@@ -18,11 +18,13 @@ def drop_repeated(posts: DataFrame, key: str = "ID", max_bytes: int = BROADCAST_
     part of all rows is merged in the map tasks.
     """
     repeated = (
-        posts.groupBy(F.col(key).alias("_key")).count().filter(F.col("count") > 1).select("_key")
+        posts.na.drop(subset=[key]).groupBy(F.col(key).alias("_key")).count()
+        .filter(F.col("count") > 1).select("_key")
     )
     if not is_bounded(repeated, max_bytes):
-        return posts.dropDuplicates([key])
-    is_repeated = posts[key].eqNullSafe(repeated["_key"])
+        keyless = posts.filter(posts[key].isNull())
+        return posts.na.drop(subset=[key]).dropDuplicates([key]).unionByName(keyless)
+    is_repeated = posts[key] == repeated["_key"]
     single = posts.join(F.broadcast(repeated), is_repeated, "left_anti")
     copies = posts.join(F.broadcast(repeated), is_repeated, "left_semi")
     return single.unionByName(copies.dropDuplicates([key]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from affectframe.constants import BROADCAST_BYTES, HOT_PARTS
+from affectframe.constants import BROADCAST_BYTES, HOT_PARTS, SALTS
 from affectframe.tables import is_bounded
 
 
@@ -34,18 +34,17 @@ def join_on_key(
     null_keys_match: bool = False,
     max_bytes: int = BROADCAST_BYTES,
     hot_parts: int = HOT_PARTS,
-    unique_keys: bool = False,
 ) -> DataFrame:
     """Inner, left, left semi or left anti join of facts with another table on one key.
 
     The other table is measured first. Up to ``max_bytes`` it is broadcast, and the
     facts stay where they are, however skewed their key.
 
-    Beyond that, keys with at least 1/``hot_parts`` of all facts are treated apart.
-    There are at most ``hot_parts`` of them by that definition, so their partners can
-    be broadcast, and facts with such keys stay where they are. The others are joined
-    by a shuffle in which no key is large. ``unique_keys`` promises that the other
-    table lists a key once, which spares measuring the partners.
+    Beyond that, keys with at least 1/``hot_parts`` of all facts are treated apart; there
+    are at most ``hot_parts`` of them by that definition. Their partners are measured in
+    turn: if they can be broadcast, facts with such keys stay where they are; otherwise
+    these facts are dealt over slices of their key, each of which gets all the key's
+    partners. The other facts are joined by a shuffle in which no key is large.
     """
     right = other.withColumnRenamed(key, "_key")
 
@@ -62,12 +61,24 @@ def join_on_key(
     hot = hot_keys(facts, key, hot_parts)
     hot_partners = right.join(F.broadcast(hot), right["_key"].eqNullSafe(hot["_hot"]), "left_semi")
     if how in ("left_semi", "left_anti"):
-        hot_partners, unique_keys = hot_partners.select("_key").distinct(), True
-    # A key may be listed many times in the other table; then only a measured list is broadcast.
-    if unique_keys or is_bounded(hot_partners):
-        hot_partners = F.broadcast(hot_partners)
+        hot_partners = hot_partners.select("_key").distinct()
     hot_facts, cold_facts = split_hot(facts, key, hot)
-    return joined(hot_facts, hot_partners, how).unionByName(joined(cold_facts, right, how))
+    if is_bounded(hot_partners, max_bytes):
+        joined_hot = joined(hot_facts, F.broadcast(hot_partners), how)
+    else:
+        joined_hot = _joined_in_slices(hot_facts, hot_partners, key, how, null_keys_match)
+    return joined_hot.unionByName(joined(cold_facts, right, how))
+
+
+def _joined_in_slices(
+    facts: DataFrame, partners: DataFrame, key: str, how: str, null_keys_match: bool
+) -> DataFrame:
+    """A join on ``key`` = ``_key`` in which each key's facts are dealt over several tasks."""
+    # A row's place in its partition: the same in every try of the task that reads it.
+    dealt = facts.withColumn("_slice", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    repeated = partners.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = dealt[key].eqNullSafe(repeated["_key"]) if null_keys_match else dealt[key] == repeated["_key"]
+    return dealt.join(repeated, same & (dealt["_slice"] == repeated["_piece"]), how).drop("_slice", "_key", "_piece")
 
 
 def dimension_join(facts: DataFrame, dimension: DataFrame, key: str, **options) -> DataFrame:

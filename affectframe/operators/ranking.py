@@ -12,6 +12,25 @@ from affectframe.functions.text import preview
 from affectframe.operators.joins import hot_keys, split_hot
 
 
+def numbered(table: DataFrame, key: str, number: str, path: str) -> DataFrame:
+    """The rows with their places, from 0, in the order of a unique key; stored below ``path``.
+
+    Ranges of the key are sorted side by side; only the ranges' row counts are added up.
+    """
+    spark = table.sparkSession
+    ranged = table.repartitionByRange(key).withColumn("_part", F.spark_partition_id())
+    ranged.write.mode("overwrite").parquet(f"{path}/ranged")
+    ranged = spark.read.parquet(f"{path}/ranged")
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("_part", F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(key)) - 1
+    placed = ranged.withColumn(number, place).join(sizes, "_part")
+    placed = placed.withColumn(number, (F.col(number) + F.col("_before"))).drop("_part", "_before")
+    placed.write.mode("overwrite").parquet(f"{path}/numbered")
+    return spark.read.parquet(f"{path}/numbered")
+
+
 def top_n_per_group(
     df: DataFrame,
     keys: str | Sequence[str],

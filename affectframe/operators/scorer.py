@@ -20,7 +20,7 @@ def score_externally(
     """``id, scores, error`` for each post.
 
     ``scorer`` gets a batch of texts and returns one list of scores, in label order,
-    per text. If a batch fails its texts are tried one by one, and a text that fails
+    per text. If a batch fails its halves are tried, and a text that fails
     alone gets an empty vector and the error's message; no row is lost and no task
     fails for it. Missing and blank texts have an empty vector and are not scored.
     """
@@ -39,7 +39,8 @@ def score_externally(
         except Exception as problem:
             if len(texts) == 1:
                 return [([], f"{type(problem).__name__}: {problem}")]
-            return [outcome for one in texts for outcome in attempt([one])]
+            middle = len(texts) // 2
+            return attempt(texts[:middle]) + attempt(texts[middle:])
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

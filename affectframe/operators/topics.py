@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affectframe.constants import MAX_CLASSES, TOPIC_THRESHOLD, TOPICS
 from affectframe.functions.once import bind
 from affectframe.functions.scores import label_or_uncertain
 from affectframe.functions.text import tokens
+from affectframe.operators.dedupe import drop_repeated
+from affectframe.operators.joins import join_on_key
+from affectframe.session import new_dir
 
-# A lexicon is a part of the expression, so it has to stay a hand-made word list.
-MAX_LEXICON = 10_000
+# Up to so many entries a lexicon is a part of the expression; beyond, it is a table.
+MAX_LITERALS = 10_000
 
 
 def parse_topics(
@@ -21,23 +24,14 @@ def parse_topics(
 ) -> tuple[list[str], list[str]]:
     """Topics (native names) and rejected entries of a user's comma-separated list.
 
-    Entries may be native names or codes. Unknown ones are rejected; if nothing is
-    left, or nothing was given, all topics are used.
+    An entry is a topic's native name or its code, in any case. Without a valid entry
+    all topics are meant.
     """
-    arguments = list(arguments or [])
-    if not arguments:
-        return list(names), []
-    native = {code: name for name, code in names.items()}
-    accepted, rejected = [], []
-    for entry in " ".join(arguments).split(","):
-        entry = entry.strip().lower()
-        if entry in names:
-            accepted.append(entry)
-        elif entry in native:
-            accepted.append(native[entry])
-        else:
-            rejected.append(entry)
-    return accepted or list(names), rejected
+    alias = {spelling: name for name, code in names.items() for spelling in (code, name)}
+    given = list(arguments or ())
+    entries = [entry.strip().lower() for entry in " ".join(given).split(",")] if given else []
+    topics = [alias[entry] for entry in entries if entry in alias]
+    return topics or list(names), [entry for entry in entries if entry not in alias]
 
 
 def label_lexicon(labels: Iterable[str]) -> dict[str, dict[str, float]]:
@@ -49,15 +43,12 @@ def lexicon_scores(text: Column, lexicon: Mapping[str, Mapping[str, float]]) ->
     """Score vector over the lexicon's topics: the weight of the topic's words that
     occur in the text, as a part of the topic's whole weight.
 
-    Row by row: the text's words are intersected once with all words of the lexicon,
-    and only the hits are looked at per topic. No word is exploded or shuffled.
+    Row by row: the text's words are looked up in the set of all words of the lexicon,
+    which is hashed once, and only the hits are looked at per topic. No word is exploded
+    or shuffled.
     """
     vocabulary = sorted({word for words in lexicon.values() for word in words})
-    if sum(len(words) for words in lexicon.values()) > MAX_LEXICON:
-        raise ValueError(f"a lexicon may have at most {MAX_LEXICON} entries")
-    hits = F.array_intersect(
-        tokens(text), F.array(*[F.lit(word) for word in vocabulary]).cast("array<string>")
-    )
+    hits = F.array_distinct(F.filter(tokens(text), lambda word: word.isin(vocabulary)))
     topics = F.array(*[
         F.struct(
             F.lit(i).alias("idx"),
@@ -90,6 +81,44 @@ def lexicon_scores(text: Column, lexicon: Mapping[str, Mapping[str, float]]) ->
     return bind(hits, scored)
 
 
+def lexicon_table(spark: SparkSession, lexicon: Mapping[str, Mapping[str, float]]) -> DataFrame:
+    """``token, idx, weight`` of a lexicon of any size; ``idx`` is the topic's place."""
+    rows = [(word, i, float(w)) for i, words in enumerate(lexicon.values()) for word, w in words.items()]
+    return spark.createDataFrame(rows, "token string, idx int, weight double")
+
+
+def lexicon_scores_by_join(
+    posts: DataFrame, text: str, lexicon: Mapping[str, Mapping[str, float]]
+) -> DataFrame:
+    """The posts with ``scores`` as :func:`lexicon_scores` has them, for lexicons of any size.
+
+    Each different text is looked at once: its different words meet the table of the
+    lexicon, and the weights are added up per text and topic.
+    """
+    spark = posts.sparkSession
+    keyed = posts.withColumn("_text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    words = drop_repeated(keyed.select("_text", F.col(text).alias("_body")), "_text").select(
+        "_text", F.explode(F.array_distinct(tokens(F.col("_body")))).alias("token")
+    )
+    listed = lexicon_table(spark, lexicon)
+    found = join_on_key(words, listed, "token", "inner")
+    # A topic's weights are added up in the order of its words, as in the expression.
+    parts = found.groupBy("_text", "idx").agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("parts"))
+    matched = parts.select("_text", "idx", F.aggregate("parts", F.lit(0.0), lambda acc, w: acc + w["weight"]).alias("weight"))
+    by_text = matched.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_found"))
+    path = new_dir(spark, "topics")
+    by_text.write.parquet(path)
+    rows = join_on_key(keyed, spark.read.parquet(path), "_text", "left")
+    scores = F.array(*[
+        F.struct(
+            F.lit(i).alias("idx"), F.lit(topic).alias("label"),
+            (F.coalesce(F.col("_found")[i], F.lit(0.0)) / F.lit(float(sum(words.values())))).alias("score"),
+        )
+        for i, (topic, words) in enumerate(lexicon.items())
+    ])
+    return rows.withColumn("scores", scores).drop("_text", "_found")
+
+
 def label_topics(
     posts: DataFrame,
     text: str = "Text",
@@ -104,18 +133,25 @@ def label_topics(
     lexicon = dict(lexicon or label_lexicon(topics or TOPICS))
     if topics is not None:
         lexicon = {topic: lexicon[topic] for topic in topics if topic in lexicon}
+    if sum(map(len, lexicon.values())) > MAX_LITERALS:
+        scored = lexicon_scores_by_join(posts, text, lexicon)
+        return scored.withColumn(column, label_or_uncertain(F.col("scores"), names, threshold)).drop("scores")
     scores = lexicon_scores(F.col(text), lexicon)
     return posts.withColumn(column, label_or_uncertain(scores, names, threshold))
 
 
-def prototypes(vectors: DataFrame, label: str, vector: str, size: int) -> DataFrame:
-    """Mean vector of each label, as ``label, prototype array<double>`` of that size.
+def prototypes(vectors: DataFrame, label: str, vector: str) -> DataFrame:
+    """Mean vector of each label, as ``label, prototype array<double>``.
 
-    One average per coordinate: partial sums are built in the map tasks, and one
-    row per task and label is shuffled.
+    The vectors' length is looked up first; vectors of different lengths are refused. One
+    average per coordinate: partial sums are built in the map tasks, and one row per task
+    and label is shuffled.
     """
-    means = [F.avg(F.col(vector)[i].cast("double")) for i in range(size)]
     rows = vectors.na.drop(subset=[label, vector])
+    least, size = rows.agg(F.min(F.size(vector)), F.max(F.size(vector))).first()
+    if least != size:
+        raise ValueError(f"vectors of {least} to {size} numbers in column {vector!r}")
+    means = [F.avg(F.col(vector)[i].cast("double")) for i in range(size or 0)]
     return rows.groupBy(F.col(label).alias("label")).agg(F.array(*means).alias("prototype"))
 
 

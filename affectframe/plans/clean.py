@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from affectframe.functions.once import with_column_once
@@ -18,14 +18,37 @@ def cleaned(posts: DataFrame, strict_emoji: bool = False) -> DataFrame:
     return with_column_once(posts, "Text", clean_text(F.col("Text"), strict_emoji))
 
 
-def clean_posts(posts: DataFrame, authors: DataFrame, strict_emoji: bool = False) -> DataFrame:
+def clean_posts(
+    posts: DataFrame,
+    authors: DataFrame,
+    strict_emoji: bool = False,
+    *,
+    seen: Observation | None = None,
+) -> DataFrame:
     """Cleaned posts without event announcements and short texts, with party and side.
 
     The authors come first: whatever way their join takes, each text is cleaned once
-    after it. With a dimension small enough to be broadcast all is one narrow stage.
+    after it. With a dimension small enough to be broadcast all is one narrow stage. The
+    job that writes the rows fills ``seen``, for :func:`removed_rows`.
     """
-    joined = join_authors(posts, authors)
-    return drop_short(drop_events(cleaned(joined, strict_emoji))).select(*CLEANED_POSTS.fieldNames())
+    ready = cleaned(join_authors(posts, authors), strict_emoji)
+    if seen is not None:
+        text = F.col("Text")
+        ready = ready.observe(
+            seen, F.count("*").alias("rows"), F.count_if(mentions_any(text)).alias("events"),
+            F.count_if(~mentions_any(text) & ~has_words(text)).alias("short"),
+        )
+    return drop_short(drop_events(ready)).select(*CLEANED_POSTS.fieldNames())
+
+
+def removed_rows(seen: Observation) -> list[tuple[str, int, int]]:
+    """Name, rows removed and rows kept of each cleaning filter, as counted while writing."""
+    counts = seen.get
+    left = counts["rows"] - counts["events"]
+    return [
+        ("event announcements", counts["events"], left),
+        ("short texts", counts["short"], left - counts["short"]),
+    ]
 
 
 def clean_report(posts: DataFrame, strict_emoji: bool = False) -> DataFrame:

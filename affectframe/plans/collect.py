@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from affectframe.constants import COLLECT_FROM
-from affectframe.functions.times import parse_post_date
+from affectframe.functions.times import parse_post_date, utc_naive
 from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.filters import drop_ceremonial, drop_replies, drop_reposts, since as from_day
+from affectframe.operators.joins import drop_matching, keep_matching
 from affectframe.operators.ranking import cap_per_author
 from affectframe.schemas import RAW_POSTS
 from affectframe.session import new_dir
+from affectframe.sources.files import exists, remove
 
 
 def eligible(
@@ -27,10 +31,10 @@ def collect_posts(
     *,
     since: str = COLLECT_FROM,
     zone: str = "UTC",
-    per_author: int | None = 100,
+    per_author: int | None = None,
     path: str | None = None,
 ) -> DataFrame:
-    """Eligible posts, one of each ID, at most ``per_author`` newest ones of each author.
+    """Eligible posts, one of each ID; if asked for, the newest ``per_author`` of each author.
 
     Eligible posts are stored below ``path`` (or in a new folder of the shared one)
     first: landed text files are read and their texts looked at once, and the steps
@@ -44,3 +48,58 @@ def collect_posts(
     if per_author is not None:
         posts = cap_per_author(posts, per_author)
     return posts.select(*RAW_POSTS.fieldNames())
+
+
+# Every stored post's partitions: the day of its date, and the run that brought it.
+_PARTS = "day date, run string"
+
+
+def stored_posts(spark: SparkSession, table: str) -> DataFrame:
+    """The table of raw posts, with its own types; empty if nothing was collected yet."""
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in RAW_POSTS.fields), _PARTS])
+    if not exists(spark, table):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(table)
+
+
+def rejected_posts(spark: SparkSession, table: str) -> DataFrame:
+    """Landed posts that no rule could judge because their date is unreadable, by run."""
+    return spark.read.parquet(f"{table.rstrip('/')}-rejected")
+
+
+def _identity(posts: DataFrame) -> DataFrame:
+    """A key that a post has in every run: its ID, else all that is known of it."""
+    content = F.md5(F.to_json(F.struct("Author", "Text", "Date")))
+    return posts.withColumn("_key", F.coalesce(F.col("ID").cast("string"), content))
+
+
+def collect_into(
+    landed: DataFrame, table: str, *, run: str | None = None, **options
+) -> None:
+    """Add the landed posts that the table does not have yet.
+
+    Stored posts with the same day are looked up, so a second run over the same files
+    adds nothing, and old posts may come at any time. The rows of a run replace those
+    that an earlier try of it (the same ``run``) has left. Posts with an unreadable date
+    are stored beside the table, with the run's name.
+    """
+    spark, run = landed.sparkSession, run or uuid.uuid4().hex
+    work = new_dir(spark, "eligible")
+    dated = landed.withColumn("ts", parse_post_date(F.col("Date")))
+    unread = dated.filter(F.col("ts").isNull()).select(*RAW_POSTS.fieldNames())
+    unread.withColumn("run", F.lit(run)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("run").parquet(f"{table.rstrip('/')}-rejected")
+
+    fresh = _identity(collect_posts(landed, path=work, **options))
+    fresh = fresh.withColumn("day", utc_naive(parse_post_date(F.col("Date"))).cast("date"))
+    fresh.write.parquet(f"{work}-fresh")
+    fresh = spark.read.parquet(f"{work}-fresh")
+    others = stored_posts(spark, table).filter(F.col("run") != run)
+    # A copy has the same date, so only the partitions of the days at hand are read.
+    near = keep_matching(others, fresh.select("day").distinct(), "day")
+    new = drop_matching(fresh, _identity(near).select("_key").distinct(), "_key")
+    rows = new.drop("_key").withColumn("run", F.lit(run)).hint("rebalance", F.col("day"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "run").parquet(table)
+    for path in (work, f"{work}-fresh"):
+        remove(spark, path)

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 from affectframe.constants import LABEL_THRESHOLD, MAX_LABELS, TOP_LABELS
 from affectframe.functions.scores import decode_labels, softmax, top_labels
 from affectframe.operators.bayes import BayesModel, score
+from affectframe.operators.dedupe import drop_repeated
+from affectframe.operators.joins import join_on_key
 from affectframe.operators.ranking import sample_per_group, sample_report
 from affectframe.operators.topics import label_topics
+from affectframe.session import new_dir
 from affectframe.sources.readers import text_column
 
 CARRIED = ("Author", "party", "political_side", "Date", "topic")
@@ -45,13 +48,17 @@ def emotions_of(
 
 
 def add_emotions(posts: DataFrame, model: BayesModel, id: str = "ID", **options) -> DataFrame:
-    """Posts with ``predicted_emotions`` and ``top3_emotions`` as arrays.
+    """Posts with ``predicted_emotions`` and ``top3_emotions`` as arrays; every row comes out.
 
-    Posts need an ID each, as :func:`operators.dedupe.drop_repeated` leaves them.
-    Texts are shuffled once, to meet their label lists. Those are short: hashing them
-    saves sorting the texts.
+    Labels follow from the text alone, so each different text is scored once, and rows
+    that share an ID, or have none, get the labels of their own texts. The short label
+    lists are stored and come to the texts where they are, if they can be broadcast.
     """
     text = text_column(posts)
-    labels = emotions_of(score(model, posts, text, id), **options)
     carried = [c for c in CARRIED if c in posts.columns]
-    return posts.select(id, *carried, text).join(labels.hint("shuffle_hash"), id)
+    keyed = posts.select(id, *carried, text).withColumn("_text", F.md5(F.coalesce(F.col(text), F.lit(""))))
+    texts = drop_repeated(keyed.select("_text", text), "_text")
+    path = new_dir(posts.sparkSession, "labels")
+    emotions_of(score(model, texts, text, "_text"), **options).write.parquet(path)
+    labels = posts.sparkSession.read.parquet(path)
+    return join_on_key(keyed, labels, "_text", "left").drop("_text")

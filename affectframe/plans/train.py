@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from affectframe.operators.bayes import BayesModel, predict, train
+from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.evaluation import (
     accuracy,
     classification_report,
@@ -15,6 +16,7 @@ from affectframe.operators.evaluation import (
     pair_counts,
 )
 from affectframe.operators.filters import drop_blank, drop_missing
+from affectframe.operators.joins import join_on_key
 from affectframe.operators.split import stratified_split
 from affectframe.session import new_dir
 
@@ -52,8 +54,12 @@ def train_and_evaluate(
         usable, label, id, fraction=fraction, seed=seed, path=f"{path}/split"
     )
     model = train(split.filter(~F.col("held_out")), text, label, path=path)
-    predictions = predict(model, split.filter("held_out"), text, id, carry=[label])
-    pair_counts(predictions, label, "pred").write.mode("overwrite").parquet(f"{path}/pairs")
+    # A label follows from the text alone: each different text is scored once.
+    held = split.filter("held_out").select(F.md5(text).alias("_text"), label, text)
+    predictions = predict(model, drop_repeated(held.select("_text", text), "_text"), text, "_text")
+    predictions.select("_text", "pred").write.mode("overwrite").parquet(f"{path}/predictions")
+    judged = join_on_key(held.drop(text), spark.read.parquet(f"{path}/predictions"), "_text", "inner")
+    pair_counts(judged, label, "pred").write.mode("overwrite").parquet(f"{path}/pairs")
     pairs = spark.read.parquet(f"{path}/pairs")
     return Evaluation(
         model, accuracy(pairs), classification_report(pairs), confusion_matrix(pairs, model.labels)

@@ -11,6 +11,7 @@ from affectframe.functions.text import missing_to_null
 from affectframe.functions.times import utc_instant
 from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.split import class_counts
+from affectframe.plans.collect import collect_into, rejected_posts, stored_posts
 from affectframe.queries.registry import authors, query, table
 from affectframe.schemas import first_present, require_columns
 from affectframe.session import new_dir
@@ -18,6 +19,7 @@ from affectframe.sources.readers import (
     read_authors,
     read_label_map,
     read_posts,
+    read_training_set,
     text_column,
     union_sources as union,
 )
@@ -187,3 +189,104 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{work}/posts").select(
         "ID", "Author", F.length("Text").cast("bigint").alias("characters")
     )
+
+
+# --- Landed files in any order and at any time -----------------------------------------------
+
+
+def _dated(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as landed posts whose dates are years apart."""
+    return table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ID"), F.col("source").alias("Author"), F.col("text").alias("Text"),
+        F.concat(F.lit("Fri Jan 01 00:00:00 +0000 "), (F.lit(2021) + F.col("doc_id") % 4).cast("string")).alias("Date"),
+    )
+
+
+_POSTS = """SELECT doc_id AS "ID", source AS "Author", length(text) AS characters FROM documents"""
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return stored_posts(spark, path).select("ID", "Author", F.length("Text").cast("bigint").alias("characters"))
+
+
+@query(_POSTS)
+def stream_backfill(spark: SparkSession, sf: str) -> DataFrame:
+    """Two runs of the stream: the second brings older posts, and copies of the first run's."""
+    work = new_dir(spark, "ingest")
+    posts = _dated(spark, sf)
+
+    def arrive(rows: DataFrame) -> None:
+        write_csv(rows, f"{work}/landing", mode="append")
+        streaming.ingest(
+            spark, f"{work}/landing", f"{work}/posts", f"{work}/checkpoint", files="*.csv"
+        ).awaitTermination()
+
+    arrive(posts.filter("ID % 4 >= 2"))
+    arrive(posts.filter("ID % 4 <= 2"))
+    return _stored(spark, f"{work}/posts")
+
+
+@query(_POSTS)
+def collect_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """Collecting the same folder again adds nothing; authors' names keep their type."""
+    work = new_dir(spark, "collect")
+    write_csv(_dated(spark, sf), f"{work}/landing")
+    for _ in range(2):
+        collect_into(read_posts(spark, f"{work}/landing", files="*.csv"), f"{work}/posts")
+    return _stored(spark, f"{work}/posts")
+
+
+@query(_POSTS + " WHERE doc_id % 3 <> 0 AND doc_id % 5 <> 0")
+def collect_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """Replies stay out, and so do posts with an unreadable date."""
+    work = new_dir(spark, "collect")
+    posts = _dated(spark, sf).withColumns({
+        "in_reply_to_status_id": F.when(F.col("ID") % 3 == 0, F.col("ID") + 1),
+        "Date": F.when(F.col("ID") % 5 == 0, "soon").otherwise(F.col("Date")),
+    })
+    write_csv(posts, f"{work}/landing")
+    collect_into(read_posts(spark, f"{work}/landing", files="*.csv"), f"{work}/posts")
+    return _stored(spark, f"{work}/posts")
+
+
+@query("""SELECT source AS "Author", count(*) AS posts FROM documents WHERE doc_id % 5 = 0 GROUP BY source""")
+def collect_rejects(spark: SparkSession, sf: str) -> DataFrame:
+    """Posts whose date is unreadable are stored beside the table."""
+    work = new_dir(spark, "collect")
+    posts = _dated(spark, sf).withColumn("Date", F.when(F.col("ID") % 5 == 0, "soon").otherwise(F.col("Date")))
+    write_csv(posts, f"{work}/landing")
+    collect_into(read_posts(spark, f"{work}/landing", files="*.csv"), f"{work}/posts")
+    return rejected_posts(spark, f"{work}/posts").groupBy("Author").agg(F.count("*").alias("posts"))
+
+
+@query("""SELECT doc_id AS "ID", source AS "Author", length(text) AS characters, lang AS "Date" FROM documents""")
+def csv_column_order(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of two column orders, one with a further column, in one folder."""
+    folder = new_dir(spark, "landing")
+    posts = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("ID"), F.col("source").alias("Author"), F.col("text").alias("Text"), F.col("lang").alias("Date")
+    )
+    write_csv(posts.filter("ID % 2 = 0"), folder)
+    write_csv(posts.filter("ID % 2 = 1").select("Date", "Text", F.lit("web").alias("client"), "ID", "Author"), folder, mode="append")
+    landed = read_posts(spark, folder, files="*.csv")
+    return landed.select("ID", "Author", F.length("Text").cast("bigint").alias("characters"), "Date")
+
+
+@query("""SELECT nullif(lang, 'en') AS emotion, count(*) AS rows, sum(length(text))::BIGINT AS characters FROM documents GROUP BY 1""")
+def training_set_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """The training file, its columns the other way round and with a further one."""
+    folder = new_dir(spark, "training")
+    rows = table(spark, sf, "documents").select(
+        F.when(F.col("lang") == "en", "NA").otherwise(F.col("lang")).alias("emotion"), "doc_id", "text"
+    )
+    write_csv(rows, folder)
+    training = read_training_set(spark, f"{folder}/*.csv")
+    return training.groupBy("emotion").agg(F.count("*").alias("rows"), F.sum(F.length("text")).alias("characters"))
+
+
+@query("""SELECT CASE WHEN doc_id % 10 <> 0 THEN doc_id END AS id, lang FROM documents
+UNION ALL SELECT NULL, lang FROM documents WHERE doc_id % 10 = 0""")
+def dedupe_null_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Copies go, but rows without an ID are no copies of each other."""
+    rows = table(spark, sf, "documents").select(F.when(F.col("doc_id") % 10 != 0, F.col("doc_id")).alias("id"), "lang")
+    return drop_repeated(union([rows, rows]), "id")

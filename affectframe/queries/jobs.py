@@ -41,12 +41,16 @@ def _raw_posts(spark: SparkSession, sf: str) -> DataFrame:
     return _decorated(spark, sf).select(
         F.col("doc_id").alias("ID"),
         F.concat(F.lit("author"), F.col("doc_id").cast("string")).alias("Author"),
-        F.col("text").alias("Text"),
+        # Some announce an event, some are short.
+        F.when(F.col("doc_id") % 7 == 0, F.concat(F.lit("Yarın büyük miting var "), F.col("text")))
+        .when(F.col("doc_id") % 11 == 0, "two words").otherwise(F.col("text")).alias("Text"),
         F.lit("Fri Jan 01 00:00:00 +0000 2021").alias("Date"),
     )
 
 
-_CLEANED = f"""{DECORATED}, cleaned AS MATERIALIZED (SELECT doc_id, {_CLEAN_SQL} AS text FROM decorated),
+_CLEANED = f"""{DECORATED}, phrased AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'Yarın büyük miting var ' || text
+  WHEN doc_id % 11 = 0 THEN 'two words' ELSE text END AS text FROM decorated),
+cleaned AS MATERIALIZED (SELECT doc_id, {_CLEAN_SQL} AS text FROM phrased),
 flags AS (SELECT doc_id, text,
   {" OR ".join(f"contains(lower(text), '{k}')" for k in EVENT_KEYWORDS)} AS announces,
   len(list_filter(regexp_split_to_array(text, '[^{_W}]+'), lambda x: x <> '')) >= 3 AS long FROM cleaned)"""
@@ -92,6 +96,19 @@ def label_job(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(_NB.rstrip() + """ SELECT CASE WHEN doc_id % 10 <> 0 THEN doc_id // 3 END AS "ID", length(text) AS characters,
+  pred AS predicted_emotions FROM predicted JOIN documents USING (doc_id)""")
+def label_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows that share an ID, or have none, get the labels of their own texts."""
+    raw = _documents(spark, sf).select(
+        F.when(F.col("doc_id") % 10 != 0, F.floor(F.col("doc_id") / 3)).alias("ID"), F.col("text").alias("Text")
+    )
+    return add_emotions(raw, _model(spark, sf)).select(
+        "ID", F.length("Text").cast("bigint").alias("characters"),
+        F.array_join("predicted_emotions", ",").alias("predicted_emotions"),
+    )
+
+
 @query(f"""WITH {POSTS}, long AS (
   SELECT party, political_side, nullif(topic, 'P') AS topic, unnest([
     upper(predicted_emotions[1]) || lower(predicted_emotions[2:]), topic]) AS label FROM posts

@@ -24,6 +24,13 @@ def label_index(spark: SparkSession, sf: str) -> DataFrame:
     return index_labels(table(spark, sf, "documents"), "lang")
 
 
+@query("""SELECT (row_number() OVER (ORDER BY c_custkey) - 1)::INT AS idx, c_custkey AS label
+FROM (SELECT DISTINCT c_custkey FROM customer)""")
+def label_index_many(spark: SparkSession, sf: str) -> DataFrame:
+    """As many labels as there are customers."""
+    return index_labels(table(spark, sf, "customer"), "c_custkey")
+
+
 def _quota_sql(source: str, label: str) -> str:
     return f"""sizes AS (SELECT {label} AS l, count(*) AS n FROM {source} GROUP BY 1),
 held AS (SELECT l, n, ceil(sum(n) OVER () * 0.15::DOUBLE)::BIGINT AS h, sum(n) OVER () AS total FROM sizes),
@@ -39,6 +46,14 @@ def stratified_split(spark: SparkSession, sf: str) -> DataFrame:
     return split(table(spark, sf, "documents"), "lang", "doc_id").select("doc_id", "lang", "held_out")
 
 
+@query(f"""WITH shared AS (SELECT (doc_id // 7) AS doc_id, lang FROM documents),
+{_quota_sql('shared', 'lang')} SELECT lang, held_out, count(*) AS rows FROM split GROUP BY ALL""")
+def split_repeated_ids(spark: SparkSession, sf: str) -> DataFrame:
+    """Several rows share an ID; the quotas are met all the same."""
+    shared = table(spark, sf, "documents").select(F.floor(F.col("doc_id") / 7).alias("doc_id"), "lang", "text")
+    return split(shared, "lang", "doc_id").groupBy("lang", "held_out").agg(F.count("*").alias("rows"))
+
+
 # --- Naive Bayes in SQL, over a table `seen` (training posts) and `scored` posts ----------
 
 _WORDS = r"""SELECT {columns}, unnest(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+')) AS token FROM {table}"""
@@ -155,7 +170,7 @@ probabilities AS (SELECT *, exp(10 * score) / sum(exp(10 * score)) OVER (PARTITI
 
 def _vector_scores(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings")
-    return prototype_scores(vectors, "embedding", prototypes(vectors, "label", "embedding", 64))
+    return prototype_scores(vectors, "embedding", prototypes(vectors, "label", "embedding"))
 
 
 def _sharpened(spark: SparkSession, sf: str) -> DataFrame:

@@ -15,6 +15,7 @@ from affectframe.operators.series import (
     pivot_series,
     span_days,
 )
+from affectframe.sources.readers import union_sources
 from affectframe.queries.registry import POSTS, bare_posts, posts, query, table
 
 # The same long form in SQL: the labels capitalised.
@@ -150,12 +151,14 @@ def parse_post_dates(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("""SELECT 'events' AS source, 'timestamp' AS "column", count(ts) AS readable FROM events
 UNION ALL SELECT 'orders', 'Date', count(o_orderdate) FROM orders
+UNION ALL SELECT 'spelled otherwise', 'none', 0
 UNION ALL SELECT 'documents', 'none', 0""")
 def column_probing(spark: SparkSession, sf: str) -> DataFrame:
     frames = {
         "events": _event_posts(spark, sf),
-        # "date" is sought before "Date", but only an exact spelling counts.
-        "orders": bare_posts(spark, sf).withColumnRenamed("topic", "DATE_"),
+        "orders": bare_posts(spark, sf),
+        # Only an exact spelling counts.
+        "spelled otherwise": bare_posts(spark, sf).withColumnRenamed("Date", "DATE"),
         "documents": table(spark, sf, "documents"),
     }
     parts = []
@@ -165,4 +168,4 @@ def column_probing(spark: SparkSession, sf: str) -> DataFrame:
         parts.append(frame.agg(readable.alias("readable")).select(
             F.lit(source).alias("source"), F.lit(datetime_column(frame) or "none").alias("column"), "readable"
         ))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return union_sources(parts)

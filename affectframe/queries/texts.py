@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.constants import CELEBRATION_PATTERNS, EVENT_KEYWORDS, MEMORIAL_PATTERNS
+from affectframe.constants import (
+    CELEBRATION_PATTERNS,
+    EVENT_KEYWORDS,
+    MEMORIAL_PATTERNS,
+    PICTOGRAPH_RANGES,
+)
 from affectframe.functions import text as cleaning
 from affectframe.functions.once import with_column_once
 from affectframe.functions.predicates import is_ceremonial, mentions_any
@@ -45,11 +50,7 @@ DECORATED = f"""decorated AS (
 _W = r"\p{L}\p{N}_"
 _S = r"\s\x{1c}-\x{1f}\x{85}\p{Z}"
 _URL = r"[a-z!$-_]+"
-_PICTOGRAPHS = (
-    r"\x{1F600}-\x{1F64F}\x{1F300}-\x{1F5FF}\x{1F680}-\x{1F6FF}\x{1F700}-\x{1F77F}"
-    r"\x{1F780}-\x{1F7FF}\x{1F800}-\x{1F8FF}\x{1F900}-\x{1F9FF}\x{1FA00}-\x{1FA6F}"
-    r"\x{1FA70}-\x{1FAFF}\x{2702}-\x{27B0}\x{24C2}-\x{1F251}"
-)
+_PICTOGRAPHS = "".join(rf"\x{{{first:X}}}-\x{{{last:X}}}" for first, last in PICTOGRAPH_RANGES)
 
 
 def _sql_replace(value: str, *steps: tuple[str, str]) -> str:

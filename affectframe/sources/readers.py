@@ -6,7 +6,7 @@ import json
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,22 +16,53 @@ from affectframe.schemas import (
     AUTHORS,
     EMOTION_CATALOGUE,
     LABELLED_POSTS,
+    LANDED_POSTS,
     RAW_POSTS,
     TRAINING_SET,
+    check_header,
     first_present,
     require_columns,
 )
+from affectframe.sources.files import file_names, header
 
 # Files of posts carry this mark in their names; dimension files beside them do not.
 POST_FILES = "*_tweets_*.csv"
 
 
-def _csv(spark: SparkSession, schema: T.StructType) -> DataFrameReader:
-    # Texts hold commas, doubled quotes and line breaks. A file with quoted line breaks
-    # is read by one task: land many files of moderate size, not one large file.
-    return spark.read.schema(schema).options(
-        header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"
-    )
+def read_csv(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    *,
+    needed: Sequence[str] | None = None,
+    files: str | None = None,
+) -> DataFrame:
+    """The columns of a schema, bound by the names in each file's header.
+
+    Files may list their columns in any order and have further ones; files with the same
+    header are read together. A file without a ``needed`` column (all, if not given) is
+    refused; other columns that a file lacks are null. Texts hold commas, doubled quotes
+    and line breaks. A file with quoted line breaks is read by one task: land many files
+    of moderate size, not one large file.
+    """
+    needed = schema.fieldNames() if needed is None else needed
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name in file_names(spark, path, files):
+        by_header.setdefault(header(spark, name), []).append(name)
+    by_header.pop((), None)
+    frames = []
+    for columns, names in by_header.items():
+        check_header(columns, needed, names[0])
+        known = {field.name: field for field in schema.fields if field.name in columns}
+        # Names of no interest need only differ.
+        placed = [known.get(name) or T.StructField(f"_{i}", T.StringType()) for i, name in enumerate(columns)]
+        rows = spark.read.schema(T.StructType(placed)).options(
+            header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8"
+        ).csv(names)
+        frames.append(rows.select(*[
+            F.col(f.name) if f.name in known else F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields
+        ]))
+    return reduce(DataFrame.unionByName, frames) if frames else spark.createDataFrame([], schema)
 
 
 def _clean_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -43,37 +74,37 @@ def read_posts(
     path: str | Sequence[str],
     *,
     files: str | None = POST_FILES,
-    schema: T.StructType = RAW_POSTS,
+    schema: T.StructType = LANDED_POSTS,
 ) -> DataFrame:
-    """All post files of one or more folders as one table."""
-    reader = _csv(spark, schema)
-    if files:
-        reader = reader.option("pathGlobFilter", files)
-    return _clean_keys(reader.csv(path if isinstance(path, str) else list(path)), ["Author"])
+    """All post files of one or more folders as one table.
+
+    The column that tells replies may be absent; it is null then.
+    """
+    needed = [name for name in schema.fieldNames() if name in RAW_POSTS.fieldNames()]
+    return _clean_keys(read_csv(spark, path, schema, needed=needed, files=files), ["Author"])
 
 
 def read_authors(spark: SparkSession, path: str) -> DataFrame:
     """The author dimension, ``@`` signs removed from the names."""
-    authors = _clean_keys(_csv(spark, AUTHORS).csv(path), AUTHORS.fieldNames())
+    authors = _clean_keys(read_csv(spark, path, AUTHORS), AUTHORS.fieldNames())
     return authors.withColumn("Author", author_key(F.col("Author")))
 
 
 def read_emotion_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    return _csv(spark, EMOTION_CATALOGUE).csv(path)
+    return read_csv(spark, path, EMOTION_CATALOGUE)
 
 
 def read_training_set(spark: SparkSession, path: str) -> DataFrame:
-    return _clean_keys(_csv(spark, TRAINING_SET).csv(path), ["emotion"])
+    return _clean_keys(read_csv(spark, path, TRAINING_SET), ["emotion"])
 
 
 def read_labelled(spark: SparkSession, path: str, format: str = "parquet") -> DataFrame:
     """Labelled posts for analysis; ``ValueError`` if author, party or labels are absent."""
+    needed = ["Author", "party", "predicted_emotions"]
     if format == "parquet":
-        posts = spark.read.parquet(path)
-    else:
-        posts = _csv(spark, LABELLED_POSTS).csv(path)
-        posts = _clean_keys(posts, ["Author", "party", "political_side", "topic", "predicted_emotions"])
-    return require_columns(posts, ["Author", "party", "predicted_emotions"])
+        return require_columns(spark.read.parquet(path), needed)
+    posts = read_csv(spark, path, LABELLED_POSTS, needed=needed)
+    return _clean_keys(posts, ["Author", "party", "political_side", "topic", "predicted_emotions"])
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:

@@ -10,29 +10,27 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from affectframe.constants import COLLECT_FROM
-from affectframe.functions.text import missing_to_null
-from affectframe.functions.times import parse_post_date, utc_naive
-from affectframe.plans.collect import eligible
-from affectframe.schemas import RAW_POSTS
-from affectframe.sources.readers import POST_FILES
+from affectframe.functions.times import utc_naive
+from affectframe.plans.collect import collect_into
+from affectframe.sources.readers import POST_FILES, read_posts
 
-# How late a post, or a copy of one, may arrive.
+# How late a copy of an event may arrive.
 LATENESS = "7 days"
 
+_FILE = "path string, modificationTime timestamp, length long, content binary"
+
 
 def stream_files(
     spark: SparkSession,
     path: str,
     *,
-    format: str = "csv",
-    schema: T.StructType = RAW_POSTS,
-    files: str | None = POST_FILES,
+    format: str = "parquet",
+    schema: T.StructType | str,
+    files: str | None = None,
     files_per_batch: int | None = None,
 ) -> DataFrame:
     """Files of a folder as a stream; each file is read once, in the order of arrival."""
     reader = spark.readStream.format(format).schema(schema)
-    if format == "csv":
-        reader = reader.options(header=True, multiLine=True, quote='"', escape='"')
     if files:
         reader = reader.option("pathGlobFilter", files)
     if files_per_batch:
@@ -43,7 +41,8 @@ def stream_files(
 def drop_repeated(
     stream: DataFrame, keys: Sequence[str] = ("ID",), moment: str = "ts", lateness: str = LATENESS
 ) -> DataFrame:
-    """One post per key. State is kept only as long as a copy may still arrive.
+    """One event per key. State is kept only as long as a copy may still arrive, and
+    events older than that are dropped: for events in order, not for posts.
 
     Watermarks want a timestamp with a zone: pass zone-less ones through ``utc_instant``.
     """
@@ -79,21 +78,36 @@ def ingest(
     *,
     since: str = COLLECT_FROM,
     zone: str = "UTC",
-    **source,
+    per_author: int | None = None,
+    files: str | None = POST_FILES,
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
-    """Landed post files to the table of eligible posts, one of each ID, by day.
+    """Landed post files to the table of eligible posts, as :func:`plans.collect.collect_into`.
 
-    After the removal of copies every task holds posts of all authors. Days make few
-    folders per batch where authors would make one small file each per task.
+    The stream consists of the files' names; each batch reads its files by their headers
+    and adds what the table does not have, whatever the posts' dates. A batch that is
+    tried again replaces its own rows. A limit per author holds within a batch.
     """
-    posts = stream_files(spark, landing, **source)
-    posts = posts.withColumns({
-        "Author": missing_to_null(F.col("Author")),
-        "ts": parse_post_date(F.col("Date")),
-    })
-    kept = drop_repeated(eligible(posts, F.col("ts"), since=since, zone=zone))
-    dated = kept.withColumn("day", utc_naive(F.col("ts")).cast("date"))
-    return append_to(dated, table, checkpoint, partition_by=["day"])
+    names = stream_files(
+        spark, landing, format="binaryFile", schema=_FILE, files=files, files_per_batch=files_per_batch
+    ).select("path")
+
+    def store(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        paths = [row.path for row in batch.collect()]
+        if paths:
+            query = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+            collect_into(
+                read_posts(session, paths, files=None), table, run=f"{query}-{number}",
+                since=since, zone=zone, per_author=per_author,
+            )
+
+    return (
+        names.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def weekly_counts(stream: DataFrame, moment: str, keys: Sequence[str]) -> DataFrame:

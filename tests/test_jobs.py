@@ -9,6 +9,7 @@ from affectframe.__main__ import _arguments, run
 from affectframe.functions.times import utc_instant
 from affectframe.plans.analyse import analyse, topic_shares
 from affectframe.plans.clean import clean_posts, clean_report
+from affectframe.plans.collect import collect_into, rejected_posts, stored_posts
 from affectframe.session import new_dir, shared_dir
 from affectframe.sources import readers, writers
 from affectframe.streaming import ingest as streaming
@@ -57,6 +58,40 @@ def test_reading_posts_and_dimension_from_one_folder(spark, landing):
     assert {r.Author for r in authors.collect()} == {"ann", "bob", "eve"}
 
 
+def test_columns_are_bound_by_name(spark, tmp_path):
+    _write(tmp_path / "a_tweets_1.csv", ["Text", "client", "ID", "Date", "Author"], [["hello", "web", 5, "d", "ann"]], bom=True)
+    _write(tmp_path / "a_tweets_2.csv", ["Author", "ID", "Date", "Text", "in_reply_to_status_id"], [["007", 6, "e", "you", 5]])
+    (tmp_path / "a_tweets_3.csv").write_text("")
+    rows = sorted(tuple(r) for r in readers.read_posts(spark, str(tmp_path)).collect())
+    assert rows == [(5, "ann", "hello", "d", None), (6, "007", "you", "e", 5)]
+    _write(tmp_path / "a_tweets_4.csv", ["ID", "Author", "Text"], [[1, "ann", "x"]])
+    with pytest.raises(ValueError, match="Date"):
+        readers.read_posts(spark, str(tmp_path))
+    _write(tmp_path / "labelled.csv", ["foo", "bar"], [[1, "zz"]])
+    with pytest.raises(ValueError, match="party"):
+        readers.read_labelled(spark, str(tmp_path / "labelled.csv"), "csv")
+
+
+def test_collecting_again_adds_nothing(spark, landing, tmp_path):
+    table = str(tmp_path / "table")
+
+    def collect(**options):
+        collect_into(readers.read_posts(spark, str(landing)), table, **options)
+        return sorted(((r.ID, r.Author) for r in stored_posts(spark, table).collect()), key=repr)
+
+    first = collect()
+    assert len(first) == 5 and collect() == first
+    _write(landing / "old_tweets_9.csv", ["ID", "Author", "Text", "Date"], [
+        [11, "007", "an older post that comes late", "Sat May 15 12:00:00 +0000 2021"],
+        ["x", "ann", "nobody could read its number", DAY.format(2)],
+    ])
+    second = collect()
+    assert len(second) == 7 and (11, "007") in second and (None, "ann") in second
+    assert collect() == second
+    assert collect(run="again") == second and collect(run="again") == second
+    assert {r.ID for r in rejected_posts(spark, table).collect()} == {6}
+
+
 def test_emotion_catalogue(spark, tmp_path):
     _write(tmp_path / "emotions.csv", ["emotion_id", "emotion_name"], [[1, "admiration"], [28, "neutral"]])
     rows = readers.read_emotion_catalogue(spark, str(tmp_path / "emotions.csv")).collect()
@@ -129,7 +164,7 @@ def test_stream_goes_on_where_it_stopped(spark, landing, tmp_path):
 
     def arrive():
         streaming.ingest(spark, str(landing), table, checkpoint, files_per_batch=1).awaitTermination()
-        return sorted(r.ID for r in spark.read.parquet(table).collect())
+        return sorted(r.ID for r in stored_posts(spark, table).collect())
 
     first = [4, 7, 8, 9, 1840000000000000001]
     assert arrive() == first
@@ -137,8 +172,11 @@ def test_stream_goes_on_where_it_stopped(spark, landing, tmp_path):
         [8, "bob", "ekonomi için yeni adımlar https://t.co/x", DAY.format(6)],
         [10, "bob", "one more post of the week", DAY.format(8)],
     ])
-    # A copy that arrives in a later run is still known.
-    assert arrive() == sorted(first + [10])
+    _write(landing / "bob_tweets_3.csv", ["Author", "Date", "Text", "ID"], [
+        ["bob", "Mon Mar 01 10:00:00 +0000 2021", "a post of two years before", 12],
+    ])
+    # A copy that arrives in a later run is still known, and old posts may come late.
+    assert arrive() == sorted([*first, 10, 12])
 
 
 def test_weekly_table_equals_batch(spark, tmp_path):

@@ -137,7 +137,7 @@ def test_training_job(spark, tmp_path):
 def test_prototypes(spark):
     rows = [(1, [1.0, 0.0], 1), (2, [1.0, 0.2], 1), (3, [0.0, 2.0], 0), (4, [0.0, 1.0], None)]
     vectors = spark.createDataFrame(rows, "id int, v array<float>, label int")
-    got = {r.id: r for r in prototype_scores(vectors, "v", prototypes(vectors, "label", "v", 2)).collect()}
+    got = {r.id: r for r in prototype_scores(vectors, "v", prototypes(vectors, "label", "v")).collect()}
     assert [s.label for s in got[4].scores] == ["0", "1"]
     assert got[3].scores[0].score == pytest.approx(1.0)
     assert got[1].scores[1].score == pytest.approx(1 / math.hypot(1, 0.1), abs=1e-6)

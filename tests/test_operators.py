@@ -6,7 +6,15 @@ from pyspark.sql import functions as F
 from affectframe.operators import counts as C, filters as L, joins as J, ranking as R, series as S
 from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.split import class_counts, split_quotas, stratified_split
-from affectframe.operators.topics import label_lexicon, label_topics, parse_topics
+from affectframe.operators.joins import join_on_key
+from affectframe.operators.topics import (
+    label_lexicon,
+    label_topics,
+    lexicon_scores,
+    lexicon_scores_by_join,
+    parse_topics,
+    prototypes,
+)
 from affectframe.operators.scorer import score_externally
 from affectframe.schemas import first_present, require_columns
 
@@ -308,11 +316,44 @@ def test_topics_by_name(spark):
     assert topics == {0: "migration", 1: "foreign_policy", 2: "foreign_policy", 3: "uncertain", 4: "uncertain"}
     strict = {r.ID: r.topic for r in label_topics(df, threshold=0.6).collect()}
     assert strict[1] == "uncertain"
-    with pytest.raises(ValueError):
-        label_topics(df, lexicon={"a": {f"w{i}": 1 for i in range(20_000)}})
     assert label_lexicon(["dış politika"]) == {"dış politika": {"dış": 1.0, "politika": 1.0}}
 
 
+def test_lexicons_of_any_size_give_the_same_scores(spark):
+    texts = ["w1 w2 w2", "w5 x", "w19999 w3", "", None, "w1 w2 w2", "W1"]
+    df = spark.createDataFrame(list(enumerate(texts)), "ID int, Text string")
+    lexicon = {"a": {f"w{i}": 1.0 + i % 3 for i in range(20_000)}, "b": {"w1": 2.0, "x": 1.0}}
+    joined = lexicon_scores_by_join(df, "Text", lexicon).select("ID", "scores")
+    inline = df.select("ID", lexicon_scores(F.col("Text"), lexicon).alias("scores"))
+    got, expected = ({r.ID: [s.score for s in r.scores or []] for r in x.collect()} for x in (joined, inline))
+    assert {i: s for i, s in got.items() if texts[i]} == {i: s for i, s in expected.items() if texts[i]}
+    assert label_topics(df, lexicon=lexicon, threshold=0.5).count() == len(texts)
+
+
+def test_vectors_of_different_lengths_are_refused(spark):
+    df = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0])], "label string, v array<double>")
+    with pytest.raises(ValueError, match="1 to 2"):
+        prototypes(df, "label", "v")
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_with_many_partners_are_dealt_over_slices(spark, how):
+    facts = spark.range(400).select("id", F.when(F.col("id") % 2 == 0, 1).otherwise(F.col("id")).alias("k"))
+    other = spark.range(60).select(F.when(F.col("id") < 50, 1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    sliced = join_on_key(facts, other, "k", how, max_bytes=0, hot_parts=10)
+    plain = facts.join(other, "k", how).select(*sliced.columns)
+    assert _rows(sliced) == _rows(plain)
+
+
+def test_split_of_shared_and_missing_ids(spark):
+    rows = [(1, "x", n) for n in range(10)] + [(None, "y", n) for n in range(6)] + [(n, "z", 0) for n in range(20)]
+    df = spark.createDataFrame(rows + [(1, "x", 0)], "id int, l string, n int")
+    flagged = stratified_split(df, "l", "id", fraction=0.3)
+    got = {r.l: r.n for r in flagged.groupBy("l").agg(F.count_if("held_out").alias("n")).collect()}
+    assert got == split_quotas(class_counts(df, "l"), 0.3)
+    assert _rows(flagged.drop("held_out")) == _rows(df)
+
+
 def test_failing_texts_do_not_fail_the_job(spark):
     texts = ["fine", "bad", None, " ", "also fine"]
     df = spark.createDataFrame(list(enumerate(texts)), "ID int, Text string").coalesce(1)
@@ -340,4 +381,4 @@ def test_copies_go(spark):
     rows = [(1, "a"), (1, "a"), (2, "b"), (None, "c"), (None, "c"), (1, "a")]
     df = spark.createDataFrame(rows, "ID int, Text string")
     for limit in (0, 10_000):
-        assert _rows(drop_repeated(df, max_bytes=limit)) == [(1, "a"), (2, "b"), (None, "c")]
+        assert _rows(drop_repeated(df, max_bytes=limit)) == [(1, "a"), (2, "b"), (None, "c"), (None, "c")]
