@@ -13,7 +13,7 @@ from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.split import class_counts
 from affectframe.plans.collect import collect_into, rejected_posts, stored_posts
 from affectframe.queries.registry import authors, query, table
-from affectframe.schemas import first_present, require_columns
+from affectframe.schemas import RAW_POSTS, first_present, require_columns
 from affectframe.session import new_dir
 from affectframe.sources.readers import (
     read_authors,
@@ -73,7 +73,7 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     )
     write_csv(posts, folder)
     write_csv(people, folder, mode="append", extension="dim")
-    landed = read_posts(spark, folder, files="*.csv")
+    landed = read_posts(spark, folder, files="*.csv", schema=RAW_POSTS)
     dimension = read_authors(spark, folder + "/*.dim")
     return landed.join(dimension.select("Author", "party"), "Author", "left")
 
