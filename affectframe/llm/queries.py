@@ -66,7 +66,7 @@ def op6_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.col("sha256").alias("text_sha256"))
 
 
-@_register()
+@_register(secret_rules.oracle())
 def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Secrets of each whole text: counts of the base kinds, a hash of their spans, all spans."""
     rows = secret_rules.digests(secret_rules.scan(_documents(spark, sf)))

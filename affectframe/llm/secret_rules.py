@@ -262,3 +262,38 @@ def brute_spans(text: str | None, rules: Sequence[Rule] = RULES) -> list[tuple[i
             if len(m.group(rule.group)) >= rule.least:
                 found.append((m.start(), n, m.end()))
     return sorted(found)
+
+
+def oracle(rules: Sequence[Rule] = RULES, base: int = len(BASE_RULES)) -> str:
+    """DuckDB SQL for :func:`digests` over ``documents`` with different ids, the ids as ``doc_id``."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS kind, {quoted(r.kind)} AS name, regexp_extract_all(body, {quoted(r.pattern)}) AS hits, "
+        f"regexp_split_to_array(body, {quoted(r.pattern)}) AS pieces FROM bodies"
+        for n, r in enumerate(rules)
+    )
+    long_enough = " ".join(
+        f"WHEN {n} THEN length(regexp_extract(hit, {quoted(r.pattern)}, {r.group})) >= {r.least}" for n, r in enumerate(rules)
+    )
+    counts = ", ".join(f"count(*) FILTER (kind = {n}) AS n_{r.kind}" for n, r in enumerate(rules[:base]))
+    columns = ", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in rules[:base])
+    written = "string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind)"
+    return f"""
+WITH bodies AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+found AS ({found}),
+numbered AS (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM found WHERE len(hits) > 0),
+placed AS (
+  SELECT doc_id, kind, name, hits[i] AS hit,
+         (list_sum(list_transform(pieces[1:i], lambda x: length(x)))
+          + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start
+  FROM numbered
+),
+kept AS (SELECT *, start + length(hit) AS stop FROM placed WHERE CASE kind {long_enough} END),
+digests AS (
+  SELECT doc_id, {counts}, {written} FILTER (kind < {base}) AS base, {written} AS spans FROM kept GROUP BY doc_id
+)
+SELECT doc_id, {columns}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM bodies LEFT JOIN digests USING (doc_id)
+"""
