@@ -27,7 +27,7 @@ SEED = 42
 SHARPNESS = 0.5
 
 # Characters of texts that are segmented together; a longer text makes a batch of its own.
-_STEP = 1 << 23
+_STEP = 1 << 20
 
 # The space's mark where a text itself holds it; it is spelled in bytes.
 _MARK = "\n" + SPACE
