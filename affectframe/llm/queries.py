@@ -98,13 +98,10 @@ def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @_register()
 def op10_piece_sampling(spark: SparkSession, sf: str) -> DataFrame:
     """A sampled segmentation of each whole text, its length and hash, and the text it decodes to."""
-    docs = _documents(spark, sf).select("doc_id", "text", F.sha2("text", 256).alias("text_sha256"))
-    vocab = pieces.load()
-    encoded = sampling.encode(docs, vocab=vocab).drop("text")
-    rows = sampling.decode(encoded, vocab=vocab).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    rows = sampling.encode_and_decode(_documents(spark, sf).select("doc_id", "text"))
     return rows.select(
         "doc_id", F.size("pieces").cast("bigint").alias("n_pieces"), F.xxhash64("pieces").alias("pieces_hash"),
-        "decoded_sha256", F.col("decoded_sha256").eqNullSafe(F.col("text_sha256")).alias("lossless"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "lossless",
     )
 
 

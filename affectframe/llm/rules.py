@@ -115,9 +115,9 @@ def train_model(texts: list[bytes], labels: list[int], rounds: int = 300, rate:
     index, value, row = [], [], []
     for n, text in enumerate(texts):
         for channel, (where, share) in enumerate(features(text)):
-            index.append(where + (channel << BITS))
-            value.append(share)
-            row.append(np.full(len(where), n))
+            index.append((where + (channel << BITS)).astype(np.int32))
+            value.append(share.astype(np.float32))
+            row.append(np.full(len(where), n, np.int32))
     index, value, row = np.concatenate(index), np.concatenate(value), np.concatenate(row)
     used, index = np.unique(index, return_inverse=True)
     fold = np.arange(len(y)) % 5 == 4

@@ -75,13 +75,15 @@ class Matcher:
     def _slot(self, codes: np.ndarray, table: int) -> np.ndarray:
         return (codes * np.uint64(2 * table + 0xD1342543DE82EF95) >> np.uint64(64 - self._BITS)).astype(np.int64)
 
-    def edges(self, points: np.ndarray, ends: np.ndarray) -> list[tuple]:
-        """``place, length, weight, number`` arrays; ``ends`` has the end of the word at each place.
+    def edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``last, length, weight, number`` of the pieces in several words laid end to end.
 
-        Longer pieces come first. A character without a piece has a negative number.
+        ``ends`` has the end of the word at each place. Edges come by their last place,
+        longer ones first. A character without a piece has a negative number.
         """
         places, codes = np.arange(len(points)), np.zeros(len(points), np.uint64)
-        found = []
+        # The piece of each length that ends at each place; -1 for none.
+        table = np.full((len(points), self.lengths), -1, np.int32)
         for length in range(1, self.lengths + 1):
             fits = places + length <= ends[places]
             places, codes = places[fits], codes[fits]
@@ -90,22 +92,24 @@ class Matcher:
             codes = _hash(points, places, codes, length)
             sought = codes ^ np.uint64(length)
             piece = np.full(len(places), -1, np.int32)
-            for n, table in enumerate(self.slots):
-                at = table[self._slot(sought, n)]
+            for n, slots in enumerate(self.slots):
+                at = slots[self._slot(sought, n)]
                 piece = np.where((at >= 0) & (self.codes[at] == sought), at, piece)
             hit = np.flatnonzero(piece >= 0)
             piece, where = piece[hit], places[hit]
             same = np.ones(len(hit), bool)
             for k in range(length):  # equal hashes are no proof
                 same &= points[where + k] == self.points[self.begin[piece] + k]
-            piece, where = piece[same], where[same]
-            found.append((where, length, self.weights[piece], self.numbers[piece]))
-            if length == 1:
-                missing = np.ones(len(points), bool)
-                missing[where] = False
-                missing = np.flatnonzero(missing)
-                found.append((missing, 1, np.full(len(missing), self.unknown), -1 - points[missing].astype(np.int64)))
-        return found[::-1]
+            table[where[same] + (length - 1), self.lengths - length] = piece[same]
+        single = table[:, -1]
+        single[single < 0] = len(self.numbers)
+        cells = np.flatnonzero(table.ravel() >= 0)
+        piece = table.ravel()[cells]
+        last = cells // self.lengths
+        number = np.append(self.numbers, 0)[piece]
+        missing = np.flatnonzero(piece == len(self.numbers))
+        number[missing] = -1 - points[last[missing]].astype(np.int64)
+        return last, self.lengths - cells % self.lengths, np.append(self.weights, self.unknown)[piece], number
 
 
 class Lattices:
@@ -116,21 +120,18 @@ class Lattices:
         points = _points([SPACE if w == _MARK else w for w in words])
         word = np.repeat(np.arange(len(words)), sizes)
         ends = np.repeat(np.cumsum(sizes), sizes)
-        parts = matcher.edges(points, ends)
-        place = np.concatenate([p[0] for p in parts])
-        length = np.concatenate([np.full(len(p[0]), p[1]) for p in parts])
-        weight = np.concatenate([p[2] for p in parts])
-        number = np.concatenate([p[3] for p in parts])
+        place, length, weight, number = matcher.edges(points, ends)
         marks = np.flatnonzero(np.array([w == _MARK for w in words]))
         if len(marks):
             number[np.isin(word[place], marks)] = -1 - ord(SPACE)
         # A word has one node more than places.
         self.first = np.cumsum(sizes + 1) - (sizes + 1)
         self.last = self.first + sizes
-        start = place + word[place]
-        end = start + length
+        end = place + word[place] + 1
+        start = end - length
         depth = end - self.first[word[place]]
-        order = np.lexsort((end, depth))  # stable, so longer pieces stay first
+        # Stable, so edges of one depth stay in the order of their nodes; short keys sort fast.
+        order = np.argsort(depth.astype(np.uint16) if sizes.max() < 1 << 16 else depth, kind="stable")
         self.start, self.number = start[order], number[order]
         end, weight, depth = end[order], weight[order], depth[order]
         opens = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
@@ -253,61 +254,107 @@ def decoded(numbers, table: dict[int, bytes]) -> str:
     return b"".join(map(table.__getitem__, numbers))[1:].decode()
 
 
-def encode(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
-    vocab: Vocabulary | None = None, seed: int = SEED, sharpness: float = SHARPNESS, into: str = "pieces",
-) -> DataFrame:
-    """The documents with ``pieces array<int>``: one sampled segmentation of each whole text.
+def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The named columns as one struct, so that tasks get each value once, whatever its name."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
 
-    The draw depends on the seed and the row's id (its text, if the id is null) only, so
-    reruns agree, and rows alike in id and text get the same pieces. Defined cases: a null
-    text has null pieces, an empty one an empty list; a character without a piece, and a
-    U+2581 in the text, are spelled in bytes. Other columns are carried; one that is
-    called as the new one stays, so pass another name in ``into``.
+
+def _place(docs: DataFrame, name: str) -> int:
+    return [c.lower() for c in docs.columns].index(name.lower())
+
+
+def _segmented(docs: DataFrame, id_col: str, text_col: str, vocab: Vocabulary, seed: int, sharpness: float, back: bool) -> DataFrame:
+    """``row`` (the columns but for the text, if ``back``), ``pieces`` and, if ``back``, ``decoded, lossless``.
+
+    Rows go on in small batches, as soon as their texts are segmented.
     """
-    vocab = vocab or load()
+    at_id, at_text = _place(docs, id_col), _place(docs, text_col)
+    kept = [c for i, c in enumerate(docs.columns) if not back or i != at_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(vocab, sharpness)
+        matcher, table = Matcher(vocab, sharpness), vocab.table() if back else {}
         for batch in batches:
+            row = batch.column(0)
+            ids, bodies = row.field(at_id), row.field(at_text)
             at = 0
             while at < batch.num_rows:
                 texts, seeds, missing, held, start = [], [], [], 0, at
                 while at < batch.num_rows and held < _STEP:
-                    text = batch.column(2)[at].as_py()
+                    text = bodies[at].as_py()
                     missing.append(text is None)
                     texts.append(text or "")
-                    seeds.append(row_seed(seed, batch.column(1)[at].as_py(), texts[-1]))
+                    seeds.append(row_seed(seed, ids[at].as_py(), texts[-1]))
                     held += len(texts[-1])
                     at += 1
                 numbers, counts = segment(texts, seeds, matcher)
+                ends = np.concatenate([[0], np.cumsum(counts)])
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()),
-                    pa.array(numbers.astype(np.int32)), mask=pa.array(missing),
+                    pa.array(ends, pa.int32()), pa.array(numbers.astype(np.int32)), mask=pa.array(missing)
+                )
+                own = row.slice(start, at - start)
+                if not back:
+                    yield pa.RecordBatch.from_arrays([own, lists], ["row", "pieces"])
+                    continue
+                plain = numbers.tolist()
+                read = [
+                    None if gone else decoded(plain[a:b], table) for a, b, gone in zip(ends[:-1], ends[1:], missing)
+                ]
+                same = [x is None or x == text for x, text in zip(read, texts)]
+                fields = [own.field(i) for i in range(len(docs_columns)) if i != at_text]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.StructArray.from_arrays(fields, names=kept), lists, pa.array(read, pa.string()), pa.array(same)],
+                    ["row", "pieces", "decoded", "lossless"],
                 )
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, at - start), lists], ["row", "pieces"])
 
-    packed = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"),
-    )
-    schema = T.StructType([packed.schema["row"], T.StructField("pieces", T.ArrayType(T.IntegerType()))])
-    return packed.mapInArrow(run, schema).select("row.*", F.col("pieces").alias(into))
+    docs_columns = docs.columns
+    packed = _packed(docs, docs_columns)
+    row = _packed(docs, kept).schema["row"]
+    added = [T.StructField("pieces", T.ArrayType(T.IntegerType()))]
+    if back:
+        added += [T.StructField("decoded", T.StringType()), T.StructField("lossless", T.BooleanType())]
+    return packed.mapInArrow(run, T.StructType([row, *added]))
+
+
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+    vocab: Vocabulary | None = None, seed: int = SEED, sharpness: float = SHARPNESS, into: str = "pieces",
+) -> DataFrame:
+    """The documents with ``pieces array<int>``: one sampled segmentation of each whole text.
+
+    The draw depends on the seed and the row's id (its text, if the id is null) only, so
+    reruns agree, and rows alike in id and text get the same pieces. Defined cases: a null
+    text has null pieces, an empty one an empty list; a character without a piece, and a
+    U+2581 in the text, are spelled in bytes. Other columns are carried; one that is
+    called as the new one stays, so pass another name in ``into``.
+    """
+    rows = _segmented(docs, id_col, text_col, vocab or load(), seed, sharpness, False)
+    return rows.select("row.*", F.col("pieces").alias(into))
 
 
 def decode(encoded: DataFrame, pieces_col: str = "pieces", *, vocab: Vocabulary | None = None, into: str = "decoded") -> DataFrame:
     """The rows with the text that their pieces stand for; null pieces give a null text."""
-    vocab = vocab or load()
+    vocab, at = vocab or load(), _place(encoded, pieces_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = vocab.table()
         for batch in batches:
-            lists = batch.column(1)
+            lists = batch.column(0).field(at)
             texts = [decoded(x.values.to_pylist(), table) if x.is_valid else None for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["row", "text"])
 
-    packed = encoded.select(
-        F.struct(*[F.col(f"`{c}`") for c in encoded.columns]).alias("row"), F.col(pieces_col).alias("pieces")
-    )
+    packed = _packed(encoded, encoded.columns)
     schema = T.StructType([packed.schema["row"], T.StructField("text", T.StringType())])
     return packed.mapInArrow(run, schema).select("row.*", F.col("text").alias(into))
+
+
+def encode_and_decode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *,
+    vocab: Vocabulary | None = None, seed: int = SEED, sharpness: float = SHARPNESS,
+) -> DataFrame:
+    """The documents with ``pieces``, ``decoded`` and ``lossless`` in place of the text.
+
+    As :func:`encode` and then :func:`decode`, in one pass: the text that the pieces stand
+    for is compared with the given one.
+    """
+    rows = _segmented(docs, id_col, text_col, vocab or load(), seed, sharpness, True)
+    return rows.select("row.*", "pieces", "decoded", "lossless")

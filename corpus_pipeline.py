@@ -39,11 +39,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def piece_sampling(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document with the pieces of a sampled segmentation, and whether they decode to its text."""
-    vocab = sampling.load()
-    encoded = sampling.encode(docs.select("doc_id", "source", "text"), vocab=vocab)
-    rows = sampling.decode(encoded, vocab=vocab)
-    lossless = F.col("decoded").eqNullSafe(F.col("text"))
-    return rows.select("doc_id", "source", "pieces", F.size("pieces").alias("n_pieces"), lossless.alias("lossless"))
+    rows = sampling.encode_and_decode(docs.select("doc_id", "source", "text"))
+    return rows.select("doc_id", "source", "pieces", F.size("pieces").alias("n_pieces"), "lossless")
 
 
 STAGES = [

@@ -85,6 +85,10 @@ def test_messy_rows_round_trip(messy, nothing, vocab):
     for r in back.collect():
         assert r.decoded == r.text and (r.pieces is None) == (r.text is None)
         assert r.text != "" or r.pieces == []
+    once = sampling.encode_and_decode(messy)
+    assert once.columns == [*(c for c in messy.columns if c != "text"), "pieces", "decoded", "lossless"]
+    assert sorted(map(repr, once.drop("lossless").collect())) == sorted(map(repr, back.select(once.drop("lossless").columns).collect()))
+    assert once.filter("NOT lossless").isEmpty() and sampling.encode_and_decode(nothing).collect() == []
     again = sampling.encode(messy.repartition(5))
     assert sorted(map(repr, again.collect())) == sorted(map(repr, encoded.collect()))
     assert sampling.encode(nothing).collect() == [] and sampling.decode(sampling.encode(nothing)).collect() == []
