@@ -34,6 +34,8 @@ _CHAR_FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 _WORD_FACTOR = np.uint32(0x27D4EB2F)
 # Characters that one step looks at, which bounds the memory that a long text takes.
 _STEP = 1 << 20
+# Feature lists (two for each text) that training works on at once, which bounds its memory.
+_BLOCK = 1_000
 
 
 def word_codes(words: list[bytes]) -> np.ndarray:
@@ -112,32 +114,34 @@ def train_model(texts: list[bytes], labels: list[int], rounds: int = 300, rate:
         share = float((y.sum() + 1) / (len(y) + 2))
         flat = np.zeros(1 << BITS, np.float32)
         return NgramModel(flat, flat, float(np.log(share / (1 - share))))
-    index, value, row = [], [], []
+    size, blocks, part = 2 << BITS, [], []
     for n, text in enumerate(texts):
         for channel, (where, share) in enumerate(features(text)):
-            index.append((where + (channel << BITS)).astype(np.int32))
-            value.append(share.astype(np.float32))
-            row.append(np.full(len(where), n, np.int32))
-    index, value, row = np.concatenate(index), np.concatenate(value), np.concatenate(row)
-    used, index = np.unique(index, return_inverse=True)
+            place = (where + (channel << BITS)).astype(np.int32)
+            part.append((place, share.astype(np.float32), np.full(len(where), n, np.int32)))
+        if len(part) >= _BLOCK or n == len(texts) - 1:
+            blocks.append([np.concatenate(x) for x in zip(*part)])
+            part = []
+
+    def margins(w: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(row, value * w[place], len(y)) for place, value, row in blocks)
+
     fold = np.arange(len(y)) % 5 == 4
     # Both classes weigh the same in training; the calibration restores their shares.
     weight = np.where(y == 1, 0.5 / max(1, y[~fold].sum()), 0.5 / max(1, (1 - y[~fold]).sum()))
     weight[fold] = 0
-    w, bias = np.zeros(len(used)), 0.0
-    seen, seen_bias = np.full(len(used), 1e-8), 1e-8
+    w, bias = np.zeros(size), 0.0
+    seen, seen_bias = np.full(size, 1e-8), 1e-8
     for _ in range(rounds):
-        margin = np.bincount(row, value * w[index], len(y)) + bias
-        error = weight * (_sigmoid(margin) - y)
-        gradient = np.bincount(index, value * error[row], len(used)) + decay * w
+        error = weight * (_sigmoid(margins(w) + bias) - y)
+        gradient = sum(np.bincount(place, value * error[row], size) for place, value, row in blocks) + decay * w
         seen += gradient**2
         seen_bias += error.sum() ** 2
         w -= rate * gradient / np.sqrt(seen)
         bias -= rate * error.sum() / np.sqrt(seen_bias)
-    margin = np.bincount(row, value * w[index], len(y)) + bias
+    margin = margins(w) + bias
     slope, shift = _calibrated(margin[fold], y[fold])
-    tables = np.zeros(2 << BITS, np.float32)
-    tables[used] = w
+    tables = w.astype(np.float32)
     return NgramModel(tables[: 1 << BITS], tables[1 << BITS :], float(bias), slope, shift)
 
 
