@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.constants import EVENT_KEYWORDS
+from affectframe.constants import EVENT_KEYWORDS, SMALL_SHARE
 from affectframe.plans.analyse import analyse
 from affectframe.plans.clean import clean_posts, clean_report
 from affectframe.plans.collect import collect_posts
@@ -138,6 +138,115 @@ def analysis_job(spark: SparkSession, sf: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
+# Posts with up to four labels; some have no topic, two labels have small shares.
+_LABELS = f"""WITH {POSTS}, long AS (
+  SELECT party, political_side, nullif(posts.topic, 'P') AS topic, moment, unnest([
+    upper(predicted_emotions[1]) || lower(predicted_emotions[2:]), posts.topic,
+    CASE WHEN "ID" % 101 = 0 THEN 'Rare' END, CASE WHEN "ID" % 103 = 0 THEN 'Scarce' END]) AS predicted_emotions FROM posts
+), labels AS (SELECT * FROM long WHERE predicted_emotions IS NOT NULL)"""
+
+
+def _analysed(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    labelled = posts(spark, sf).withColumns({
+        "predicted_emotions": F.concat_ws(
+            ",", "predicted_emotions", "topic",
+            F.when(F.col("ID") % 101 == 0, "rare"), F.when(F.col("ID") % 103 == 0, "scarce"),
+        ),
+        "topic": F.nullif("topic", F.lit("P")),
+    })
+    tables = analyse(
+        labelled, excluded_topics=["F"], focus=["O", "none", "F"], series_emotions=["O", "1-urgent"],
+        event_date="1998-05-14", event_parties=["BUILDING", "MACHINERY"], event_emotions=["1-urgent", "2-high"],
+    )
+    return tables[name]
+
+
+_PARTY_TOP = """ SELECT party, predicted_emotions, count(*) AS count,
+  row_number() OVER (PARTITION BY party ORDER BY count(*) DESC, predicted_emotions)::INT AS rank
+  FROM labels {} GROUP BY party, predicted_emotions QUALIFY rank <= 3"""
+
+
+@query(_LABELS + " SELECT party, predicted_emotions, count(*) AS count FROM labels GROUP BY ALL")
+def analysis_party_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "party_counts")
+
+
+@query(_LABELS + _PARTY_TOP.format(""))
+def analysis_party_top3(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "party_top3")
+
+
+@query(_LABELS + f""", top AS ({_PARTY_TOP.format("")}) SELECT party, party || ': ' ||
+  string_agg(predicted_emotions || '=' || count, ', ' ORDER BY rank) AS line FROM top GROUP BY party""")
+def analysis_party_top3_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "party_top3_lines")
+
+
+@query(_LABELS + _PARTY_TOP.format("WHERE topic IS DISTINCT FROM 'F'"))
+def analysis_party_top3_without_excluded(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "party_top3_without_excluded")
+
+
+@query(_LABELS + """ SELECT topic, count(*) AS count, (CASE topic WHEN 'O' THEN 1 ELSE 3 END)::INT AS position
+FROM labels WHERE topic IN ('O', 'F') GROUP BY topic""")
+def analysis_focus_topics(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "focus_topics")
+
+
+@query(_LABELS + """ SELECT topic, party, predicted_emotions, count(*) AS count FROM labels WHERE topic IN ('O', 'F')
+GROUP BY topic, party, predicted_emotions
+QUALIFY row_number() OVER (PARTITION BY topic, party ORDER BY count(*) DESC, predicted_emotions) = 1""")
+def analysis_topic_party_tops(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "topic_party_tops").select("topic", "party", "predicted_emotions", "count")
+
+
+@query(_LABELS + """ SELECT topic, party, predicted_emotions, count(*) AS count,
+  round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (PARTITION BY topic, party), 6) AS percentage
+FROM labels WHERE topic IN ('O', 'F') GROUP BY topic, party, predicted_emotions""")
+def analysis_topic_party_shares(spark: SparkSession, sf: str) -> DataFrame:
+    shares = _analysed(spark, sf, "topic_party_shares")
+    return shares.select("topic", "party", "predicted_emotions", "count", F.round("percentage", 6).alias("percentage"))
+
+
+@query(_LABELS + f""", counts AS (
+  SELECT topic, predicted_emotions AS label, count(*) AS n FROM labels WHERE topic IN ('O', 'F') GROUP BY ALL
+), marked AS (SELECT *, n::DOUBLE / sum(n) OVER (PARTITION BY topic) < {SMALL_SHARE} AS small FROM counts
+), folding AS (SELECT *, small AND count(*) FILTER (small) OVER (PARTITION BY topic) > 1 AS folds FROM marked
+), folded AS (
+  SELECT topic, CASE WHEN folds THEN 'Other' ELSE label END AS label, folds, sum(n)::BIGINT AS count FROM folding GROUP BY ALL
+), totals AS (SELECT *, sum(count) OVER (PARTITION BY topic)::BIGINT AS total FROM folded
+), tenths AS (SELECT *, (count * 2000 + total) // (total * 2) AS t FROM totals)
+SELECT topic, label AS predicted_emotions, count, round(count::DOUBLE / total, 6) AS share,
+  CASE WHEN count * 100 >= total * 5
+       THEN (t // 10) || '.' || (t % 10) || '%' || chr(10) || '(' || count || ')' ELSE '' END AS text,
+  row_number() OVER (PARTITION BY topic ORDER BY folds, count DESC, label)::INT AS position FROM tenths""")
+def analysis_topic_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "topic_shares").withColumn("share", F.round("share", 6))
+
+
+@query(_LABELS + """ SELECT political_side, predicted_emotions, count(*) AS count,
+  row_number() OVER (PARTITION BY political_side ORDER BY count(*) DESC, predicted_emotions)::INT AS rank
+FROM labels GROUP BY political_side, predicted_emotions QUALIFY rank <= 3""")
+def analysis_side_top3(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "side_top3")
+
+
+@query(_LABELS + """, picked AS (SELECT moment, predicted_emotions AS e FROM labels WHERE predicted_emotions IN ('O', '1-urgent')
+), span AS (SELECT floor((epoch_us(max(moment)) - epoch_us(min(moment))) / 86400000000.0) > 90 AS monthly FROM picked)
+SELECT strftime(CASE WHEN monthly THEN date_trunc('month', moment) ELSE date_trunc('day', moment) END, '%Y-%m-%d') AS ts_period,
+  count(*) FILTER (e = 'O') AS "O", count(*) FILTER (e = '1-urgent') AS "1-urgent" FROM picked, span GROUP BY 1""")
+def analysis_series(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "series").withColumn("ts_period", F.date_format("ts_period", "yyyy-MM-dd"))
+
+
+@query(_LABELS + """ SELECT party, strftime(date_trunc('week', moment), '%Y-%m-%d') AS ts_period,
+  count(*) FILTER (predicted_emotions = '1-urgent') AS "1-urgent", count(*) FILTER (predicted_emotions = '2-high') AS "2-high"
+FROM labels WHERE moment BETWEEN TIMESTAMP '1998-03-14' AND TIMESTAMP '1998-07-14'
+  AND party IN ('BUILDING', 'MACHINERY') AND predicted_emotions IN ('1-urgent', '2-high') GROUP BY ALL""")
+def analysis_event_series(spark: SparkSession, sf: str) -> DataFrame:
+    return _analysed(spark, sf, "event_series").withColumn("ts_period", F.date_format("ts_period", "yyyy-MM-dd"))
+
+
 @query(f"""WITH {_MODEL}, chosen AS (
   SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id)::INT AS ordinal FROM documents
   WHERE lang IN ('fr', 'de') QUALIFY ordinal <= 5),
