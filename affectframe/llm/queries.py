@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import discriminant, exact, lines, mixing, pieces, rules, sampling, secret_rules, simhash, substrings
+from affectframe.llm import alignment, discriminant, exact, lines, mixing, pieces, rules, sampling, secret_rules, simhash, substrings
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -123,3 +123,9 @@ def op9_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", length.alias("n_removed"),
         F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@_register()
+def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of two tokenizers over each whole text: groups, overlap links, and their corpus-wide counts."""
+    return alignment.aligned(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
