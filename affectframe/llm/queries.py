@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.llm import alignment, discriminant, exact, lines, mixing, pieces, rules, sampling, secret_rules, simhash, substrings
+from affectframe.llm import (
+    alignment,
+    balltree,
+    discriminant,
+    exact,
+    gnat,
+    lines,
+    mixing,
+    pieces,
+    rules,
+    sampling,
+    secret_rules,
+    simhash,
+    substrings,
+)
 
 Runner = Callable[[SparkSession, str], DataFrame]
 
@@ -129,3 +143,55 @@ def op9_repeated_substrings(spark: SparkSession, sf: str) -> DataFrame:
 def op11_token_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of two tokenizers over each whole text: groups, overlap links, and their corpus-wide counts."""
     return alignment.aligned(_documents(spark, sf)).withColumnRenamed("id", "doc_id")
+
+
+def _embeddings(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/embeddings.parquet")
+
+
+def _whole(scale: int, label: str) -> str:
+    """The rows that take part, with whole numbers for components."""
+    return f"""
+rows AS (
+  SELECT row_number() OVER () AS row, vec_id, {label} AS label,
+         list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+)"""
+
+
+@_register(f"""
+WITH {_whole(1024, "0")}, s AS (
+  SELECT q.row AS q, q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM rows q JOIN rows c ON q.row <> c.row AND len(q.v) = len(c.v)
+  WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 10
+""")
+def op12_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten vectors with the highest inner products for each hundredth vector, among all."""
+    return balltree.top_k(_embeddings(spark, sf), F.col("vec_id") % 100 == 0)
+
+
+@_register(f"""
+WITH {_whole(256, "CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END")}, s AS (
+  SELECT a.row AS a, a.vec_id AS anchor_id, c.vec_id, c.row, a.label = c.label AS same,
+         list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM rows a JOIN rows c ON a.row <> c.row AND len(a.v) = len(c.v)
+  WHERE a.vec_id % 100 = 0 AND a.label IS NOT NULL AND c.label IS NOT NULL
+), p AS (
+  SELECT a, anchor_id, vec_id AS positive_id, row AS positive, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, vec_id NULLS LAST) <= 5
+), n AS (
+  SELECT p.anchor_id, p.positive_id, s.vec_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.a, p.positive ORDER BY s.score DESC, s.vec_id NULLS LAST) AS rank
+  FROM p JOIN s ON p.a = s.a AND NOT s.same
+    AND 30 * p.positive_score <= 100 * s.score AND 100 * s.score <= 90 * p.positive_score
+)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+""")
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of other labels that score 30 to 90 percent of each positive of each hundredth vector."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return gnat.hard_negatives(_embeddings(spark, sf), F.col("vec_id") % 100 == 0, label)
