@@ -35,6 +35,8 @@ from affectframe.tables import is_bounded
 
 # Numbers in a shard (its rows times their length), requests in a block, rows that cells form around.
 SHARD_VALUES, BLOCK, CELLS = 1 << 22, 256, 256
+# Fewer shards than tasks are made where they would get fewer rows: the first wave needs some to find k.
+LEAST_ROWS = 512
 # The balls of shards are sent to the tasks that deal requests out if they take so many bytes at most.
 BALL_BYTES = 64 << 20
 MAX_SQUARES = float(1 << 55)
@@ -184,7 +186,8 @@ def sharded(rows: DataFrame, grow, *, shard_values: int = SHARD_VALUES, cells: i
         pivots.setdefault(len(v), []).append(v)
     pivots = {size: np.array(vs, np.int64).reshape(len(vs), size) for size, vs in pivots.items()}
     schema = T.StructType([*rows.schema.fields, T.StructField("dim", T.IntegerType()), T.StructField("cell", T.IntegerType())])
-    parts = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(values or 0) // shard_values)), max(n, 1))
+    tasks = min(int(spark.conf.get("spark.sql.shuffle.partitions")), n // LEAST_ROWS)
+    parts = max(tasks, -(-(values or 0) // shard_values), 1)
     placed = rows.mapInArrow(_cells(pivots), schema).repartitionByRange(parts, "dim", "cell", F.xxhash64("row"))
     return stored(placed.mapInArrow(_build(grow, shard_values), SHARD), "shards")
 
