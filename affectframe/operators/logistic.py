@@ -38,7 +38,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Shares and probabilities are counted in these parts: with 10^12 posts, sums fit a long.
 UNIT = 1 << 20
-BITS, ROUNDS, PATIENCE, L2 = 18, 30, 3, 1e-3
+BITS, ROUNDS, PATIENCE, L2 = 18, 30, 3, 1e-4
 # Hash digits that name a bucket, and bytes that the weights may take.
 _DIGITS, MAX_BYTES = 5, 64 << 20
 # Tasks of a round for each core: each sends one row per bucket.
