@@ -6,10 +6,10 @@ is only a matter of speed: cells around a bounded sample of rows order them, and
 that order are the shards, so a cell with very many rows is spread over several.
 
 A request is a row that asks, with one or more windows of scores (inner products). It is
-answered in two waves. The first looks in the request's own shard; the score of the k-th
-row found there is then shared: the second wave goes, in blocks of requests, to the shards
-whose ball can hold scores of the window from that score on, and finds only rows that
-reach it. Requests are compared with rows of the same length only.
+answered in waves: in its own shard, in a few shards near the window, and in all others. The
+score of the k-th row found so far is shared before each: a wave goes, in blocks of
+requests, only to shards whose ball can hold scores of the window from that score on, and
+finds only rows that reach it. Requests are compared with rows of the same length only.
 
 Defined cases (for the operators built on this): rows with a null vector, or a null or
 non-finite component, take no part, nor do vectors whose squares add up to 2^55 or more,
@@ -37,6 +37,8 @@ from affectframe.tables import is_bounded
 SHARD_VALUES, BLOCK, CELLS = 1 << 22, 256, 256
 # Fewer shards than tasks are made where they would get fewer rows: the first wave needs some to find k.
 LEAST_ROWS = 512
+# Shards that a request asks in the second wave.
+NEAR = 8
 # The balls of shards are sent to the tasks that deal requests out if they take so many bytes at most.
 BALL_BYTES = 64 << 20
 MAX_SQUARES = float(1 << 55)
@@ -252,7 +254,9 @@ def _to_own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist(out, _arrow(DEALT))
 
 
-def _to_others(balls: Balls):
+def _to_others(balls: Balls, near: bool):
+    """To the shards besides the own one: those near the upper end of a window, or all others."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in _blocks(batch):
@@ -262,11 +266,19 @@ def _to_others(balls: Balls):
                 middle, spread = v @ centres.T, np.outer(lengths, radii)
                 spread += 1e-9 * np.outer(lengths, np.sqrt((centres * centres).sum(1)) + radii) + 1e-6
                 # Some window of the request meets the scores that the ball can hold.
-                within = np.zeros(middle.shape, bool)
+                within, distance = np.zeros(middle.shape, bool), np.full(middle.shape, np.inf)
+                top = (middle + spread).max(axis=1, keepdims=True)
                 for w in range(block["lo"].shape[1]):
                     lo, hi = block["lo"][:, w, None], block["hi"][:, w, None]
                     within |= (lo <= hi) & (middle + spread >= lo) & (middle - spread <= hi)
-                within &= numbers[None, :] != block["own"][:, None]
+                    distance = np.minimum(distance, np.abs(middle - np.minimum(hi, top)))
+                foreign = numbers[None, :] != block["own"][:, None]
+                distance[~foreign] = np.inf
+                # The same shards in either wave: neither centres nor upper ends change in between.
+                nearest = np.argsort(distance, axis=1, kind="stable")[:, :NEAR]
+                is_near = np.zeros(middle.shape, bool)
+                np.put_along_axis(is_near, nearest, True, axis=1)
+                within &= foreign & (is_near if near else ~is_near)
                 for s in np.flatnonzero(within.any(axis=0)):
                     yield pa.RecordBatch.from_pylist([_dealt(block, within[:, s], int(numbers[s]))], _arrow(DEALT))
 
@@ -280,14 +292,12 @@ def _to_any(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([block["v"].shape[1]], pa.int32()), pa.array([whole], pa.binary())], ["dim", "body"])
 
 
-def _dealt_to_others(asked: DataFrame, shards: DataFrame) -> DataFrame:
-    """Blocks of requests with each shard that they may find rows in.
+def _dealt_to_any(asked: DataFrame, shards: DataFrame) -> DataFrame:
+    """Blocks of requests with every shard, where the balls do not fit a task.
 
-    Beyond the balls that fit a task, blocks go to all shards: in slices of the shards'
-    numbers, so that no task deals to all of them. A shard drops what its root excludes.
+    They are dealt in slices of the shards' numbers, so that no task deals to all of them.
+    A shard's root drops what it excludes.
     """
-    if is_bounded(shards.select("shard", "dim", "centre", "radius"), BALL_BYTES):
-        return asked.mapInArrow(_to_others(Balls.of(shards)), DEALT)
     slices = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = asked.mapInArrow(_to_any, "dim int, body binary")
     blocks = blocks.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
@@ -390,11 +400,24 @@ def answered(asked: DataFrame, shards: DataFrame, search: Search, k: int, label:
     ``asked`` has the columns of :data:`REQUEST` and ``lo, hi``, as many numbers in each
     row: scores from ``lo[w]`` to ``hi[w]`` are sought, none where ``lo[w]`` is greater.
     """
-    own = stored(_wave(asked.mapInArrow(_to_own, DEALT), shards, search, k, label), "hits")
-    reached = own.groupBy("q", "w").agg(F.count("*").alias("n"), F.min("score").alias("kth")).filter(F.col("n") >= k)
-    shared = reached.groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "kth"))).alias("kth"))
+    waves = [lambda rows: rows.mapInArrow(_to_own, DEALT)]
+    if is_bounded(shards.select("shard", "dim", "centre", "radius"), BALL_BYTES):
+        balls = Balls.of(shards)
+        waves += [lambda rows, near=near: rows.mapInArrow(_to_others(balls, near), DEALT) for near in (True, False)]
+    else:
+        waves += [lambda rows: _dealt_to_any(rows, shards)]
+    found, rows = None, asked
+    for number, dealt in enumerate(waves):
+        if number:
+            rows = stored(_raised(rows, found, k), "requests")
+        hits = _wave(dealt(rows), shards, search, k, label)
+        hits = hits if found is None else found.drop("rank").unionByName(hits)
+        found = stored(ranked(hits, k), "hits")
+    return found
+
+
+def _raised(asked: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """The requests with the score of the k-th row found so far as the lower end of its window."""
+    reached = found.filter(F.col("rank") == k).groupBy("q").agg(F.map_from_entries(F.collect_list(F.struct("w", "score"))).alias("kth"))
     raised = F.transform("lo", lambda lo, w: F.greatest(lo, F.coalesce(F.try_element_at("kth", w), F.lit(LOWEST))))
-    further = stored(asked.join(shared, "q", "left").withColumn("lo", raised).drop("kth"), "requests")
-    others = _wave(_dealt_to_others(further, shards), shards, search, k, label)
-    return stored(ranked(own.unionByName(others), k), "answers")
-
+    return asked.join(reached, "q", "left").withColumn("lo", raised).drop("kth")
