@@ -11,7 +11,7 @@ from affectframe.functions.text import missing_to_null
 from affectframe.functions.times import utc_instant
 from affectframe.operators.dedupe import drop_repeated
 from affectframe.operators.split import class_counts
-from affectframe.plans.collect import collect_into, rejected_posts, stored_posts
+from affectframe.plans.collect import collect_into, compact_table, rejected_posts, stored_posts
 from affectframe.queries.registry import authors, query, table
 from affectframe.schemas import RAW_POSTS, first_present, require_columns
 from affectframe.session import new_dir
@@ -23,6 +23,7 @@ from affectframe.sources.readers import (
     text_column,
     union_sources as union,
 )
+from affectframe.sources.versions import published
 from affectframe.sources.writers import append_posts, write_csv, write_label_map
 from affectframe.streaming import ingest as streaming
 
@@ -155,6 +156,9 @@ def _event_stream(spark: SparkSession, folder: str, files: str) -> DataFrame:
     return stream.withColumn("ts", utc_instant(F.col("ts")))
 
 
+_WEEKLY = "week date, event_type string, count bigint"
+
+
 @query("""SELECT strftime(date_trunc('week', ts), '%Y-%m-%d') AS week, event_type, count(*) AS count
 FROM events GROUP BY ALL""")
 def stream_weekly(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,7 +171,7 @@ def stream_weekly(spark: SparkSession, sf: str) -> DataFrame:
     stored = _event_stream(spark, f"{work}/events", "*.parquet")
     weekly = streaming.weekly_counts(stored, "ts", ["event_type"])
     streaming.maintain_table(weekly, f"{work}/weekly", f"{work}/checkpoint-weekly").awaitTermination()
-    return spark.read.parquet(f"{work}/weekly").withColumn("week", F.date_format("week", "yyyy-MM-dd"))
+    return published(spark, f"{work}/weekly", _WEEKLY).withColumn("week", F.date_format("week", "yyyy-MM-dd"))
 
 
 @query("""SELECT doc_id AS "ID", source AS "Author", length(text) AS characters FROM documents
@@ -186,9 +190,7 @@ def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     streaming.ingest(
         spark, f"{work}/landing", f"{work}/posts", f"{work}/checkpoint", files="*.csv"
     ).awaitTermination()
-    return spark.read.parquet(f"{work}/posts").select(
-        "ID", "Author", F.length("Text").cast("bigint").alias("characters")
-    )
+    return _stored(spark, f"{work}/posts")
 
 
 # --- Landed files in any order and at any time -----------------------------------------------
@@ -249,6 +251,33 @@ def collect_replies(spark: SparkSession, sf: str) -> DataFrame:
     return _stored(spark, f"{work}/posts")
 
 
+_CAP = 40
+
+
+@query(f"""SELECT doc_id AS "ID", source AS "Author", length(text) AS characters FROM documents
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id % 4 DESC, doc_id DESC) <= {_CAP}""")
+def collect_cap_over_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The newest posts of each author over three runs that bring them in any order, one of them twice."""
+    work = new_dir(spark, "collect")
+    posts = _dated(spark, sf)
+    runs = {"b": posts.filter("ID % 3 = 1"), "a": posts.filter("ID % 3 = 0"), "c": posts.filter("ID % 3 = 2")}
+    for run, rows in [*runs.items(), ("a", runs["a"])]:
+        collect_into(rows, f"{work}/posts", run=run, per_author=_CAP)
+    return _stored(spark, f"{work}/posts")
+
+
+@query(_POSTS + " WHERE doc_id % 5 <> 1")
+def collect_replaced_run(spark: SparkSession, sf: str) -> DataFrame:
+    """A run that is stored again with other rows replaces its own, also after compaction."""
+    work = new_dir(spark, "collect")
+    posts = _dated(spark, sf)
+    collect_into(posts.filter("ID % 5 IN (0, 1, 2)"), f"{work}/posts", run="a")
+    collect_into(posts.filter("ID % 5 IN (2, 3)"), f"{work}/posts", run="b")
+    compact_table(spark, f"{work}/posts")
+    collect_into(posts.filter("ID % 5 IN (0, 2, 4)"), f"{work}/posts", run="a")
+    return _stored(spark, f"{work}/posts")
+
+
 @query("""SELECT source AS "Author", count(*) AS posts FROM documents WHERE doc_id % 5 = 0 GROUP BY source""")
 def collect_rejects(spark: SparkSession, sf: str) -> DataFrame:
     """Posts whose date is unreadable are stored beside the table."""

@@ -24,6 +24,32 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(file, True)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds; none if there is no such folder."""
+    file, store = _at(spark, path)
+    return [entry.getPath().getName() for entry in store.listStatus(file)] if store.exists(file) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file's text."""
+    file, store = _at(spark, path)
+    stream = store.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def create(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file; fails if there is one of that name."""
+    file, store = _at(spark, path)
+    stream = store.create(file, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+
+
 def file_names(spark: SparkSession, path: str | Sequence[str], files: str | None = None) -> list[str]:
     """The files of folders, patterns or single paths; their contents are not read."""
     reader = spark.read.format("binaryFile")

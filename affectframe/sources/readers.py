@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,9 @@ from affectframe.sources.files import file_names, header
 # Files of posts carry this mark in their names; dimension files beside them do not.
 POST_FILES = "*_tweets_*.csv"
 
+# Files whose headers are read at the same time.
+OPENED_AT_ONCE = 32
+
 
 def read_csv(
     spark: SparkSession,
@@ -47,8 +51,11 @@ def read_csv(
     """
     needed = schema.fieldNames() if needed is None else needed
     by_header: dict[tuple[str, ...], list[str]] = {}
-    for name in file_names(spark, path, files):
-        by_header.setdefault(header(spark, name), []).append(name)
+    names = file_names(spark, path, files)
+    # Opening a file is mostly waiting, so many are opened at once.
+    with ThreadPoolExecutor(OPENED_AT_ONCE) as pool:
+        for name, columns in zip(names, pool.map(lambda name: header(spark, name), names), strict=True):
+            by_header.setdefault(columns, []).append(name)
     by_header.pop((), None)
     frames = []
     for columns, names in by_header.items():

@@ -13,10 +13,14 @@ from affectframe.constants import COLLECT_FROM
 from affectframe.functions.times import utc_naive
 from affectframe.plans.collect import collect_into
 from affectframe.sources.readers import POST_FILES, read_posts
+from affectframe.sources.versions import Versions, publish
 
 # How late a copy of an event may arrive.
 LATENESS = "7 days"
 
+# A batch's file names go through the driver.
+FILES_PER_BATCH = 10_000
+
 _FILE = "path string, modificationTime timestamp, length long, content binary"
 
 
@@ -80,13 +84,13 @@ def ingest(
     zone: str = "UTC",
     per_author: int | None = None,
     files: str | None = POST_FILES,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Landed post files to the table of eligible posts, as :func:`plans.collect.collect_into`.
 
     The stream consists of the files' names; each batch reads its files by their headers
     and adds what the table does not have, whatever the posts' dates. A batch that is
-    tried again replaces its own rows. A limit per author holds within a batch.
+    tried again replaces its own rows. A limit per author holds over all batches.
     """
     names = stream_files(
         spark, landing, format="binaryFile", schema=_FILE, files=files, files_per_batch=files_per_batch
@@ -121,13 +125,16 @@ def weekly_counts(stream: DataFrame, moment: str, keys: Sequence[str]) -> DataFr
 
 
 def maintain_table(result: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Keep a result table complete: every batch replaces it by all groups so far.
+    """Keep a result table complete: every batch publishes all groups so far.
 
-    Only whole results are right for open weeks; an append would withhold them.
+    Only whole results are right for open weeks; an append would withhold them. Readers
+    (:func:`sources.versions.published`) find the last whole result, also while the next
+    one is written, and after a batch that fails. The last two results are kept.
     """
 
     def replace(batch: DataFrame, _batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        publish(batch, path)
+        Versions(batch.sparkSession, path).forget()
 
     return (
         result.writeStream.outputMode("complete")

@@ -12,6 +12,7 @@ from affectframe.plans.clean import clean_posts, clean_report
 from affectframe.plans.collect import collect_into, rejected_posts, stored_posts
 from affectframe.session import new_dir, shared_dir
 from affectframe.sources import readers, writers
+from affectframe.sources.versions import published
 from affectframe.streaming import ingest as streaming
 
 DAY = "Wed Mar {:02d} 20:19:24 +0000 2023"
@@ -188,7 +189,7 @@ def test_weekly_table_equals_batch(spark, tmp_path):
     weekly = streaming.weekly_counts(stream, "ts", ["event_type"])
     streaming.maintain_table(weekly, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     batch = events.groupBy(F.trunc("ts", "week").alias("week"), "event_type").count()
-    stored = spark.read.parquet(str(tmp_path / "out"))
+    stored = published(spark, str(tmp_path / "out"), "week date, event_type string, count bigint")
     assert stored.exceptAll(batch).count() == 0 and stored.count() == batch.count()
 
 
