@@ -17,6 +17,16 @@ from affectframe.session import new_dir
 
 # Up to so many entries a lexicon is a part of the expression; beyond, it is a table.
 MAX_LITERALS = 10_000
+# Weights are whole numbers of these parts. As doubles their sums are exact, in any order.
+UNIT = 1_000_000_000
+
+
+def _parts(weight: float) -> float:
+    return float(round(weight * UNIT))
+
+
+def _whole(words: Mapping[str, float]) -> float:
+    return sum(map(_parts, words.values()), 0.0)
 
 
 def parse_topics(
@@ -53,9 +63,9 @@ def lexicon_scores(text: Column, lexicon: Mapping[str, Mapping[str, float]]) ->
         F.struct(
             F.lit(i).alias("idx"),
             F.lit(topic).alias("label"),
-            F.lit(float(sum(words.values()))).alias("whole"),
+            F.lit(_whole(words)).alias("whole"),
             F.array(*[
-                F.struct(F.lit(word).alias("word"), F.lit(float(weight)).alias("weight"))
+                F.struct(F.lit(word).alias("word"), F.lit(_parts(weight)).alias("weight"))
                 for word, weight in words.items()
             ]).alias("words"),
         )
@@ -67,8 +77,7 @@ def lexicon_scores(text: Column, lexicon: Mapping[str, Mapping[str, float]]) ->
             matched = F.aggregate(
                 topic["words"],
                 F.lit(0.0),
-                lambda acc, w: acc
-                + F.when(F.array_contains(found, w["word"]), w["weight"]).otherwise(F.lit(0.0)),
+                lambda acc, w: acc + F.when(F.array_contains(found, w["word"]), w["weight"]).otherwise(F.lit(0.0)),
             )
             return F.struct(
                 topic["idx"].alias("idx"),
@@ -82,8 +91,8 @@ def lexicon_scores(text: Column, lexicon: Mapping[str, Mapping[str, float]]) ->
 
 
 def lexicon_table(spark: SparkSession, lexicon: Mapping[str, Mapping[str, float]]) -> DataFrame:
-    """``token, idx, weight`` of a lexicon of any size; ``idx`` is the topic's place."""
-    rows = [(word, i, float(w)) for i, words in enumerate(lexicon.values()) for word, w in words.items()]
+    """``token, idx, weight`` of a lexicon of any size, weights in whole parts; ``idx`` is the topic's place."""
+    rows = [(word, i, _parts(w)) for i, words in enumerate(lexicon.values()) for word, w in words.items()]
     return spark.createDataFrame(rows, "token string, idx int, weight double")
 
 
@@ -102,9 +111,7 @@ def lexicon_scores_by_join(
     )
     listed = lexicon_table(spark, lexicon)
     found = join_on_key(words, listed, "token", "inner")
-    # A topic's weights are added up in the order of its words, as in the expression.
-    parts = found.groupBy("_text", "idx").agg(F.sort_array(F.collect_list(F.struct("token", "weight"))).alias("parts"))
-    matched = parts.select("_text", "idx", F.aggregate("parts", F.lit(0.0), lambda acc, w: acc + w["weight"]).alias("weight"))
+    matched = found.groupBy("_text", "idx").agg(F.sum("weight").alias("weight"))
     by_text = matched.groupBy("_text").agg(F.map_from_entries(F.collect_list(F.struct("idx", "weight"))).alias("_found"))
     path = new_dir(spark, "topics")
     by_text.write.parquet(path)
@@ -112,7 +119,7 @@ def lexicon_scores_by_join(
     scores = F.array(*[
         F.struct(
             F.lit(i).alias("idx"), F.lit(topic).alias("label"),
-            (F.coalesce(F.col("_found")[i], F.lit(0.0)) / F.lit(float(sum(words.values())))).alias("score"),
+            (F.coalesce(F.col("_found")[i], F.lit(0.0)) / F.lit(_whole(words))).alias("score"),
         )
         for i, (topic, words) in enumerate(lexicon.items())
     ])

@@ -382,3 +382,14 @@ def test_copies_go(spark):
     df = spark.createDataFrame(rows, "ID int, Text string")
     for limit in (0, 10_000):
         assert _rows(drop_repeated(df, max_bytes=limit)) == [(1, "a"), (2, "b"), (None, "c"), (None, "c")]
+
+
+def test_both_ways_of_scoring_by_a_lexicon_give_equal_bits(spark):
+    lexicon = {"one": {"z": 0.1, "b": 0.2, "a": 0.3}, "two": {"a": 0.7, "q": 1 / 3}}
+    posts = spark.createDataFrame([(1, "z b a"), (2, "a b"), (3, "q a z"), (4, None), (5, "")], "ID int, text string")
+    direct = posts.select("ID", lexicon_scores(F.col("text"), lexicon).alias("scores")).collect()
+    joined = {r.ID: r.scores for r in lexicon_scores_by_join(posts, "text", lexicon).collect()}
+    for row in direct:
+        if row.ID != 4:
+            assert row.scores == joined[row.ID]
+    assert [s.score for s in joined[1]][0] == 1.0
