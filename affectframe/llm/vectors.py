@@ -26,11 +26,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affectframe.llm.common import stored
+from affectframe.operators.ranking import top_n_per_group
 from affectframe.tables import is_bounded
 
 # Numbers in a shard (its rows times their length), requests in a block, rows that cells form around.
@@ -389,9 +390,13 @@ def _wave(dealt: DataFrame, shards: DataFrame, search: Search, k: int, label: in
 
 
 def ranked(hits: DataFrame, k: int) -> DataFrame:
-    """The k best hits of each request and window, with their rank."""
-    order = Window.partitionBy("q", "w").orderBy(F.desc("score"), F.asc_nulls_last("id"), F.asc("row"))
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    """The k best hits of each request and window, with their rank.
+
+    A request amid many alike rows has k hits in each of very many shards, so the limit is
+    taken in slices of its hits first.
+    """
+    order = [F.desc("score"), F.asc_nulls_last("id"), F.asc("row")]
+    return top_n_per_group(hits, ["q", "w"], order, k, spread="row")
 
 
 def answered(asked: DataFrame, shards: DataFrame, search: Search, k: int, label: int = ANY) -> DataFrame:
