@@ -1,40 +1,36 @@
-"""Deleting lines that a document shares with an earlier one.
-
-Texts that are equal as a whole form a class; its first document stands for it. Lines with
-a word are taken in runs of one, two and three, blank lines apart, and the first class that
-holds a run is found for each, by one minimum per run. A run that an earlier class holds is
-deleted from all later ones if it has three lines, many characters, or a rare line (few
-classes hold it). So each text is held against all earlier ones, wherever in them a run
-stands and however many hold it, without forming pairs. What stays is short and common:
-runs of one or two lines, below the number of characters, without a rare line.
-
-With the option ``rare`` the former, narrower rule holds. A line is owned by the first
-class that holds it, and a class and the owner of its lines are a pair to align if they
-share a rare line or several lines of any kind. Each pair is aligned by patience diff:
-lines that are unique in both texts and shared are anchors, their longest common order is
-kept, and matches spread from there. Aligned blocks with a rare line or with several lines
-are deleted from the later text. Lines are compared by 64-bit hashes of what is left after
-trimming white space.
+"""Deleting lines that a document shares with an earlier one, by aligning pairs of texts.
+
+Texts that are equal as a whole form a class; its first document stands for it. Two classes
+are aligned if they share a rare line (few classes hold it, so all pairs of its holders are
+few), and a class is aligned with the first holder of each of its runs that would go by
+itself: three lines, or fewer with many characters. So common lines form pairs as well, one
+for each holder, and no pair of all holders. Lines without a word are left aside.
+
+A pair is aligned by patience diff: lines that stand once in both are anchors, their
+longest common order is kept, and matches spread from there; a stretch without anchors is
+aligned by the nth occurrence of its lines. Aligned blocks of several lines or many
+characters are deleted from the later text, however many texts hold them. What is left of
+it is aligned again, so passages that were moved, or stand twice, go as well. Lines are
+compared by 64-bit hashes of what is left after trimming white space.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Hashable, Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from affectframe.llm.common import join_counted, stored
 from affectframe.operators.joins import join_on_key
 
-# A line is rare if at most so many different texts hold it.
+# All holders of a line are paired if so many different texts hold it at most. Only pairs
+# are found by it: what is deleted does not depend on the number of holders.
 RARE = 10
-# A block without a rare line is deleted if it has at least so many lines with a word.
+# A block is deleted if it has at least so many lines with a word.
 LEAST_LINES = 3
 # Or if its lines have at least so many characters; any passage of more than 50 words has.
 LEAST_CHARS = 100
@@ -75,8 +71,31 @@ def _increasing(values: Sequence[int]) -> list[int]:
     return found[::-1]
 
 
-def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
-    """Aligned places of two sequences of line hashes, in order."""
+def _anchors(a: Sequence[Hashable], b: Sequence[Hashable], a0: int, a1: int, b0: int, b1: int) -> list[tuple[int, int]]:
+    """Places of lines that stand once in both stretches, or else of the nth occurrence of equal lines, in common order."""
+    in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
+    if any(n == 1 and in_b.get(h) == 1 for h, n in in_a.items()):
+        where = {h: j for j, h in enumerate(b[b0:b1], b0) if in_b[h] == 1}
+        pairs = [(i, where[h]) for i, h in enumerate(a[a0:a1], a0) if in_a[h] == 1 and h in where]
+    else:
+        seen: Counter = Counter()
+        where = {}
+        for j, h in enumerate(b[b0:b1], b0):
+            if h in in_a:
+                where[h, seen[h]] = j
+                seen[h] += 1
+        seen.clear()
+        pairs = []
+        for i, h in enumerate(a[a0:a1], a0):
+            if h in in_b:
+                if (h, seen[h]) in where:
+                    pairs.append((i, where[h, seen[h]]))
+                seen[h] += 1
+    return [pairs[k] for k in _increasing([j for _, j in pairs])]
+
+
+def patience(a: Sequence[Hashable], b: Sequence[Hashable]) -> list[tuple[int, int]]:
+    """Aligned places of two sequences of lines, in order."""
     pairs, todo = [], [(0, len(a), 0, len(b))]
     while todo:
         a0, a1, b0, b1 = todo.pop()
@@ -88,153 +107,148 @@ def patience(a: Sequence[int], b: Sequence[int]) -> list[tuple[int, int]]:
             pairs.append((a1, b1))
         if a0 == a1 or b0 == b1:
             continue
-        in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
-        where = {h: j for j, h in enumerate(b[b0:b1], b0) if in_b[h] == 1}
-        single = [(i, where[h]) for i, h in enumerate(a[a0:a1], a0) if h != _BLANK and in_a[h] == 1 and h in where]
-        anchors = [single[k] for k in _increasing([j for _, j in single])]
+        anchors = _anchors(a, b, a0, a1, b0, b1)
         if anchors:
             # Each part starts at an anchor, which its first step aligns.
             starts = [(a0, b0), *anchors]
-            todo += [(x[0], y[0], x[1], y[1]) for x, y in zip(starts, [*anchors, (a1, b1)])]
+            todo += [(x[0], y[0], x[1], y[1]) for x, y in zip(starts, [*anchors, (a1, b1)]) if x != y]
     return sorted(pairs)
 
 
-def doomed_lines(earlier: Sequence[int], later: Sequence[int], rare: set[int], least: int = LEAST_LINES) -> list[int]:
-    """Places of the later text in aligned blocks that are to be deleted."""
-    found, block = [], []
-
-    def close() -> None:
-        words = [j for _, j in block if later[j] != _BLANK]
-        if len(words) >= least or any(later[j] in rare for j in words):
-            found.extend(j for _, j in block)
-        block.clear()
-
-    for i, j in patience(earlier, later):
-        if block and (i, j) != (block[-1][0] + 1, block[-1][1] + 1):
-            close()
-        block.append((i, j))
-    close()
+def _blocks(pairs: list[tuple[int, int]]) -> Iterator[range]:
+    """Places of the later text in runs of pairs that follow each other on both sides."""
+    start = 0
+    for k in range(1, len(pairs) + 1):
+        if k == len(pairs) or (pairs[k][0] - pairs[k - 1][0], pairs[k][1] - pairs[k - 1][1]) != (1, 1):
+            yield range(pairs[start][1], pairs[k - 1][1] + 1)
+            start = k
+
+
+def _goes(block: Sequence[int], chars: Sequence[int], least: int) -> bool:
+    return len(block) >= least or sum(chars[j] for j in block) >= LEAST_CHARS
+
+
+def _shortest_runs(lines: Sequence[Hashable], chars: Sequence[int], least: int) -> Iterator[range]:
+    """From each line on, the shortest run that would go by itself."""
+    for start in range(len(lines)):
+        for end in range(start + 1, min(start + least, len(lines)) + 1):
+            if _goes(range(start, end), chars, least):
+                yield range(start, end)
+                break
+
+
+def _one_shared_run(earlier: Sequence[Hashable], later: Sequence[Hashable], chars: Sequence[int], least: int) -> list[tuple[int, int]]:
+    """The pairs of the first run of both that would go, where no common order has brought it together."""
+    held: dict[tuple, int] = {}
+    for size in range(1, least + 1):
+        for i in range(len(earlier) - size + 1):
+            held.setdefault(tuple(earlier[i:i + size]), i)
+    for run in _shortest_runs(later, chars, least):
+        i = held.get(tuple(later[j] for j in run))
+        if i is not None:
+            return [(i + n, j) for n, j in enumerate(run)]
+    return []
+
+
+def doomed_lines(earlier: Sequence[Hashable], later: Sequence[Hashable], chars: Sequence[int], least: int = LEAST_LINES) -> list[range]:
+    """Blocks of the later text (lines with a word only) that alignment with the earlier one deletes."""
+    rest, found = list(later), []
+    common = set(earlier)
+    while any(h in common for h in rest):
+        blocks = [b for b in _blocks(patience(earlier, rest)) if _goes(b, chars, least)]
+        if not blocks:
+            blocks = list(_blocks(_one_shared_run(earlier, rest, chars, least)))
+        if not blocks:
+            break
+        found += blocks
+        for block in blocks:
+            for j in block:
+                rest[j] = ("gone", j)  # equal to no line
     return found
 
 
 def _aligned(pairs: DataFrame, least: int) -> DataFrame:
+    """``key, places``: what each pair deletes from the later text, and the lines without a word inside."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             later, places = [], []
-            for row in batch.to_pylist():
-                doomed = doomed_lines(row["earlier_lines"], row["later_lines"], set(row["rare"]), least)
-                if doomed:
-                    later.append(row["later"])
-                    places.append(doomed)
+            for key, before, lines, chars, at in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                blocks = doomed_lines(before, lines, chars, least)
+                if blocks:
+                    later.append(key)
+                    places.append(sorted({k for b in blocks for k in range(at[b[0]], at[b[-1]] + 1)}))
             yield pa.RecordBatch.from_arrays([pa.array(later, pa.string()), pa.array(places, pa.list_(pa.int32()))], ["key", "places"])
 
-    return pairs.select("later", "earlier_lines", "later_lines", "rare").mapInArrow(run, "key string, places array<int>")
+    return pairs.select("later", "earlier_lines", "lines", "chars", "places").mapInArrow(run, "key string, places array<int>")
 
 
-def _doomed_by_owners(classes: DataFrame, rare: int, least_lines: int) -> DataFrame:
-    """``key, doomed`` by the former rule, which aligns each class with the owners of its lines."""
-    order = F.struct(F.col("least").isNull().alias("missing"), "least", "key")
-    held = stored(
-        classes.select(order.alias("holder"), F.explode(F.array_distinct("lines")).alias("line")).filter(F.col("line") != _BLANK),
-        "held",
-    )
-    owners = held.groupBy("line").agg(F.count("*").alias("held_by"), F.min("holder").alias("owner"))
-    owners = owners.filter("held_by > 1").select("line", "held_by", F.col("owner.key").alias("earlier"))
-    shared = join_counted(
-        held.select("line", F.col("holder.key").alias("later")), stored(owners, "owners"), "line", "held_by", held.count()
-    ).filter("earlier <> later")
-    is_rare = F.col("held_by") <= rare
-    pairs = shared.groupBy("earlier", "later").agg(
-        F.count("*").alias("n_shared"), F.collect_list(F.when(is_rare, F.col("line"))).alias("rare")
-    )
-    pairs = stored(pairs.filter((F.size("rare") > 0) | (F.col("n_shared") >= least_lines)).drop("n_shared"), "pairs")
-    sequences = classes.select("key", "lines")
-    # One class may be the owner in many pairs, so they are counted; as the later one it is in few.
-    counted = pairs.groupBy(F.col("earlier").alias("key")).agg(F.count("*").alias("n")).join(sequences, "key")
-    counted = stored(counted.select(F.col("key").alias("earlier"), "n", F.col("lines").alias("earlier_lines")), "earlier")
-    both = join_counted(pairs, counted, "earlier", "n", pairs.count()).join(
-        sequences.select(F.col("key").alias("later"), F.col("lines").alias("later_lines")), "later"
+def _worded(classes: DataFrame) -> DataFrame:
+    """``holder, key, w``: the lines with a word of each class, with place and characters."""
+    numbered = F.transform(
+        F.arrays_zip("lines", "chars"), lambda x, i: F.struct(i.alias("place"), x["lines"].alias("line"), x["chars"].alias("chars"))
     )
-    return _aligned(both, least_lines).groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("doomed"))
-
-
-_GOES, _RARE_LINE, _BESIDE = 2, 1, 0
+    order = F.struct(F.col("least").isNull().alias("missing"), "least", "key")
+    return classes.select(order.alias("holder"), "key", F.filter(numbered, lambda x: x["line"] != _BLANK).alias("w"))
 
 
-def _runs(classes: DataFrame, least_lines: int) -> DataFrame:
-    """``holder, size, run, first, last, chars``: the runs of 1 to ``least_lines`` lines with a word."""
-    words = F.filter(
-        F.transform(F.arrays_zip("lines", "chars"), lambda x, i: F.struct(i.alias("place"), x["lines"].alias("line"), x["chars"].alias("chars"))),
-        lambda x: x["line"] != _BLANK,
-    )
-    order = F.struct(F.col("least").isNull().alias("missing"), "least", "key")
-    rows = classes.select(order.alias("holder"), words.alias("w0"))
+def _runs(worded: DataFrame, least_lines: int) -> DataFrame:
+    """``holder, size, run, goes``: all lines, and the longer runs that would go by themselves."""
     names = [f"w{k}" for k in range(least_lines)]
-    rows = rows.select("holder", "w0", *[F.slice("w0", k + 1, F.greatest(F.size("w0"), F.lit(1))).alias(f"w{k}") for k in range(1, least_lines)])
-    rows = rows.select("holder", F.explode(F.arrays_zip(*names)).alias("w"))
+    rows = worded.select("holder", *[F.slice("w", k + 1, F.greatest(F.size("w"), F.lit(1))).alias(f"w{k}") for k in range(least_lines)])
+    rows = rows.select("holder", F.explode(F.arrays_zip(*names)).alias("r"))
 
     def run(size: int) -> Column:
-        parts = [F.col(f"w.w{k}") for k in range(size)]
+        parts = [F.col(f"r.w{k}") for k in range(size)]
         chars = parts[0]["chars"]
         for part in parts[1:]:
             chars = chars + part["chars"]
+        enough = F.lit(True) if size == least_lines else chars >= LEAST_CHARS
+        # A line by itself is named in any case: it may be rare.
+        named = parts[0].isNotNull() if size == 1 else parts[-1].isNotNull() & enough
         hashed = parts[0]["line"] if size == 1 else F.xxhash64(*[part["line"] for part in parts])
-        return F.struct(
-            F.lit(size).alias("size"), hashed.alias("run"), parts[0]["place"].alias("first"),
-            parts[-1]["place"].alias("last"), chars.alias("chars"),
-        )
+        return F.when(named, F.struct(F.lit(size).alias("size"), hashed.alias("run"), enough.alias("goes")))
 
-    each = F.explode(F.array(*[run(size) for size in range(1, least_lines + 1)])).alias("r")
-    return rows.select("holder", each).filter(F.col("r.last").isNotNull()).select("holder", "r.*")
+    each = F.explode(F.array_compact(F.array(*[run(size) for size in range(1, least_lines + 1)]))).alias("x")
+    return rows.select("holder", each).select("holder", "x.*")
 
 
-def _places(hits: DataFrame) -> DataFrame:
-    """``key, doomed``: the places of all runs that go, and of blank lines inside them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column("hits")
-            offsets, fields = column.offsets.to_numpy(), column.values
-            first, last, kind = (fields.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            doomed = []
-            for start, end in zip(offsets[:-1], offsets[1:]):
-                f, z, what = first[start:end], last[start:end], kind[start:end]
-                near = np.zeros(z.max() + 1, np.int64)
-                near[f[what == _RARE_LINE]] = 1
-                near = np.concatenate(([0], np.cumsum(near)))
-                goes = (what != _BESIDE) | (near[z + 1] > near[f])
-                depth = np.zeros(len(near), np.int64)
-                np.add.at(depth, f[goes], 1)
-                np.add.at(depth, z[goes] + 1, -1)
-                doomed.append(np.flatnonzero(np.cumsum(depth)).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), pa.array(doomed, pa.list_(pa.int32()))], ["key", "doomed"])
-
-    return hits.mapInArrow(run, "key string, doomed array<int>").filter(F.size("doomed") > 0)
-
-
-def _doomed_by_runs(classes: DataFrame, least_lines: int) -> DataFrame:
-    """``key, doomed``: the places of the lines in runs that an earlier class holds as well."""
-    runs = stored(_runs(classes, least_lines), "runs")
-    held = runs.groupBy("size", "run", "holder").agg(F.count("*").alias("times"))
-    owners = held.groupBy("size", "run").agg(
-        F.count("*").alias("held_by"), F.sum("times").alias("n"), F.min("holder").alias("owner")
+def overlapping(worded: DataFrame, least_lines: int) -> DataFrame:
+    """``earlier, later``: keys of classes to align."""
+    held = stored(_runs(worded, least_lines).distinct(), "runs")
+    owners = held.groupBy("size", "run").agg(F.count("*").alias("held_by"), F.min("holder").alias("owner"))
+    rare = (F.col("size") == 1) & (F.col("held_by") <= RARE)
+    owners = stored(owners.filter("held_by > 1"), "owners")
+    shared = stored(join_counted(held, owners, ["size", "run"], "held_by", held.count()).filter(rare | F.col("goes")), "shared")
+    with_first = shared.filter(F.col("goes") & (F.col("owner.key") != F.col("holder.key"))).select(
+        F.col("owner.key").alias("earlier"), F.col("holder.key").alias("later")
+    )
+    # At most RARE holders meet in a group.
+    holders = shared.filter(rare).groupBy("run").agg(F.sort_array(F.collect_list("holder")).alias("held"))
+    places = F.posexplode(F.col("held")).alias("i", "first")
+    among = holders.select("held", places).select(F.col("first.key").alias("earlier"), F.explode(F.slice("held", F.col("i") + 2, RARE)).alias("second"))
+    return with_first.unionByName(among.select("earlier", F.col("second.key").alias("later"))).distinct()
+
+
+def _doomed(classes: DataFrame, least_lines: int) -> DataFrame:
+    """``key, doomed``: the places of the lines that each class loses."""
+    worded = stored(_worded(classes), "worded")
+    pairs = stored(overlapping(worded, least_lines), "pairs")
+    lines = F.transform("w", lambda x: x["line"])
+    earlier = worded.select(F.col("key").alias("earlier"), lines.alias("earlier_lines"))
+    later = worded.select(
+        F.col("key").alias("later"), lines.alias("lines"), F.transform("w", lambda x: x["chars"]).alias("chars"),
+        F.transform("w", lambda x: x["place"]).alias("places"),
     )
-    owners = owners.filter("held_by > 1").select("size", "run", "held_by", "n", F.col("owner.key").alias("earlier"))
-    shared = join_counted(
-        runs.withColumn("key", F.col("holder.key")).drop("holder"), stored(owners, "owners"), ["size", "run"], "n", runs.count()
-    ).filter("earlier <> key")
-    kind = (
-        F.when((F.col("size") >= least_lines) | (F.col("chars") >= LEAST_CHARS), F.lit(_GOES))
-        .when(F.col("size") > 1, F.lit(_BESIDE))
-        .when(F.col("held_by") <= RARE, F.lit(_RARE_LINE))
+    # One class may be the first holder in very many pairs; as the later one it is in few.
+    both = join_on_key(pairs, earlier.join(pairs.select("earlier").distinct(), "earlier", "left_semi"), "earlier", "inner")
+    return _aligned(both.join(later, "later"), least_lines).groupBy("key").agg(
+        F.array_distinct(F.flatten(F.collect_list("places"))).alias("doomed")
     )
-    # A long line that is rare as well is named as rare, so that what stands beside it goes, too.
-    kind = F.when((F.col("size") == 1) & (F.col("held_by") <= RARE), F.lit(_RARE_LINE)).otherwise(kind)
-    hits = shared.select("key", F.struct("first", "last", kind.alias("kind")).alias("hit")).filter("hit.kind IS NOT NULL")
-    return _places(hits.groupBy("key").agg(F.collect_list("hit").alias("hits")))
 
 
 def edits(
-    docs: DataFrame, id_col: str, text_col: str, *, rare: int | None = None, least_lines: int = LEAST_LINES
+    docs: DataFrame, id_col: str, text_col: str, *, least_lines: int = LEAST_LINES
 ) -> DataFrame:
     """``key, least, n_rows, doomed``: for each text with copies or lines to delete.
 
@@ -249,8 +263,7 @@ def edits(
         ),
         "classes",
     )
-    doomed = _doomed_by_runs(classes, least_lines) if rare is None else _doomed_by_owners(classes, rare, least_lines)
-    found = classes.select("key", "least", "n_rows").join(doomed, "key", "left")
+    found = classes.select("key", "least", "n_rows").join(_doomed(classes, least_lines), "key", "left")
     found = found.filter((F.col("n_rows") > 1) | F.col("doomed").isNotNull())
     return stored(found.withColumn("doomed", F.coalesce("doomed", F.array().cast("array<int>"))), "edits")
 
@@ -261,8 +274,10 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Later documents are those with the larger id. Defined cases: a null id counts as later
     than any other; rows alike in id and text are one document and lose the same lines; a
     null text stays null; a text without words loses nothing; lines without a word go only
-    inside a deleted run; lines repeated within one document stay, unless an earlier one
-    has them. Options: ``least_lines``, and ``rare`` for the former rule with this cap.
+    inside a deleted block; lines repeated within one document stay, unless an earlier one
+    has them; a very long text is aligned as a whole, in time that grows with its lines and
+    rounds; an empty table gives an empty one. The row is kept as one column, so columns of
+    any name can be carried. Option: ``least_lines``.
     """
     found = edits(docs, id_col, text_col, **options)
     body = F.coalesce(F.col(text_col), F.lit(""))

@@ -1,12 +1,10 @@
 import random
-from collections import Counter, defaultdict
+from collections import Counter
 
 from affectframe.llm import lines
 
 from .conftest import prose
-
-SPACES = " \t\n\x0b\x0c\r"
-
+from .test_lines import brute, going, ranked_texts, worded
 
 def got(spark, rows):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
@@ -31,30 +29,7 @@ def test_blank_lines_do_not_part_a_run(spark):
     assert got(spark, rows)[50] == f"{prose(600, 9)}\n\n\n{prose(601, 9)}"
 
 
-def doomed_places(rows):
-    """For each text the places to delete, by trying all pairs of texts and all pairs of places."""
-    ranked = sorted({t: i for i, t in sorted(rows, reverse=True)}.items(), key=lambda x: x[1])
-    cut = [[(k, x.strip(SPACES)) for k, x in enumerate(t.split("\n")) if x.strip(SPACES)] for t, _ in ranked]
-    held = Counter(x for words in cut for x in {x for _, x in words})
-    gone = defaultdict(set)
-    for n, later in enumerate(cut):
-        for earlier in cut[:n]:
-            for i in range(len(later)):
-                for j in range(len(earlier)):
-                    if i and j and later[i - 1][1] == earlier[j - 1][1]:
-                        continue  # not the start of a common run
-                    size = 0
-                    while i + size < len(later) and j + size < len(earlier) and later[i + size][1] == earlier[j + size][1]:
-                        size += 1
-                    run = later[i : i + size]
-                    texts = [x for _, x in run]
-                    if size >= lines.LEAST_LINES or sum(map(len, texts)) >= lines.LEAST_CHARS or any(held[x] <= lines.RARE for x in texts):
-                        if run:
-                            gone[ranked[n][0]] |= set(range(run[0][0], run[-1][0] + 1))
-    return gone, [t for t, _ in ranked], held
-
-
-def test_same_as_trying_all_pairs(spark):
+def test_no_shared_run_is_left_in_one_piece(spark):
     rng = random.Random(5)
     pool = [prose(k, 3) for k in range(25)] + [prose(700 + k, 25) for k in range(5)] + [""] * 4
     rows = []
@@ -65,20 +40,20 @@ def test_same_as_trying_all_pairs(spark):
     for k in range(30):  # near copies
         edited = [x if rng.random() > 0.2 else rng.choice([f"edit {k}", "", rng.choice(pool)]) for x in base]
         rows.append((100 + k, "\n".join(edited)))
-    gone, ranked, held = doomed_places(rows)
-    first = {t: i for i, t in sorted(rows, reverse=True)}
-    kept = got(spark, rows)
-    for i, t in rows:
-        if first[t] == i:
-            assert kept[i] == "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone[t]), i
-    # Nothing stays that the alignment of any pair would delete.
-    number = defaultdict(lambda: len(number))
-    assert number[""] == 0
-    cut = {t: [number[x] for x in t.split("\n")] for t in ranked}
-    few = {number[x] for x in held if held[x] <= lines.RARE}
-    for n, later in enumerate(ranked):
-        for earlier in ranked[:n]:
-            assert {k for k in lines.doomed_lines(cut[earlier], cut[later], few) if cut[later][k]} <= gone[later]
+    result = lines.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.id, r.kept_text, r.n_removed) for r in result), key=repr) == brute(rows)
+    # Whatever went stands in an earlier text, in a run that goes; what stays has no such run in one piece.
+    kept, (ranked, order) = {r.id: r.kept_text for r in result}, ranked_texts(rows)
+    runs = {t: going(*worded(t)[:2], lines.LEAST_LINES) for t in ranked}
+    held, removed = set(), 0
+    for t in ranked:
+        words, chars, places = worded(t)
+        left = worded(kept[order[t][1]])[0]
+        covered = {j for run in runs[t] & held for i in range(len(words)) if tuple(words[i:i + len(run)]) == run for j in range(i, i + len(run))}
+        assert not (Counter(words) - Counter(left)) - Counter(words[j] for j in covered)
+        removed += len(words) - len(left)
+        held |= runs[t]
+    assert removed > 300
 
 
 def test_runs_whose_lines_have_different_owners(spark):
