@@ -1,15 +1,16 @@
 """Exact duplicates, found through an extendible-hash index on shared files.
 
-The index has one entry for each different text. A directory over the leading bits of the
-texts' hashes tells which bucket an entry is in. It starts with one slot and doubles until
-no bucket holds more than ``capacity`` hashes; a bucket that was small enough at an
-earlier depth keeps that depth, and several slots lead to it. Tasks own ranges of buckets,
-chain the entries with equal hashes and write them, in order, to shared files.
-
-Texts are compared as a whole: entries are the groups of an aggregation whose key is the
-hash with the text itself, so texts that merely share a hash become a chain of entries.
-The aggregation starts in the tasks that read the texts, hence a text that a third of all
-rows have leaves each such task once.
+The index is built over the texts' hashes. A directory over their leading bits tells which
+bucket a hash is in. It starts with one slot and doubles until no bucket holds more than
+``capacity`` hashes; a bucket that was small enough at an earlier depth keeps that depth,
+and several slots lead to it. Rows find their bucket through the directory alone.
+
+Texts are moved only to buckets where their hash occurs again, and copies are combined in
+the tasks that read them, so a text that a third of all rows have leaves each task once.
+There they are compared as a whole, byte by byte: the key of the aggregation is bucket,
+hash and text. Different texts that share a hash become a chain of entries. Tasks own
+ranges of buckets and write the chained entries, in order, to shared files, where rows look
+up their group by bucket, hash and place in the chain.
 """
 
 from __future__ import annotations
@@ -36,14 +37,19 @@ def slot(h: Column, depth: int) -> Column:
 @dataclass(frozen=True)
 class Index:
     """``entries``: ``bucket, h, chain, chain_length, sha256, group_size, keep_id``, stored by
-    ranges of buckets. ``directory``: ``slot, bucket, local_depth`` at the global ``depth``;
-    slots without entries are absent. ``rows``: ``id, h`` of all rows."""
+    ranges of buckets. ``directory``: ``slot, bucket, local_depth, n_rows`` at the global
+    ``depth``; slots without entries are absent. ``rows``: ``id, h, sha256`` of all rows."""
 
     entries: DataFrame
     directory: DataFrame
     depth: int
     rows: DataFrame
-    texts: DataFrame
+    total: int
+
+    def located(self, rows: DataFrame) -> DataFrame:
+        """Rows that have a hash ``h``, with the bucket that the directory names for it."""
+        slotted = rows.withColumn("slot", slot(F.col("h"), self.depth))
+        return join_counted(slotted, self.directory, "slot", "n_rows", self.total).drop("slot", "local_depth", "n_rows")
 
 
 def build_directory(hashes: DataFrame, capacity: int) -> tuple[DataFrame, int]:
@@ -81,24 +87,35 @@ def build_index(
     hash_of: Callable[[Column], Column] = F.xxhash64,
 ) -> Index:
     """Index of all texts, compared after ``normalise``; null texts count as empty."""
-    texts = docs.select(
-        F.col(id_col).alias("id"), normalise(F.coalesce(F.col(text_col), F.lit(""))).alias("body")
+    body = normalise(F.coalesce(F.col(text_col), F.lit("")))
+    texts = docs.select(F.col(id_col).alias("id"), body.alias("body")).select(
+        "id", "body", hash_of(F.col("body")).cast("bigint").alias("h")
     )
-    # Normalised once, then read twice: ids and hashes alone, and hashes with texts.
-    texts = stored(texts.select("id", "body", hash_of(F.col("body")).cast("bigint").alias("h")), "texts")
-    rows = texts.select("id", "h")
-    groups = texts.groupBy("h", "body").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
-    found = stored(groups.select("h", "group_size", "keep_id", F.sha2("body", 256).alias("sha256")), "found")
-    directory, depth = build_directory(found.select("h").distinct(), capacity)
-    owned = found.withColumn("slot", slot(F.col("h"), depth)).join(directory, "slot")
-    chained = owned.repartitionByRange("bucket", "h").withColumns({
+    rows = stored(texts.select("id", "h", F.sha2("body", 256).alias("sha256")), "hashes")
+    counted = rows.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("keep_id"), F.min("sha256").alias("sha256"))
+    counted = stored(counted, "counted")
+    total = rows.count()
+    directory, depth = build_directory(counted.select("h"), capacity)
+    held = counted.groupBy(slot(F.col("h"), depth).alias("slot")).agg(F.sum("n").alias("n_rows"))
+    index = Index(rows, stored(directory.join(held, "slot"), "directory"), depth, rows, total)
+    # A hash that one row has is one entry; its text stays where it is.
+    one = F.lit(1).cast("bigint")
+    single = index.located(counted.filter("n = 1")).select("bucket", "h", one.alias("group_size"), "keep_id", "sha256")
+    # Others are compared by their texts in the bucket that the directory sends them to.
+    again = index.located(counted.filter("n > 1")).select("bucket", "h", "n")
+    again = stored(again, "again")
+    moved = join_counted(texts, again, "h", "n", total).drop("n")
+    groups = moved.groupBy("bucket", "h", "body").agg(F.count("*").alias("group_size"), F.max("id").alias("keep_id"))
+    found = groups.select("bucket", "h", "group_size", "keep_id", F.sha2("body", 256).alias("sha256"))
+    found = stored(found.unionByName(single), "found")
+    chained = found.repartitionByRange("bucket", "h").withColumns({
         "chain": F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha256")),
         "chain_length": F.count("*").over(Window.partitionBy("bucket", "h")),
     })
     entries = chained.select(
         "bucket", "h", "chain", "chain_length", "sha256", "group_size", "keep_id"
     ).sortWithinPartitions("bucket", "h", "chain")
-    return Index(stored(entries, "index"), directory, depth, rows, texts)
+    return Index(stored(entries, "index"), index.directory, depth, rows, total)
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -112,18 +129,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     index = build_index(docs, id_col, text_col, **options)
     # Rows alike in id and text are told apart by an ordinal only, so they are counted.
-    alike = stored(index.rows.groupBy("id", "h").agg(F.count("*").alias("times")), "alike")
-    total = index.rows.count()
-    single = index.entries.filter("chain_length = 1").select("h", "sha256", "group_size", "keep_id")
-    placed = join_counted(alike, single, "h", "group_size", total)
-    chains = index.entries.filter("chain_length > 1")
-    if not chains.isEmpty():
-        # Texts that share a hash with another text: the row's own text decides.
-        clash = index.texts.join(chains.select("h").distinct(), "h", "left_semi")
-        clash = clash.groupBy("id", "h", "body").agg(F.count("*").alias("times"))
-        clash = clash.withColumn("sha256", F.sha2("body", 256)).drop("body")
-        mine = chains.select("h", "sha256", "group_size", "keep_id")
-        placed = placed.unionByName(clash.join(mine, ["h", "sha256"]).select(placed.columns))
+    alike = index.rows.groupBy("id", "h", "sha256").agg(F.count("*").alias("times"))
+    alike = stored(index.located(alike), "alike")
+    entries = index.entries.select("bucket", "h", "sha256", "group_size", "keep_id")
+    placed = join_counted(alike, entries, ["bucket", "h", "sha256"], "group_size", index.total)
     each = placed.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))))
     return each.select(
         "id", "keep_id", "group_size",

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from affectframe.llm import common, exact
 from affectframe.llm.common import ascii_lower
 from affectframe.llm.exact import build_directory, exact_groups
 
@@ -40,6 +41,32 @@ def test_small_buckets_give_the_same_groups(messy):
     assert got(exact_groups(messy, capacity=1)) == expected(messy)
 
 
+def test_rows_find_their_group_through_the_directory(messy, monkeypatch):
+    """A directory that names a wrong bucket loses the rows."""
+    right = exact.Index.located
+
+    def wrong(self, rows):
+        shifted = "times" in rows.columns
+        return right(self, rows).withColumn("bucket", F.col("bucket") + (1 if shifted else 0))
+
+    monkeypatch.setattr(exact.Index, "located", wrong)
+    assert exact_groups(messy, capacity=1).count() == 0
+
+
+def test_joins_beyond_broadcasts(messy, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_SHARE", 4)
+    assert got(exact_groups(messy, capacity=2)) == expected(messy)
+
+
+def test_texts_move_only_where_their_hash_occurs_again(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 90}") for i in range(100)], "doc_id long, text string")
+    index = exact.build_index(docs, capacity=10)
+    sizes = index.entries.groupBy("bucket").agg(F.count("*").alias("n")).collect()
+    assert max(r.n for r in sizes) <= 10 and sum(r.n for r in sizes) == 90
+    assert index.entries.filter("group_size = 2").count() == 10 and index.depth > 2
+
+
 def test_no_rows(nothing):
     assert exact_groups(nothing).collect() == []
 
