@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from affectframe.constants import TOPICS
 from affectframe.functions.scores import best, label_or_uncertain, lookup
+from affectframe.operators.nearest import nearest_prototypes
 from affectframe.operators.topics import label_topics, parse_topics
 from affectframe.queries.models import _VECTORS, _vector_scores
 from affectframe.queries.registry import documents, query, table
@@ -70,3 +71,27 @@ def topic_dictionary(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderstatus").alias("status"), lookup(native, TOPICS, "uncertain").alias("topic")
     )
     return coded.groupBy("status", "topic").count()
+
+
+_PAIRS = 8
+
+
+@query(f"""WITH means AS (
+  SELECT a.vec_id * {_PAIRS} + b.vec_id - a.vec_id - 1 AS label,
+         list_transform(list_zip(a.embedding, b.embedding), lambda p: (p[1]::DOUBLE + p[2]::DOUBLE) / 2) AS v
+  FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + {_PAIRS}),
+cosines AS (SELECT vec_id, m.label, list_cosine_similarity(embedding::DOUBLE[], v) AS score FROM embeddings e, means m)
+SELECT vec_id, label, round(score, 6) AS score FROM cosines
+QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, label) = 1""")
+def topic_prototype_many(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest of several prototypes for each vector: the means of vectors with neighbouring ids."""
+    vectors = table(spark, sf, "embeddings")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(_PAIRS))).alias("step")
+    first = vectors.select("vec_id", "embedding", steps).withColumn("other", F.col("vec_id") + F.col("step"))
+    second = vectors.select(F.col("vec_id").alias("other"), F.col("embedding").alias("beside"))
+    mean = F.zip_with("embedding", "beside", lambda x, y: (x.cast("double") + y.cast("double")) / 2)
+    means = first.join(second, "other").select(
+        (F.col("vec_id") * _PAIRS + F.col("step") - 1).alias("label"), mean.alias("prototype")
+    )
+    found = nearest_prototypes(vectors, "vec_id", "embedding", means)
+    return found.withColumn("score", F.round("score", 6))
