@@ -6,14 +6,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from affectframe.constants import BROADCAST_BYTES, HOT_PARTS, SALTS
+from affectframe.session import new_dir
 from affectframe.tables import is_bounded
 
 
 def hot_keys(df: DataFrame, key: str, hot_parts: int = HOT_PARTS) -> DataFrame:
-    """Keys with at least 1/``hot_parts`` of all rows, in ``_hot``; so at most that many."""
+    """Keys with at least 1/``hot_parts`` of all rows, in ``_hot``; so at most that many.
+
+    They are counted once and stored: whoever joins with them reads a few rows.
+    """
     counts = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_rows"))
     rows = counts.agg(F.sum("_rows").alias("rows")).scalar()
-    return counts.filter(F.col("_rows") * hot_parts >= rows).select("_hot")
+    path = new_dir(df.sparkSession, "hot-keys")
+    hot = counts.filter(F.col("_rows") * hot_parts >= rows).select("_hot")
+    hot.write.parquet(path)
+    return df.sparkSession.read.schema(hot.schema).parquet(path)
 
 
 def split_hot(df: DataFrame, key: str, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
