@@ -6,7 +6,7 @@ segment = party, region = political side, status = topic, priority = emotion), a
 document is a post's text, an event a post of a stream.
 """
 
-from affectframe.queries import analysis, ingest, jobs, models, regression, running, series, texts, topics  # noqa: F401
+from affectframe.queries import analysis, ingest, jobs, models, regression, running, series, sketches, texts, topics  # noqa: F401
 from affectframe.queries.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
