@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from affectframe.operators import nearest
 from affectframe.operators.nearest import Groups, nearest_prototypes
 
 
@@ -53,3 +54,42 @@ def test_far_groups_are_skipped():
     place, cosine = np.full(100, -1), np.full(100, -2.0)
     compared = Groups(np.arange(4000), unit).improve(x, place, cosine)
     assert (place == (x @ unit.T).argmax(axis=1)).all() and compared < 0.2 * 100 * 4000
+
+
+def test_vectors_of_one_file_are_spread(spark, tmp_path, monkeypatch):
+    """Every vector may have to meet every prototype: that is no work for the task that reads the file."""
+    monkeypatch.setattr(nearest, "new_dir", lambda _spark, name: str(tmp_path / name))
+    rng = np.random.default_rng(3)
+    vectors = [(i, rng.normal(size=4).tolist()) for i in range(400)]
+    means = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(20)], "label int, prototype array<double>")
+    frame = spark.createDataFrame(vectors, "vec_id int, v array<double>").coalesce(1)
+    assert nearest_prototypes(frame, "vec_id", "v", means).count() == 400
+    assert len(list((tmp_path / "nearest" / "pass-0").glob("part-*.parquet"))) >= spark.sparkContext.defaultParallelism
+
+
+def test_products_in_single_precision_only_sort_out():
+    """In all directions no group is skipped; what differs by less than a float tells is told apart in doubles."""
+    rng = np.random.default_rng(4)
+    unit = rng.normal(size=(5000, 32))
+    unit[2500:] = unit[:2500] + rng.normal(scale=1e-5, size=(2500, 32))
+    unit[100:200] = unit[4000:4100]
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    x = rng.normal(size=(200, 32))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[:100] = unit[::50]
+    place, cosine = np.full(200, -1), np.full(200, -2.0)
+    Groups(np.arange(5000), unit).improve(x, place, cosine)
+    every = np.einsum("ij,kj->ik", x, unit)
+    assert np.abs(cosine - every.max(axis=1)).max() < 1e-14
+    assert (every[np.arange(200), place] >= every.max(axis=1) - 1e-14).all()
+    twins = (x[:, None] == unit[None, 100:200]).all(axis=2)
+    assert twins.any() and (place[twins.any(axis=1)] < 200).all()
+
+
+def test_tiles_hold_many_groups():
+    """Vectors and prototypes meet in few large products, not group by group."""
+    rng = np.random.default_rng(5)
+    unit = rng.normal(size=(8000, 32))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    groups = Groups(np.arange(8000), unit)
+    assert len(list(groups._tiles())) < len(groups.starts) / 5
