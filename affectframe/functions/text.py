@@ -147,6 +147,11 @@ def tokens(text: Column) -> Column:
     return F.split(F.lower(text), f"[^{WORD}]+")
 
 
+def spaced_words(text: Column) -> Column:
+    """The same words with a space between them; a space may stand at either end."""
+    return F.regexp_replace(F.lower(text), f"[^{WORD}]+", " ")
+
+
 def capitalize(text: Column) -> Column:
     """First character in title case, all others lower, whatever the number of words."""
     lowered = F.lower(text)

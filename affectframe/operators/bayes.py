@@ -10,6 +10,8 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,15 +19,16 @@ from pyspark.sql import functions as F
 from affectframe.constants import BROADCAST_BYTES
 from affectframe.functions.scores import best, score_vector, softmax
 from affectframe.functions.text import is_blank, tokens
-from affectframe.operators.joins import join_on_key
 from affectframe.operators.ranking import top_n_per_group
 from affectframe.operators.split import class_counts
+from affectframe.operators.wordcounts import words_of_posts
 from affectframe.session import new_dir
+from affectframe.tables import is_bounded, row_bytes
 
 UNIT = 1_000_000_000
 # If a model is too large to be broadcast, its words with at least 1/HEAD of all
-# occurrences in the posts still are: there are at most HEAD of them, together no longer
-# than HEAD words of average length.
+# occurrences in the training posts still are: there are at most HEAD of them, together no
+# longer than HEAD words of average length. So are the next ones, as long as there is room.
 HEAD = 100_000
 # Stands for the post itself among the counted words; no word contains a space.
 _POST = " "
@@ -107,13 +110,38 @@ def train(
     return BayesModel(tuple(docs), tuple(docs.values()), spark.read.parquet(f"{path}/weights"))
 
 
-def _with_words(
-    rows: DataFrame, table: DataFrame, how: str, *, max_bytes: int, head: int
-) -> DataFrame:
-    """Join rows that have a token with a table of words."""
-    return join_on_key(
-        rows, table, "token", how, max_bytes=max_bytes, hot_parts=head
-    )
+def _least_hot(table: DataFrame, max_bytes: int, head: int) -> int:
+    """How often a word has to occur to be broadcast, if not all words can be."""
+    place = F.floor(F.log2("n") * 4).alias("place")
+    # Of the logarithm of a long there are few places.
+    bins = table.groupBy(place).agg(
+        F.min("n").alias("least"), F.sum("n").alias("uses"), F.sum(row_bytes(table)).alias("bytes")
+    ).orderBy(F.desc("place")).collect()
+    least, used = -(-sum(row.uses for row in bins) // head), 0
+    for row in bins:
+        used += row.bytes
+        if used > max_bytes:
+            break
+        least = min(least, row.least)
+    return least
+
+
+def _parted(table: DataFrame, max_bytes: int, head: int) -> tuple[DataFrame, DataFrame]:
+    """A table of words that cannot be broadcast as a whole: frequent words, to be broadcast, and the others."""
+    is_hot = F.col("n") >= _least_hot(table, max_bytes, head)
+    return F.broadcast(table.filter(is_hot)), table.filter(~is_hot).hint("merge")
+
+
+def _with_words(rows: DataFrame, table: DataFrame, *, max_bytes: int, head: int) -> DataFrame:
+    """Inner join of rows that have a token with a table of words.
+
+    If the table cannot be broadcast, its frequent words are, and the rows with them stay
+    where they are. Rows with other words are joined by a shuffle.
+    """
+    if is_bounded(table, max_bytes):
+        return rows.join(F.broadcast(table), "token")
+    hot, cold = _parted(table, max_bytes, head)
+    return rows.join(hot, "token").unionByName(rows.join(hot, "token", "left_anti").join(cold, "token"))
 
 
 def _word_sums(
@@ -124,14 +152,29 @@ def _word_sums(
     ``rows`` holds at least one row per post, with a null token where there is no word.
     Words the model does not know add nothing.
     """
-    sums = [
-        F.coalesce(F.sum(F.col("w")[i]), F.lit(0)).alias(f"s{i}") for i in range(len(model.labels))
-    ]
-    weights = model.weights.select("token", "w")
-    weighted = _with_words(rows, weights, "left", max_bytes=max_bytes, head=head)
-    # With a broadcast model a post's words are still in one task here: its partial sum
-    # is one row in the shuffle.
-    return weighted.groupBy(*keys).agg(*sums)
+    k = len(model.labels)
+
+    def sums(value) -> list[Column]:
+        return [F.coalesce(F.sum(value(i)), F.lit(0)).alias(f"s{i}") for i in range(k)]
+
+    weights = model.weights.select("token", "n", "w")
+    if is_bounded(weights, max_bytes):
+        # With a broadcast model a post's words are still in one task here: its partial sum
+        # is one row in the shuffle.
+        weighted = rows.join(F.broadcast(weights.drop("n")), "token", "left")
+        return weighted.groupBy(*keys).agg(*sums(lambda i: F.col("w")[i]))
+    hot, cold = _parted(weights, max_bytes, head)
+    # Frequent words are added up where they are, to one row per post without a token; other
+    # words are counted by post. So texts are split once, and each word moves as one row.
+    near = rows.join(hot, "token", "left").withColumn("token", F.when(F.col("n").isNull(), F.col("token")))
+    near = near.groupBy(*keys, "token").agg(*sums(lambda i: F.col("w")[i]), F.count("*").alias("_tf"))
+    # Rows without a token have no partner: they get keys that are no words, dealt out evenly.
+    spare = F.concat(F.lit(" "), F.xxhash64(*keys).cast("string"))
+    near = near.withColumn("token", F.coalesce("token", spare))
+    known = near.join(cold.withColumnRenamed("n", "_n"), "token", "left")
+    return known.groupBy(*keys).agg(*sums(
+        lambda i: F.col(f"s{i}") + F.coalesce(F.col("w")[i] * F.col("_tf"), F.lit(0))
+    ))
 
 
 def score(
@@ -185,6 +228,28 @@ def _centred(model: BayesModel) -> DataFrame:
     return model.weights.select("token", "n", centred.alias("c"), mean_count.alias("expected"))
 
 
+def _counts(posts: DataFrame, text: str, keys: Sequence[str], max_bytes: int) -> DataFrame:
+    """``token, tf`` by the posts' keys. Only posts that share their keys with others have to meet to be counted."""
+    spark, path = posts.sparkSession, new_dir(posts.sparkSession, "shared-keys")
+    shared = posts.select(*keys).groupBy(*keys).agg(F.count("*").alias("_posts")).filter(F.col("_posts") > 1)
+    shared.write.parquet(path)
+    shared = spark.read.schema(shared.schema).parquet(path)
+
+    def counted(part: DataFrame) -> DataFrame:
+        return words_of_posts(part, text, keys)
+
+    def merged(part: DataFrame) -> DataFrame:
+        return counted(part).groupBy(*keys, "token").agg(F.sum("tf").alias("tf"))
+
+    if shared.isEmpty():
+        return counted(posts)
+    if not is_bounded(shared, max_bytes):
+        return merged(posts)
+    named = F.broadcast(shared.select(*[F.col(k).alias(f"_shared_{i}") for i, k in enumerate(keys)]))
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_shared_{i}")) for i, k in enumerate(keys)])
+    return counted(posts.join(named, same, "left_anti")).unionByName(merged(posts.join(named, same, "left_semi")))
+
+
 def explain(
     model: BayesModel,
     posts: DataFrame,
@@ -207,8 +272,12 @@ def explain(
     the :func:`base_values` add up to its centred scores.
     """
     k, keys = len(model.labels), [id, *carry]
-    counts = words(posts, text, *keys).groupBy(*keys, "token").agg(F.count("*").alias("tf"))
-    known = _with_words(counts, _centred(model), "inner", max_bytes=max_bytes, head=head)
+    spark, path = posts.sparkSession, new_dir(posts.sparkSession, "post-words")
+    counts = _counts(posts, text, keys, max_bytes)
+    # Stored, as they are joined with several parts of the model, for two results.
+    counts.write.parquet(path)
+    counts = spark.read.schema(counts.schema).parquet(path)
+    known = _with_words(counts, _centred(model), max_bytes=max_bytes, head=head)
     present = known.select(
         *keys, "token", "tf",
         F.transform("c", lambda c: c * (F.col("tf") - F.col("expected"))).alias("phi"),
@@ -283,7 +352,7 @@ def trigger_words(
         sizes = class_counts(counts.filter(F.col("token") == _POST), "label", weight=F.col("count"))
         counts = counts.filter(F.col("token") != _POST).withColumnRenamed("count", "uses")
     place = {name: i for i, name in enumerate(model.labels)}
-    known = _with_words(counts, _centred(model), "inner", max_bytes=max_bytes, head=head)
+    known = _with_words(counts, _centred(model), max_bytes=max_bytes, head=head)
     phi = F.coalesce(*[
         F.when(
             F.col("label") == name,

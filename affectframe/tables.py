@@ -23,14 +23,18 @@ def _width(field: T.StructField) -> Column:
     return F.lit(8)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """What a row of plain columns and number arrays takes in memory."""
+    return sum((_width(field) for field in df.schema.fields), F.lit(_ROW_BYTES)).cast("bigint")
+
+
 def is_bounded(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table of plain columns and number arrays fits into so many bytes.
 
     Runs one job that adds up the actual sizes; only a table measured like this, or
     one with a limit by construction, may be broadcast.
     """
-    width = sum((_width(field) for field in df.schema.fields), F.lit(_ROW_BYTES))
-    return (df.agg(F.sum(width.cast("bigint"))).first()[0] or 0) <= max_bytes
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= max_bytes
 
 
 def literal_table(spark: SparkSession, rows: Sequence[Sequence], schema: T.StructType) -> DataFrame:
