@@ -16,6 +16,7 @@ the model does not depend on the partitioning, and a task that is tried again ch
 
 from __future__ import annotations
 
+import hashlib
 import math
 import sys
 from collections.abc import Iterator, Sequence
@@ -29,8 +30,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from affectframe.functions.scores import best, score_vector, softmax
-from affectframe.functions.text import is_blank, tokens
+from affectframe.functions.text import is_blank, spaced_words
 from affectframe.operators.split import class_counts
+from affectframe.operators.wordcounts import runs, slices
 from affectframe.session import new_dir
 
 # Functions that run in tasks travel with them: executors need no copy of this package.
@@ -43,6 +45,8 @@ BITS, ROUNDS, PATIENCE, L2 = 18, 30, 3, 1e-4
 _DIGITS, MAX_BYTES = 5, 64 << 20
 # Tasks of a round for each core: each sends one row per bucket.
 _TASKS = 4
+# Entries of the stored counts that are looked at together (or those of one post).
+_ENTRIES = 1 << 19
 _LOSS, _HELD_LOSS = -1, -2
 
 
@@ -68,15 +72,9 @@ class LogisticModel:
         return out
 
 
-def bucket(token: Column, bits: int = BITS) -> Column:
+def _buckets(words: list[bytes], bits: int) -> np.ndarray:
     """A word's bucket: the first digits of its MD5, which other engines know as well."""
-    digits = F.conv(F.substring(F.md5(token), 1, _DIGITS), 16, 10).cast("int")
-    return F.pmod(digits, F.lit(1 << bits)).cast("int")
-
-
-def hashed_words(text: Column, bits: int = BITS) -> Column:
-    """The bucket of each word, in the order of the text."""
-    return F.transform(F.filter(tokens(text), lambda t: t != ""), lambda t: bucket(t, bits))
+    return np.array([int(hashlib.md5(w).hexdigest()[:_DIGITS], 16) for w in words], np.int64) % (1 << bits)
 
 
 def is_held_back(text: Column) -> Column:
@@ -84,16 +82,30 @@ def is_held_back(text: Column) -> Column:
     return F.substring(F.md5(text), 1, 1) == "0"
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed words to the different ones with their numbers."""
-    for batch in batches:
-        words = batch.column("words")
-        sizes = np.diff(words.offsets.to_numpy())
-        row = np.repeat(np.arange(batch.num_rows), sizes)
-        key, n = np.unique(row << 32 | words.flatten().to_numpy(), return_counts=True)
-        offsets = pa.array(np.searchsorted(key >> 32, np.arange(batch.num_rows + 1)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (key & 0xFFFFFFFF, n)]
-        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("held"), *lists], ["y", "held", "idx", "n"])
+def _hashed(spaced: pa.Array, bits: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of rows: first, last, and the row, bucket and number of every different hashed word."""
+    for first, last, row, values in slices(spaced):
+        coded = values.dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_pylist()
+        # Each different word of a run is hashed once.
+        codes = coded.indices.to_numpy()
+        kept = np.array([w != b"" for w in words], bool)[codes]
+        key, n = np.unique(row[kept] << 32 | _buckets(words, bits)[codes[kept]], return_counts=True)
+        yield first, last, key >> 32, key & 0xFFFFFFFF, n
+
+
+def _counted(bits: int):
+    """Words to the different hashed ones with their numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, row, idx, n in _hashed(batch.column("words"), bits):
+                offsets = pa.array(np.searchsorted(row, np.arange(first, last + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (idx, n)]
+                own = batch.slice(first, last - first)
+                yield pa.RecordBatch.from_arrays([own.column("y"), own.column("held"), *lists], ["y", "held", "idx", "n"])
+
+    return run
 
 
 _FEATURES = "y int, held boolean, idx array<int>, n array<int>"
@@ -103,9 +115,16 @@ def features(posts: DataFrame, text: str, label: str, labels: Sequence, bits: in
     """``y, held, idx, n``: label number, part, buckets and counts of each post with a text and a label."""
     number = F.coalesce(F.lit(None).cast("int"), *[F.when(F.col(label) == name, F.lit(i)) for i, name in enumerate(labels)])
     rows = posts.na.drop(subset=[text, label]).select(
-        number.cast("int").alias("y"), is_held_back(F.col(text)).alias("held"), hashed_words(F.col(text), bits).alias("words")
+        number.cast("int").alias("y"), is_held_back(F.col(text)).alias("held"), spaced_words(F.col(text)).alias("words")
     )
-    return rows.mapInArrow(_counted, _FEATURES)
+    return rows.mapInArrow(_counted(bits), _FEATURES)
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a bounded number of entries: a post may have very many."""
+    for batch in batches:
+        for first, last in runs(batch.column("idx").value_lengths().to_numpy(), _ENTRIES):
+            yield batch.slice(first, last - first)
 
 
 def _shares(batch: pa.RecordBatch, intercept: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +152,7 @@ def _sums(points, first: bool):
         size, k = weights.shape
         gradient, curvature = np.zeros((size, k), np.int64), np.zeros(size, np.int64)
         losses = {_LOSS: [0, 0], _HELD_LOSS: [0, 0]}
-        for batch in batches:
+        for batch in _parts(batches):
             y, held = batch.column("y").to_numpy(), batch.column("held").to_numpy(zero_copy_only=False)
             row, idx, share = _shares(batch, size - 1)
             z = _logits(weights, row, idx, share, len(y))
@@ -257,23 +276,22 @@ def _store(spark: SparkSession, weights: np.ndarray, path: str) -> None:
 
 def score(model: LogisticModel, posts: DataFrame, text: str, id: str, carry: Sequence[str] = ()) -> DataFrame:
     """Each post's ID, carried columns and ``scores``: logits in label order, an empty vector for a blank text."""
-    spark, keys = posts.sparkSession, [id, *carry]
+    spark, keys, bits = posts.sparkSession, [id, *carry], model.bits
     sent = spark.sparkContext.broadcast(model.dense())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = sent.value
         for batch in batches:
-            words = batch.column("_words").fill_null([])
-            sizes = np.diff(words.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), sizes)
-            share = 1.0 / np.maximum(sizes, 1)[row]
-            z = _logits(weights, row, words.flatten().to_numpy(), share, batch.num_rows) + weights[-1]
-            offsets = pa.array((np.arange(batch.num_rows + 1) * weights.shape[1]).astype(np.int32))
-            logits = pa.ListArray.from_arrays(offsets, pa.array(z.reshape(-1)))
-            columns = [batch.column(c) for c in [*keys, "_blank"]]
-            yield pa.RecordBatch.from_arrays([*columns, logits], [*keys, "_blank", "_z"])
-
-    narrow = posts.select(*keys, is_blank(F.col(text)).alias("_blank"), hashed_words(F.col(text), model.bits).alias("_words"))
+            for first, last, row, idx, n in _hashed(batch.column("_words"), bits):
+                row, size = row - first, last - first
+                share = n / np.bincount(row, n, size)[row]
+                z = _logits(weights, row, idx, share, size) + weights[-1]
+                offsets = pa.array((np.arange(size + 1) * weights.shape[1]).astype(np.int32))
+                logits = pa.ListArray.from_arrays(offsets, pa.array(z.reshape(-1)))
+                columns = [batch.column(c).slice(first, size) for c in [*keys, "_blank"]]
+                yield pa.RecordBatch.from_arrays([*columns, logits], [*keys, "_blank", "_z"])
+
+    narrow = posts.select(*keys, is_blank(F.col(text)).alias("_blank"), spaced_words(F.col(text)).alias("_words"))
     schema = T.StructType([narrow.schema[c] for c in [*keys, "_blank"]] + [T.StructField("_z", T.ArrayType(T.DoubleType()))])
     scored = narrow.mapInArrow(run, schema)
     vector = score_vector([str(name) for name in model.labels], [F.col("_z")[i] for i in range(len(model.labels))])
