@@ -2,8 +2,9 @@
 
 A word's lattice has a node for each place and an edge for each piece that fits. Forward
 filtering gives each node the weight of all paths to it; backward sampling walks from the
-last node and takes an edge with its share in the node's weight. Both run over all
-different words of a batch of texts at once, place by place.
+last node and takes an edge with its share in the node's weight. Both run over many words
+at once, place by place: filtering over the words that no earlier batch of the task had,
+sampling over all words of a batch of texts.
 
 Draws are hashes of the row's seed, the word's place in the text and the number of the
 choice, so a segmentation depends on nothing else.
@@ -11,7 +12,9 @@ choice, so a segmentation depends on nothing else.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count, islice
 from zlib import crc32
 
 import numpy as np
@@ -27,53 +30,66 @@ SEED = 42
 SHARPNESS = 0.5
 
 # Characters of texts that are segmented together; a longer text makes a batch of its own.
-_STEP = 1 << 20
+_STEP = 1 << 18
 
 # The space's mark where a text itself holds it; it is spelled in bytes.
 _MARK = "\n" + SPACE
 
-_FACTOR = np.uint64(0x9E3779B97F4A7C15)
+# Edges whose lattices a task keeps: 16 bytes each, and about as much again for the words.
+_KEPT = 3_000_000
+
+_POINT_BITS = 21
 
 
 def _points(texts: list[str]) -> np.ndarray:
     return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
 
 
-def _hash(points: np.ndarray, places: np.ndarray, before: np.ndarray, length: int) -> np.ndarray:
-    """Hashes of windows, from those of the windows one shorter."""
-    return (before + points[places + (length - 1)]) * _FACTOR ^ (before >> np.uint64(29))
-
-
 class Matcher:
-    """The pieces by the hashes of their characters."""
+    """The pieces as a tree of characters; a hash table holds the step from a node by a character."""
 
-    _BITS = 20
+    _BITS = 19
 
     def __init__(self, vocab: Vocabulary, sharpness: float):
         self.byte_ids = np.array(vocab.byte_ids)
         self.unknown = sharpness * vocab.unknown
-        listed = sorted(vocab.scores, key=len)
-        sizes = np.array([len(piece) for piece in listed])
-        self.lengths = int(sizes[-1])
-        self.points, self.begin = _points(listed), np.cumsum(sizes) - sizes
-        self.codes = np.zeros(len(listed), np.uint64)
-        for n in range(1, self.lengths + 1):
-            longer = np.flatnonzero(sizes >= n)
-            self.codes[longer] = _hash(self.points, self.begin[longer], self.codes[longer], n)
-        self.codes ^= sizes.astype(np.uint64)  # so that a piece is not taken for one of another length
-        self.weights = np.array([sharpness * vocab.scores[p] for p in listed])
-        self.numbers = np.array([vocab.ids[p] for p in listed])
-        # Slots of a table hold one piece each; those that find theirs taken go to a further table.
-        self.slots, rest = [], np.arange(len(listed))
+        self.lengths = max(map(len, vocab.scores))
+        steps, ends = {-1: 0}, []
+        for piece in vocab.scores:
+            node = 0
+            for letter in piece:
+                node = steps.setdefault(node << _POINT_BITS | ord(letter), len(steps))
+            ends.append(node)
+        # The step that leads to each node; nothing leads to the root.
+        self.steps = np.fromiter(steps, np.int64, len(steps))
+        self.piece = np.full(len(steps), -1, np.int32)
+        self.piece[ends] = np.arange(len(ends))
+        self.weights = np.array([sharpness * score for score in vocab.scores.values()])
+        self.numbers = np.array([vocab.ids[p] for p in vocab.scores])
+        # Slots of a table hold one node each; those that find theirs taken go to a further table.
+        self.slots, rest = [], np.arange(1, len(steps))
         while len(rest):
-            table = np.full(1 << self._BITS, -1, np.int32)
-            own = self._slot(self.codes[rest], len(self.slots))
+            table = np.zeros(1 << self._BITS, np.int32)
+            own = self._slot(self.steps[rest], len(self.slots))
             table[own] = rest
             rest = rest[table[own] != rest]
             self.slots.append(table)
 
-    def _slot(self, codes: np.ndarray, table: int) -> np.ndarray:
-        return (codes * np.uint64(2 * table + 0xD1342543DE82EF95) >> np.uint64(64 - self._BITS)).astype(np.int64)
+    def _slot(self, steps: np.ndarray, table: int) -> np.ndarray:
+        factor = np.uint64(2 * table + 0xD1342543DE82EF95)
+        return (steps.view(np.uint64) * factor >> np.uint64(64 - self._BITS)).view(np.int64)
+
+    def _next(self, steps: np.ndarray) -> np.ndarray:
+        """The node that each step leads to, 0 where there is none."""
+        found = self.slots[0][self._slot(steps, 0)]
+        other = np.flatnonzero((self.steps[found] != steps) & (found > 0))
+        for n, slots in enumerate(self.slots[1:], 1):
+            if not len(other):
+                break
+            found[other] = slots[self._slot(steps[other], n)]
+            other = other[(self.steps[found[other]] != steps[other]) & (found[other] > 0)]
+        found[self.steps[found] != steps] = 0
+        return found
 
     def edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """``last, length, weight, number`` of the pieces in several words laid end to end.
@@ -81,26 +97,21 @@ class Matcher:
         ``ends`` has the end of the word at each place. Edges come by their last place,
         longer ones first. A character without a piece has a negative number.
         """
-        places, codes = np.arange(len(points)), np.zeros(len(points), np.uint64)
+        letters = points.astype(np.int64)
+        places, nodes = np.arange(len(points)), np.zeros(len(points), np.int64)
         # The piece of each length that ends at each place; -1 for none.
         table = np.full((len(points), self.lengths), -1, np.int32)
         for length in range(1, self.lengths + 1):
             fits = places + length <= ends[places]
-            places, codes = places[fits], codes[fits]
+            places, nodes = places[fits], nodes[fits]
+            nodes = self._next(nodes << _POINT_BITS | letters[places + (length - 1)]).astype(np.int64)
+            goes_on = np.flatnonzero(nodes)
+            places, nodes = places[goes_on], nodes[goes_on]
             if not len(places):
                 break
-            codes = _hash(points, places, codes, length)
-            sought = codes ^ np.uint64(length)
-            piece = np.full(len(places), -1, np.int32)
-            for n, slots in enumerate(self.slots):
-                at = slots[self._slot(sought, n)]
-                piece = np.where((at >= 0) & (self.codes[at] == sought), at, piece)
+            piece = self.piece[nodes]
             hit = np.flatnonzero(piece >= 0)
-            piece, where = piece[hit], places[hit]
-            same = np.ones(len(hit), bool)
-            for k in range(length):  # equal hashes are no proof
-                same &= points[where + k] == self.points[self.begin[piece] + k]
-            table[where[same] + (length - 1), self.lengths - length] = piece[same]
+            table[places[hit] + (length - 1), self.lengths - length] = piece[hit]
         single = table[:, -1]
         single[single < 0] = len(self.numbers)
         cells = np.flatnonzero(table.ravel() >= 0)
@@ -108,72 +119,110 @@ class Matcher:
         last = cells // self.lengths
         number = np.append(self.numbers, 0)[piece]
         missing = np.flatnonzero(piece == len(self.numbers))
-        number[missing] = -1 - points[last[missing]].astype(np.int64)
+        number[missing] = -1 - letters[last[missing]]
         return last, self.lengths - cells % self.lengths, np.append(self.weights, self.unknown)[piece], number
 
 
+def _put(array: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
+    """The array with values behind its used part, made longer if they do not fit."""
+    upto = used + len(values)
+    if upto > len(array):
+        array = np.concatenate([array[:used], np.empty(max(upto, 2 * used) - used, array.dtype)])
+    array[used:upto] = values
+    return array
+
+
 class Lattices:
-    """The lattices of several words after forward filtering."""
+    """The lattices of different words after forward filtering.
 
-    def __init__(self, words: list[str], matcher: Matcher):
+    A word's lattice is made when the word first comes and kept for the batches that
+    follow. Beyond ``_KEPT`` edges all are given up before the next batch.
+    """
+
+    def __init__(self, matcher: Matcher):
+        self.matcher = matcher
+        # Of each word, its first and last node; of each node, its edges; of each edge, where
+        # it starts, its piece, and the share of the node's weight up to it.
+        self.first, self.last, self.opens, self.closes, self.start, self.number = (np.empty(0, np.int32) for _ in range(6))
+        self.upto = np.empty(0)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known = defaultdict(count().__next__)
+        self.n_words = self.n_nodes = self.n_edges = 0
+
+    def of(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words, whose lattices are there from then on."""
+        if self.n_edges > _KEPT:
+            self._clear()
+        codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if len(self.known) > self.n_words:
+            self._add(list(islice(self.known, self.n_words, None)))
+        return codes
+
+    def _add(self, words: list[str]) -> None:
         sizes = np.array([1 if w == _MARK else len(w) for w in words])
         points = _points([SPACE if w == _MARK else w for w in words])
         word = np.repeat(np.arange(len(words)), sizes)
-        ends = np.repeat(np.cumsum(sizes), sizes)
-        place, length, weight, number = matcher.edges(points, ends)
+        place, length, weight, number = self.matcher.edges(points, np.repeat(np.cumsum(sizes), sizes))
         marks = np.flatnonzero(np.array([w == _MARK for w in words]))
         if len(marks):
             number[np.isin(word[place], marks)] = -1 - ord(SPACE)
         # A word has one node more than places.
-        self.first = np.cumsum(sizes + 1) - (sizes + 1)
-        self.last = self.first + sizes
+        first = np.cumsum(sizes + 1) - (sizes + 1)
+        n_nodes = int(first[-1] + sizes[-1]) + 1
         end = place + word[place] + 1
-        start = end - length
-        depth = end - self.first[word[place]]
+        depth = end - first[word[place]]
         # Stable, so edges of one depth stay in the order of their nodes; short keys sort fast.
         order = np.argsort(depth.astype(np.uint16) if sizes.max() < 1 << 16 else depth, kind="stable")
-        self.start, self.number = start[order], number[order]
         end, weight, depth = end[order], weight[order], depth[order]
-        opens = np.flatnonzero(np.concatenate([[True], end[1:] != end[:-1]]))
-        group = np.cumsum(np.concatenate([[0], (end[1:] != end[:-1]).astype(np.int64)]))
-        self.opens, self.closes = opens, np.append(opens[1:], len(end))
-        self.group_of = np.zeros(int(self.last[-1]) + 1, np.int64)
-        self.group_of[end[opens]] = np.arange(len(opens))
-        logs = np.zeros(int(self.last[-1]) + 1)  # of all paths to a node
+        start = end - length[order]
+        new = end[1:] != end[:-1]
+        opens = np.flatnonzero(np.concatenate([[True], new]))
+        closes = np.append(opens[1:], len(end))
+        group = np.concatenate([[0], np.cumsum(new)])
+        logs = np.zeros(n_nodes)  # of all paths to a node
         shares = np.empty(len(end))
         level = np.flatnonzero(np.concatenate([[True], depth[1:] != depth[:-1]]))
         for a, b in zip(level, np.append(level[1:], len(end))):
             ga, gb = group[a], group[b - 1] + 1
             cut = opens[ga:gb] - a
-            mass = logs[self.start[a:b]] + weight[a:b]
+            mass = logs[start[a:b]] + weight[a:b]
             top = np.maximum.reduceat(mass, cut)
             own = group[a:b] - ga
             mass = np.exp(mass - top[own])
             total = np.add.reduceat(mass, cut)
             logs[end[opens[ga:gb]]] = top + np.log(total)
             shares[a:b] = mass / total[own]
-        # Shares of a node add up to 1, so running sums tell the node by their whole part.
         running = np.cumsum(shares)
-        below = np.concatenate([[0.0], running[self.closes - 1]])[:-1]
-        self.keys = group + np.minimum(running - below[group], 1.0)
+        below = np.concatenate([[0.0], running[closes - 1]])[:-1]
+        node_opens, node_closes = np.zeros(n_nodes, np.int32), np.zeros(n_nodes, np.int32)
+        node_opens[end[opens]], node_closes[end[opens]] = opens + self.n_edges, closes + self.n_edges
+        self.first = _put(self.first, self.n_words, first + self.n_nodes)
+        self.last = _put(self.last, self.n_words, first + sizes + self.n_nodes)
+        self.opens = _put(self.opens, self.n_nodes, node_opens)
+        self.closes = _put(self.closes, self.n_nodes, node_closes)
+        self.start = _put(self.start, self.n_edges, start + self.n_nodes)
+        self.number = _put(self.number, self.n_edges, number[order])
+        self.upto = _put(self.upto, self.n_edges, np.minimum(running - below[group], 1.0))
+        self.n_words, self.n_nodes, self.n_edges = self.n_words + len(words), self.n_nodes + n_nodes, self.n_edges + len(end)
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of one path for each listed word, and how many each has."""
-        node, active, step = self.last[words].copy(), np.arange(len(words)), 0
+        node, first, active, step = self.last[words], self.first[words], np.arange(len(words)), 0
         taken, found = np.zeros(len(words), np.int64), []
         while len(active):
-            group = self.group_of[node[active]]
-            sought = group + uniform(seeds[active], step)
-            edge, last = self.opens[group], self.closes[group] - 1
-            below = np.flatnonzero((edge < last) & (self.keys[edge] <= sought))
+            at, sought = node[active], uniform(seeds[active], step)
+            edge, last = self.opens[at], self.closes[at] - 1
+            below = np.flatnonzero((edge < last) & (self.upto[edge] <= sought))
             while len(below):  # nodes have few edges
                 edge[below] += 1
                 now = edge[below]
-                below = below[(now < last[below]) & (self.keys[now] <= sought[below])]
+                below = below[(now < last[below]) & (self.upto[now] <= sought[below])]
             found.append((active, self.number[edge]))
             taken[active] += 1
-            node[active] = self.start[edge]
-            active = active[node[active] != self.first[words[active]]]
+            node[active] = at = self.start[edge]
+            active = active[at != first[active]]
             step += 1
         # Paths were walked backwards.
         ends = np.cumsum(taken)
@@ -227,8 +276,13 @@ def parts(text: str) -> list[str]:
     return found
 
 
-def segment(texts: list[str], seeds: list[int], matcher: Matcher) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces of all texts in a row, and how many each text has. An empty text has none."""
+def segment(
+    texts: list[str], seeds: list[int], matcher: Matcher, lattices: Lattices | None = None
+) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of all texts in a row, and how many each text has. An empty text has none.
+
+    ``lattices`` are those of earlier batches; what they hold does not change the pieces.
+    """
     words, sizes = [], []
     for text in texts:
         own = parts(text) if text else []
@@ -237,12 +291,12 @@ def segment(texts: list[str], seeds: list[int], matcher: Matcher) -> tuple[np.nd
     sizes = np.array(sizes, np.int64)
     if not words:
         return np.zeros(0, np.int64), sizes
-    different = {word: n for n, word in enumerate(dict.fromkeys(words))}
-    codes = np.fromiter(map(different.__getitem__, words), np.int64, len(words))
+    lattices = lattices or Lattices(matcher)
+    codes = lattices.of(words)
     ends = np.cumsum(sizes)
     nth = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
     own_seeds = np.repeat(np.array(seeds, np.uint64), sizes) ^ (nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    numbers, counts = Lattices(list(different), matcher).sample(codes, own_seeds)
+    numbers, counts = lattices.sample(codes, own_seeds)
     numbers, counts = spelled(numbers, counts, matcher.byte_ids)
     upto = np.concatenate([[0], np.cumsum(counts)])
     upto = upto[np.concatenate([[0], ends])]
@@ -254,6 +308,24 @@ def decoded(numbers, table: dict[int, bytes]) -> str:
     return b"".join(map(table.__getitem__, numbers))[1:].decode()
 
 
+class Decoder:
+    """Texts of many segmentations at once, as :func:`decoded` gives each of them."""
+
+    def __init__(self, table: dict[int, bytes]):
+        self.letters = np.frombuffer(b"".join(table.values()), np.uint8)
+        sizes = np.array([len(piece) for piece in table.values()])
+        self.begin, self.size = np.zeros((2, max(table) + 1), np.int64)
+        self.begin[list(table)], self.size[list(table)] = np.cumsum(sizes) - sizes, sizes
+
+    def texts(self, numbers: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Of each text, whose pieces are those between two neighbouring ends."""
+        size = self.size[numbers]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        places = np.repeat(self.begin[numbers] - upto[:-1], size) + np.arange(upto[-1])
+        letters, cuts = self.letters[places].tobytes(), upto[ends].tolist()
+        return [letters[a + 1 : b].decode() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
 def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The named columns as one struct, so that tasks get each value once, whatever its name."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))
@@ -272,7 +344,8 @@ def _segmented(docs: DataFrame, id_col: str, text_col: str, vocab: Vocabulary, s
     kept = [c for i, c in enumerate(docs.columns) if not back or i != at_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher, table = Matcher(vocab, sharpness), vocab.table() if back else {}
+        matcher, decoder = Matcher(vocab, sharpness), Decoder(vocab.table()) if back else None
+        lattices = Lattices(matcher)
         for batch in batches:
             row = batch.column(0)
             ids, bodies = row.field(at_id), row.field(at_text)
@@ -286,7 +359,7 @@ def _segmented(docs: DataFrame, id_col: str, text_col: str, vocab: Vocabulary, s
                     seeds.append(row_seed(seed, ids[at].as_py(), texts[-1]))
                     held += len(texts[-1])
                     at += 1
-                numbers, counts = segment(texts, seeds, matcher)
+                numbers, counts = segment(texts, seeds, matcher, lattices)
                 ends = np.concatenate([[0], np.cumsum(counts)])
                 lists = pa.ListArray.from_arrays(
                     pa.array(ends, pa.int32()), pa.array(numbers.astype(np.int32)), mask=pa.array(missing)
@@ -295,10 +368,7 @@ def _segmented(docs: DataFrame, id_col: str, text_col: str, vocab: Vocabulary, s
                 if not back:
                     yield pa.RecordBatch.from_arrays([own, lists], ["row", "pieces"])
                     continue
-                plain = numbers.tolist()
-                read = [
-                    None if gone else decoded(plain[a:b], table) for a, b, gone in zip(ends[:-1], ends[1:], missing)
-                ]
+                read = [None if gone else text for text, gone in zip(decoder.texts(numbers, ends), missing)]
                 same = [x is None or x == text for x, text in zip(read, texts)]
                 fields = [own.field(i) for i in range(len(docs_columns)) if i != at_text]
                 yield pa.RecordBatch.from_arrays(

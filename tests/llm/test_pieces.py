@@ -115,6 +115,25 @@ def test_any_text_round_trips(vocab, texts):
         assert (sampling.decoded(numbers[end - size : end].tolist(), vocab.table()) if text else "") == text
 
 
+def test_a_word_is_filtered_once(vocab, monkeypatch):
+    made, edges = [], sampling.Matcher.edges
+    monkeypatch.setattr(sampling.Matcher, "edges", lambda self, points, ends: made.append(len(points)) or edges(self, points, ends))
+    matcher = sampling.Matcher(vocab, 0.5)
+    batches = [[*ODD, prose(n, 200)] for n in range(6)]
+    alone = [sampling.segment(texts, list(range(len(texts))), matcher) for texts in batches]
+    each, kept = sum(made), sampling.Lattices(matcher)
+    for most in (3_000_000, 10):  # with ten edges at most, lattices are given up before each batch
+        monkeypatch.setattr(sampling, "_KEPT", most)
+        made.clear()
+        for texts, (numbers, counts) in zip(batches, alone):
+            got = sampling.segment(texts, list(range(len(texts))), matcher, kept)
+            assert got[0].tolist() == numbers.tolist() and got[1].tolist() == counts.tolist()
+            read = sampling.Decoder(vocab.table()).texts(numbers, np.concatenate([[0], np.cumsum(counts)]))
+            assert read == texts
+        assert sum(made) < each / 3 if most > 10 else sum(made) >= each / 2
+    assert kept.n_words < 200
+
+
 def test_vocabularies_that_do_not_fit_are_refused():
     for scores, n in (({"▁": 0.0, "a▁b": -1.0}, 256), ({"▁": 0.0, "\n": -1.0}, 256), ({"a": 0.0}, 256), ({"▁": 0.0}, 3)):
         with pytest.raises(ValueError):
