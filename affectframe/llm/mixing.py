@@ -7,37 +7,30 @@ equal to the rest of the rate; the draw is a hash of the seed, the id and the si
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from affectframe.llm.common import join_counted, stored
+from affectframe.functions.once import with_column_once
+from affectframe.llm.common import WORD, join_counted, stored
 
 WEIGHTS = (1, 2, 3)
 MOST = 3  # a source's target is at most so many times its size
 SEED = "mix"
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
-        sizes = [len(t.as_py().split()) if t.is_valid else 0 for t in texts]
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:-1], pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "size"]
-        )
+def word_count(text: Column) -> Column:
+    """Words of a whole text; a null has none. Counted in place, so that no text leaves the row it is in."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def document_sizes(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """``id, source, size``: words of each whole text."""
-    narrow = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text")
+    return docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")
     )
-    schema = T.StructType([*narrow.schema.fields[:2], T.StructField("size", T.LongType())])
-    return narrow.mapInArrow(_word_counts, schema)
 
 
 def source_key(source: Column) -> Column:
@@ -145,13 +138,12 @@ def mix(
     total = sizes.count()
     packed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"),
+        F.col(id_col).alias("id"), source_key(F.col(source_col).cast("string")).alias("key"),
+        word_count(F.col(text_col)).alias("size"),
     )
-    schema = T.StructType([*packed.schema.fields[:3], T.StructField("size", T.LongType())])
-    rows = packed.mapInArrow(_word_counts, schema).withColumn("key", source_key(F.col("source")))
-    rows = join_counted(rows.drop("source"), targets, "key", "n_docs", total)
+    rows = join_counted(packed, targets, "key", "n_docs", total)
     times = copies(F.col("size"), F.col("source_size"), F.col("target"), draw(F.col("id"), F.col("size"), seed))
-    emitted = rows.withColumn("times", times).filter("times > 0")
+    emitted = with_column_once(rows, "times", times).filter("times > 0")
     return emitted.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times")))).select("row.*")
 
 

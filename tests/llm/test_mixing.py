@@ -62,3 +62,12 @@ def test_taken_words_come_near_the_targets(spark):
     rows = mixed_words(docs).groupBy(source).agg(F.sum("taken").alias("taken"), F.max("target").alias("target"))
     for r in rows.collect():
         assert r.taken == pytest.approx(r.target, rel=0.06)
+
+
+def test_texts_stay_in_the_jvm(spark):
+    # Batches that held each row and its text again made the mix outgrow its executors.
+    docs = spark.createDataFrame([(1, "a\tb\x0bc\u00a0d  e", "x"), (2, None, None)], "doc_id long, text string, source string")
+    assert sorted((r.doc_id, r.size) for r in mixed_words(docs).withColumnRenamed("id", "doc_id").collect()) == [(1, 4), (2, 0)]
+    for rows in (mix(docs), mixed_words(docs)):
+        plan = rows._jdf.queryExecution().toString()
+        assert "InArrow" not in plan and "Python" not in plan
