@@ -18,7 +18,7 @@ string and counting alone tells what is repeated.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -36,13 +36,14 @@ SPAN = 200
 
 _GRAM = 32
 # Bytes that are hashed in one step; a longer text takes several, overlapping by a span.
-_BLOCK = 1 << 19
+# A step holds some twenty arrays of eight bytes for each byte.
+_BLOCK = 1 << 16
 _PLACE_BITS = np.uint64(21)
 _PLACES = np.uint64((1 << 21) - 1)
 # Strings of one run at most; runs are longer only where a text repeats itself.
 _LONGEST = 2048
-# Bytes of a shard.
-_SHARD = 1 << 22
+# Bytes from which a shard takes no further seed. Sorting takes up to 80 times a shard.
+_SHARD = 1 << 19
 # A seed with more different runs than this is cut finer: into parts of so many strings.
 MANY_RUNS = 4_000
 _FINER = (32, 4, 1)
@@ -53,12 +54,12 @@ RUNS = "key string, start long, n long, seed long, content long, again boolean"
 class Hashes:
     """Hashes of windows of a byte array, from sums of powers modulo 2**64."""
 
-    def __init__(self):
+    def __init__(self, span: int = SPAN):
         generator = np.random.Generator(np.random.PCG64(20_240_229))
         self.letters = generator.integers(0, 1 << 64, 256, np.uint64)
         factor = int(generator.integers(0, 1 << 62)) * 4 + 3
         inverse = pow(factor, -1, 1 << 64)
-        n = 2 * _BLOCK + 2
+        n = 2 * (_BLOCK + span) + _LONGEST + 2
         self.ahead, self.back = np.full(n, factor, np.uint64), np.full(n, inverse, np.uint64)
         for powers in (self.ahead, self.back):
             powers[0] = 1
@@ -132,7 +133,7 @@ def runs_of(texts: list[bytes], hashes: Hashes, span: int = SPAN) -> tuple[np.nd
     return own_text[opens], start - begin[own_text[opens]], n, seed[start].view(np.int64), content.view(np.int64), again
 
 
-def blocks(texts: list[bytes], span: int) -> Iterator[list[tuple[int, int, bytes]]]:
+def blocks(texts: Iterable[bytes], span: int) -> Iterator[list[tuple[int, int, bytes]]]:
     """Texts (number, start of the part, part) in lots of about a block."""
     lot, held = [], 0
     for number, text in enumerate(texts):
@@ -151,10 +152,10 @@ def cut_runs(texts: DataFrame, span: int) -> DataFrame:
     """``RUNS`` of all texts (``key, text``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes = Hashes(span)
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            for lot in blocks([body(t) for t in batch.column(1).cast(pa.large_binary())], span):
+            keys, bodies = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
+            for lot in blocks(map(body, bodies), span):
                 text, start, n, seed, content, again = runs_of([part for _, _, part in lot], hashes, span)
                 offset = np.array([at for _, at, _ in lot])[text] if len(text) else start
                 yield pa.RecordBatch.from_arrays(
@@ -167,7 +168,7 @@ def cut_runs(texts: DataFrame, span: int) -> DataFrame:
     return texts.select("key", "text").mapInArrow(run, RUNS)
 
 
-def with_bytes(texts: DataFrame, wanted: DataFrame, use, schema: str) -> DataFrame:
+def with_bytes(texts: DataFrame, wanted: DataFrame, use, schema: str, span: int) -> DataFrame:
     """Rows that ``use`` makes of wanted runs, given their text.
 
     The runs are gathered by text, and only texts with such runs are moved. ``use`` gets
@@ -182,7 +183,7 @@ def with_bytes(texts: DataFrame, wanted: DataFrame, use, schema: str) -> DataFra
     joined = one.join(by_text, "key").select("key", "text", *columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tools = Hashes()
+        tools = Hashes(span)
         for batch in batches:
             keys, bodies = batch.column(0).to_pylist(), batch.column(1).cast(pa.large_binary())
             for i, key in enumerate(keys):
@@ -220,7 +221,7 @@ def finer_runs(texts: DataFrame, wanted: DataFrame, span: int, step: int) -> Dat
             ["key", "start", "n", "seed", "content", "again", "times"],
         )
 
-    return with_bytes(texts, wanted, use, RUNS + ", times long")
+    return with_bytes(texts, wanted, use, RUNS + ", times long", span)
 
 
 def _bytes_of(span: int):
@@ -318,7 +319,7 @@ def repeated(texts: DataFrame, span: int = SPAN, many_runs: int = MANY_RUNS) ->
         own = stored(join_counted(contents, few, "seed", "n_runs", n_candidates), "own")
         meeting = own.filter("different > 1 OR (copies = 1 AND again)")
         wanted = meeting.select("place.key", "place.start", "place.n", "seed", "content")
-        strings = with_bytes(texts, wanted, _bytes_of(span), "seed long, content long, bytes binary")
+        strings = with_bytes(texts, wanted, _bytes_of(span), "seed long, content long, bytes binary", span)
         matched = stored(compared(strings, span), "matched")
         whole = F.col("copies") > 1
         settled = own.join(matched, ["seed", "content"], "left").select(

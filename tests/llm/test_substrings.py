@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -58,6 +59,25 @@ def test_texts_longer_than_a_block(spark, monkeypatch):
     assert got(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows, 200)
 
 
+def test_a_block_and_a_shard_take_little_memory():
+    rng = np.random.default_rng(5)
+    texts = [rng.integers(97, 123, 3_000, np.uint8).tobytes() for _ in range(400)]
+    hashes = substrings.Hashes()
+    strings = [rng.integers(97, 123, 300, np.uint8).tobytes() for _ in range(substrings._SHARD // 300)]
+
+    def hashed():
+        for lot in substrings.blocks(texts, 200):
+            substrings.runs_of([part for _, _, part in lot], hashes)
+
+    for work, most in ((hashed, 32), (lambda: substrings.repeated_strings(strings, 200), 64)):
+        tracemalloc.start()
+        try:
+            work()
+            assert tracemalloc.get_traced_memory()[1] < most << 20
+        finally:
+            tracemalloc.stop()
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_suffix_arrays_and_common_prefixes(seed):
     rng = random.Random(seed)
