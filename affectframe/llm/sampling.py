@@ -3,8 +3,8 @@
 A word's lattice has a node for each place and an edge for each piece that fits. Forward
 filtering gives each node the weight of all paths to it; backward sampling walks from the
 last node and takes an edge with its share in the node's weight. Both run over many words
-at once, place by place: filtering over the words that no earlier batch of the task had,
-sampling over all words of a batch of texts.
+at once, place by place: filtering over words that no earlier text of the task had,
+sampling over the words of a batch of texts, some thousands at a time.
 
 Draws are hashes of the row's seed, the word's place in the text and the number of the
 choice, so a segmentation depends on nothing else.
@@ -30,13 +30,17 @@ SEED = 42
 SHARPNESS = 0.5
 
 # Characters of texts that are segmented together; a longer text makes a batch of its own.
-_STEP = 1 << 18
+_STEP = 1 << 17
+# Words that are sampled at once, and characters of new words whose lattices are made at once
+# (a longer word is alone); they bound the arrays that a step takes, however long a text is.
+_WORDS = 1 << 15
+_CHARACTERS = 1 << 15
 
 # The space's mark where a text itself holds it; it is spelled in bytes.
 _MARK = "\n" + SPACE
 
 # Edges whose lattices a task keeps: 16 bytes each, and about as much again for the words.
-_KEPT = 3_000_000
+_KEPT = 1_000_000
 
 _POINT_BITS = 21
 
@@ -132,11 +136,23 @@ def _put(array: np.ndarray, used: int, values: np.ndarray) -> np.ndarray:
     return array
 
 
+def _blocks(words: list[str]) -> Iterator[list[str]]:
+    """The words in parts of at most ``_CHARACTERS`` characters; a longer word is a part of its own."""
+    start = held = 0
+    for at, word in enumerate(words):
+        if at > start and held + len(word) > _CHARACTERS:
+            yield words[start:at]
+            start, held = at, 0
+        held += len(word)
+    if words:
+        yield words[start:]
+
+
 class Lattices:
     """The lattices of different words after forward filtering.
 
-    A word's lattice is made when the word first comes and kept for the batches that
-    follow. Beyond ``_KEPT`` edges all are given up before the next batch.
+    A word's lattice is made when the word first comes and kept for the words that
+    follow. Beyond ``_KEPT`` edges all are given up before the next words are looked up.
     """
 
     def __init__(self, matcher: Matcher):
@@ -156,8 +172,8 @@ class Lattices:
         if self.n_edges > _KEPT:
             self._clear()
         codes = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        if len(self.known) > self.n_words:
-            self._add(list(islice(self.known, self.n_words, None)))
+        for new in _blocks(list(islice(self.known, self.n_words, None))):
+            self._add(new)
         return codes
 
     def _add(self, words: list[str]) -> None:
@@ -292,12 +308,14 @@ def segment(
     if not words:
         return np.zeros(0, np.int64), sizes
     lattices = lattices or Lattices(matcher)
-    codes = lattices.of(words)
     ends = np.cumsum(sizes)
     nth = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
     own_seeds = np.repeat(np.array(seeds, np.uint64), sizes) ^ (nth.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
-    numbers, counts = lattices.sample(codes, own_seeds)
-    numbers, counts = spelled(numbers, counts, matcher.byte_ids)
+    found = []
+    for at in range(0, len(words), _WORDS):
+        codes = lattices.of(words[at : at + _WORDS])
+        found.append(spelled(*lattices.sample(codes, own_seeds[at : at + _WORDS]), matcher.byte_ids))
+    numbers, counts = map(np.concatenate, zip(*found))
     upto = np.concatenate([[0], np.cumsum(counts)])
     upto = upto[np.concatenate([[0], ends])]
     return numbers, upto[1:] - upto[:-1]

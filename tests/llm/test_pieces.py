@@ -134,6 +134,25 @@ def test_a_word_is_filtered_once(vocab, monkeypatch):
     assert kept.n_words < 200
 
 
+def test_a_long_text_is_taken_in_bounded_steps(vocab, monkeypatch):
+    words, letters = [], []
+    sample, edges = sampling.Lattices.sample, sampling.Matcher.edges
+    monkeypatch.setattr(sampling.Lattices, "sample", lambda self, w, seeds: words.append(len(w)) or sample(self, w, seeds))
+    monkeypatch.setattr(sampling.Matcher, "edges", lambda self, points, ends: letters.append(len(points)) or edges(self, points, ends))
+    matcher = sampling.Matcher(vocab, 0.5)
+    long = " ".join(f"w{n}x" for n in range(50_000))
+    numbers, counts = sampling.segment([long, ""], [1, 2], matcher)
+    assert sampling.decoded(numbers.tolist(), vocab.table()) == long and counts.tolist() == [len(numbers), 0]
+    assert max(words) <= 1 << 15 and max(letters) <= 1 << 15
+    texts = [*ODD, prose(1, 300), *ODD]
+    whole = sampling.segment(texts, list(range(len(texts))), matcher)
+    monkeypatch.setattr(sampling, "_WORDS", 7)
+    monkeypatch.setattr(sampling, "_CHARACTERS", 5)
+    monkeypatch.setattr(sampling, "_KEPT", 10)
+    parts = sampling.segment(texts, list(range(len(texts))), matcher)
+    assert [x.tolist() for x in parts] == [x.tolist() for x in whole]
+
+
 def test_vocabularies_that_do_not_fit_are_refused():
     for scores, n in (({"▁": 0.0, "a▁b": -1.0}, 256), ({"▁": 0.0, "\n": -1.0}, 256), ({"a": 0.0}, 256), ({"▁": 0.0}, 3)):
         with pytest.raises(ValueError):

@@ -52,6 +52,17 @@ def test_messy_rows(messy, labels, nothing):
     assert discriminant.quality_scores(nothing, labels).collect() == []
 
 
+def test_tasks_get_each_text_once(messy, labels):
+    out = rules.passing(messy, labels)
+    assert re.search(r"MapInArrow judge\(row#\d+\)", out._jdf.queryExecution().executedPlan().toString())
+    other = rules.passing(messy, labels, "DOC_ID", "TEXT")
+    same_columns(other, messy)
+    rows = out.collect()
+    assert sorted(map(repr, rows)) == sorted(map(repr, other.collect()))
+    kept = [r.id for r in rules.quality_rules(messy, labels).collect() if r.kept]
+    assert sorted(map(repr, kept)) == sorted(repr(r.doc_id) for r in rows)
+
+
 def test_without_labels(messy, labels):
     none = labels.limit(0)
     assert {r.score for r in discriminant.quality_scores(messy, none).collect()} == {0.5}
