@@ -67,6 +67,11 @@ def best(scores: Column) -> Column:
     return F.get(ranked(scores), F.lit(0))
 
 
+def score_of(scores: Column, label: str) -> Column:
+    """The score of a label by its name; null where the vector lacks it, as an empty one does."""
+    return F.get(F.filter(scores, lambda s: s["label"] == label), F.lit(0))["score"]
+
+
 def decode_labels(
     scores: Column, threshold: float = LABEL_THRESHOLD, k: int = MAX_LABELS
 ) -> Column:

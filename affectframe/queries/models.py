@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from affectframe.functions.scores import best, decode_labels as decode, softmax, top_labels
+from affectframe.functions.scores import best, decode_labels as decode, score_of, softmax, top_labels
 from affectframe.operators.bayes import BayesModel, base_values, explain, predict, score, train
 from affectframe.operators.bayes import trigger_words as top_words
 from affectframe.operators.scorer import score_externally
@@ -123,9 +123,10 @@ _NB_ROWS = _NB + (
 
 
 def _prediction_rows(predictions: DataFrame) -> DataFrame:
+    """One row per document; one without a text has no prediction and no scores."""
     return predictions.select(
         "doc_id", "pred",
-        *[F.round(F.col("scores")[i]["score"], 4).alias(f"score_{x}") for i, x in enumerate(LABELS)],
+        *[F.round(score_of(F.col("scores"), x), 4).alias(f"score_{x}") for x in LABELS],
         F.round(best(F.col("probabilities"))["score"], 6).alias("probability"),
     )
 
