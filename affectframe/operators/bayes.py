@@ -21,7 +21,7 @@ from affectframe.functions.scores import best, score_vector, softmax
 from affectframe.functions.text import is_blank, tokens
 from affectframe.operators.ranking import top_n_per_group
 from affectframe.operators.split import class_counts
-from affectframe.operators.wordcounts import words_of_posts
+from affectframe.operators.wordcounts import posts_of_words, words_of_posts
 from affectframe.session import new_dir
 from affectframe.tables import is_bounded, row_bytes
 
@@ -145,11 +145,10 @@ def _with_words(rows: DataFrame, table: DataFrame, *, max_bytes: int, head: int)
 
 
 def _word_sums(
-    rows: DataFrame, model: BayesModel, keys: Sequence[str], *, max_bytes: int, head: int
+    posts: DataFrame, text: str, model: BayesModel, keys: Sequence[str], *, max_bytes: int, head: int
 ) -> DataFrame:
-    """Sum of the weights of each post's words, per label in ``s0..``.
+    """Sum of the weights of each post's words, per label in ``s0..``; the last key is ``_blank``.
 
-    ``rows`` holds at least one row per post, with a null token where there is no word.
     Words the model does not know add nothing.
     """
     k = len(model.labels)
@@ -159,22 +158,29 @@ def _word_sums(
 
     weights = model.weights.select("token", "n", "w")
     if is_bounded(weights, max_bytes):
+        # One row per word, and at least one per post; empty strings become null tokens.
+        rows = posts.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).withColumn(
+            "token", F.nullif("token", F.lit(""))
+        )
         # With a broadcast model a post's words are still in one task here: its partial sum
         # is one row in the shuffle.
         weighted = rows.join(F.broadcast(weights.drop("n")), "token", "left")
         return weighted.groupBy(*keys).agg(*sums(lambda i: F.col("w")[i]))
-    hot, cold = _parted(weights, max_bytes, head)
-    # Frequent words are added up where they are, to one row per post without a token; other
-    # words are counted by post. So texts are split once, and each word moves as one row.
-    near = rows.join(hot, "token", "left").withColumn("token", F.when(F.col("n").isNull(), F.col("token")))
-    near = near.groupBy(*keys, "token").agg(*sums(lambda i: F.col("w")[i]), F.count("*").alias("_tf"))
-    # Rows without a token have no partner: they get keys that are no words, dealt out evenly.
-    spare = F.concat(F.lit(" "), F.xxhash64(*keys).cast("string"))
-    near = near.withColumn("token", F.coalesce("token", spare))
-    known = near.join(cold.withColumnRenamed("n", "_n"), "token", "left")
-    return known.groupBy(*keys).agg(*sums(
-        lambda i: F.col(f"s{i}") + F.coalesce(F.col("w")[i] * F.col("_tf"), F.lit(0))
-    ))
+    # Words come once with all posts of a slice that hold them, and are stored so: texts are
+    # split once, and a word moves as one row of its slice, not as one of each post.
+    path, named = new_dir(posts.sparkSession, "posts-of-words"), list(keys[:-1])
+    held = posts_of_words(posts, text, named)
+    held.write.parquet(path)
+    held = posts.sparkSession.read.schema(held.schema).parquet(path)
+    known = _with_words(held, weights, max_bytes=0, head=head)
+    each = known.select("w", F.explode(F.arrays_zip(*[F.col(f"`{x}`") for x in [*named, "tf"]])).alias("_post"))
+    added = each.select(
+        *[F.col("_post")[x].alias(x) for x in named], F.lit(False).alias("_blank"),
+        *[(F.col("w")[i] * F.col("_post")["tf"]).alias(f"s{i}") for i in range(k)],
+    )
+    # Posts without a known word have a row as well. A post with a word is not blank.
+    nothing = posts.select(*keys, *[F.lit(0).cast("bigint").alias(f"s{i}") for i in range(k)])
+    return nothing.unionByName(added).groupBy(*keys).agg(*sums(lambda i: F.col(f"s{i}")))
 
 
 def score(
@@ -194,11 +200,7 @@ def score(
     """
     keys = [id, *carry, "_blank"]
     marked = posts.withColumn("_blank", is_blank(F.col(text)))
-    # One row per word, and at least one per post; empty strings become null tokens.
-    rows = marked.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).withColumn(
-        "token", F.nullif("token", F.lit(""))
-    )
-    sums = _word_sums(rows, model, keys, max_bytes=max_bytes, head=head)
+    sums = _word_sums(marked, text, model, keys, max_bytes=max_bytes, head=head)
     values = [
         (F.col(f"s{i}") + F.lit(prior)) / UNIT for i, prior in enumerate(model.priors)
     ]

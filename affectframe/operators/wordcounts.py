@@ -73,3 +73,35 @@ def words_of_posts(posts: DataFrame, text: str, keys: Sequence[str]) -> DataFram
         *[listed.schema[k] for k in keys], T.StructField("token", T.StringType()), T.StructField("tf", T.LongType()),
     ])
     return listed.mapInArrow(_per_post(keys), schema)
+
+
+def _per_word(keys: Sequence[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, row, values in slices(batch.column("_spaced")):
+                row, token, n = _counted(row, values)
+                coded = token.dictionary_encode()
+                code = coded.indices.to_numpy(zero_copy_only=False)
+                order = np.argsort(code, kind="stable")
+                ends = pa.array(np.append(0, np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))), pa.int32())
+                at = pa.array(row[order])
+                lists = [batch.column(k).take(at) for k in keys] + [pa.array(n[order], pa.int32())]
+                yield pa.RecordBatch.from_arrays(
+                    [coded.dictionary, *[pa.ListArray.from_arrays(ends, x) for x in lists]], ["token", *keys, "tf"]
+                )
+
+    return run
+
+
+def posts_of_words(posts: DataFrame, text: str, keys: Sequence[str]) -> DataFrame:
+    """For each different word of a slice of rows the keys of the rows that hold it, and ``tf``, as arrays.
+
+    The word stands once for all these rows; nothing is shuffled.
+    """
+    listed = posts.select(*keys, spaced_words(F.col(text)).alias("_spaced"))
+    schema = T.StructType([
+        T.StructField("token", T.StringType()),
+        *[T.StructField(k, T.ArrayType(listed.schema[k].dataType)) for k in keys],
+        T.StructField("tf", T.ArrayType(T.IntegerType())),
+    ])
+    return listed.mapInArrow(_per_word(keys), schema)
