@@ -30,6 +30,9 @@ UNIT = 1_000_000_000
 # occurrences in the training posts still are: there are at most HEAD of them, together no
 # longer than HEAD words of average length. So are the next ones, as long as there is room.
 HEAD = 100_000
+# Words that are not broadcast move as a row of each post if they are no more than 1/RARE
+# of all occurrences in the training posts.
+RARE = 20
 # Stands for the post itself among the counted words; no word contains a space.
 _POST = " "
 
@@ -126,9 +129,9 @@ def _least_hot(table: DataFrame, max_bytes: int, head: int) -> int:
     return least
 
 
-def _parted(table: DataFrame, max_bytes: int, head: int) -> tuple[DataFrame, DataFrame]:
+def _parted(table: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """A table of words that cannot be broadcast as a whole: frequent words, to be broadcast, and the others."""
-    is_hot = F.col("n") >= _least_hot(table, max_bytes, head)
+    is_hot = F.col("n") >= least
     return F.broadcast(table.filter(is_hot)), table.filter(~is_hot).hint("merge")
 
 
@@ -140,7 +143,7 @@ def _with_words(rows: DataFrame, table: DataFrame, *, max_bytes: int, head: int)
     """
     if is_bounded(table, max_bytes):
         return rows.join(F.broadcast(table), "token")
-    hot, cold = _parted(table, max_bytes, head)
+    hot, cold = _parted(table, _least_hot(table, max_bytes, head))
     return rows.join(hot, "token").unionByName(rows.join(hot, "token", "left_anti").join(cold, "token"))
 
 
@@ -157,17 +160,32 @@ def _word_sums(
         return [F.coalesce(F.sum(value(i)), F.lit(0)).alias(f"s{i}") for i in range(k)]
 
     weights = model.weights.select("token", "n", "w")
+    # One row per word, and at least one per post; empty strings become null tokens.
+    rows = posts.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).withColumn(
+        "token", F.nullif("token", F.lit(""))
+    )
     if is_bounded(weights, max_bytes):
-        # One row per word, and at least one per post; empty strings become null tokens.
-        rows = posts.select(*keys, F.explode_outer(tokens(F.col(text))).alias("token")).withColumn(
-            "token", F.nullif("token", F.lit(""))
-        )
         # With a broadcast model a post's words are still in one task here: its partial sum
         # is one row in the shuffle.
         weighted = rows.join(F.broadcast(weights.drop("n")), "token", "left")
         return weighted.groupBy(*keys).agg(*sums(lambda i: F.col("w")[i]))
-    # Words come once with all posts of a slice that hold them, and are stored so: texts are
-    # split once, and a word moves as one row of its slice, not as one of each post.
+    least = _least_hot(weights, max_bytes, head)
+    uses = weights.agg(F.sum("n"), F.sum(F.when(F.col("n") < least, F.col("n")))).first()
+    if (uses[1] or 0) * RARE <= (uses[0] or 0):
+        hot, cold = _parted(weights, least)
+        # Frequent words are added up where they are, to one row per post without a token; other
+        # words are counted by post. So texts are split once, and each word moves as one row.
+        near = rows.join(hot, "token", "left").withColumn("token", F.when(F.col("n").isNull(), F.col("token")))
+        near = near.groupBy(*keys, "token").agg(*sums(lambda i: F.col("w")[i]), F.count("*").alias("_tf"))
+        # Rows without a token have no partner: they get keys that are no words, dealt out evenly.
+        spare = F.concat(F.lit(" "), F.xxhash64(*keys).cast("string"))
+        near = near.withColumn("token", F.coalesce("token", spare))
+        known = near.join(cold.withColumnRenamed("n", "_n"), "token", "left")
+        return known.groupBy(*keys).agg(*sums(
+            lambda i: F.col(f"s{i}") + F.coalesce(F.col("w")[i] * F.col("_tf"), F.lit(0))
+        ))
+    # Many words move. They come once with all posts of a slice that hold them, and are stored
+    # so: texts are split once, and a word moves as one row of its slice, not as one of each post.
     path, named = new_dir(posts.sparkSession, "posts-of-words"), list(keys[:-1])
     held = posts_of_words(posts, text, named)
     held.write.parquet(path)
